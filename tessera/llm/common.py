@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shipping import ship
+
 #: A word is a maximal run of characters other than ASCII white space. Fixed by the contract.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +51,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

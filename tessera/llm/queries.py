@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing
+from tessera.llm import bpe, fingerprints, mixing
 
 QUERIES = {
     "op1_mix": mixing.query,
+    "op2_bpe": bpe.query,
+    "op5_fingerprints": fingerprints.query,
 }
 
 ORACLES = {
