@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, mixing
+from tessera.llm import bpe, fingerprints, minhash, mixing
 
 QUERIES = {
     "op1_mix": mixing.query,
     "op2_bpe": bpe.query,
+    "op4_minhash": minhash.query,
     "op5_fingerprints": fingerprints.query,
 }
 
