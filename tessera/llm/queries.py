@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, minhash, mixing, substring
+from tessera.llm import bpe, fingerprints, langid, minhash, mixing, substring
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_minhash": minhash.query,
     "op5_fingerprints": fingerprints.query,
     "op8_substring": substring.query,
+    "op9_langid": langid.query,
 }
 
 ORACLES = {
