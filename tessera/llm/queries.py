@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, langid, minhash, mixing, pii, substring
+from tessera.llm import bpe, fingerprints, langid, minhash, mixing, pii, substring, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -12,8 +12,10 @@ QUERIES = {
     "op7_pii": pii.query,
     "op8_substring": substring.query,
     "op9_langid": langid.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
     "op1_mix": mixing.SQL,
+    "op10_warc": warc.SQL,
 }
