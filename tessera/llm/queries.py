@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, langid, minhash, mixing, pii, substring, warc
+from tessera.llm import bpe, fingerprints, langid, minhash, mixing, pii, substring, topk, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
     "op2_bpe": bpe.query,
     "op4_minhash": minhash.query,
     "op5_fingerprints": fingerprints.query,
+    "op6_topk": topk.query,
     "op7_pii": pii.query,
     "op8_substring": substring.query,
     "op9_langid": langid.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix": mixing.SQL,
+    "op6_topk": topk.SQL,
     "op10_warc": warc.SQL,
 }
