@@ -177,6 +177,47 @@ def _errors(a: str, b: str) -> Column:
     return total
 
 
+def _close_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket, a above b, with different components, within the signature distance, and of sizes that
+    allow a link. A bucket of more than ``CELL`` members is dealt into cells, and every two cells meet in a task of their own.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = apart.withColumn("other", other).select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "k", "c", "size", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        left, right = [], []
+
+        def settle() -> None:
+            if len(held) < 2:
+                return
+            cells, k, c, size = (np.array([r[i] for r in held], np.int64) for i in range(4))
+            signs = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, POSITIONS)
+            second = np.flatnonzero(cells == at[2])
+            for i in np.flatnonzero(cells == at[1]):
+                may = second[(c[second] != c[i]) & (100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i]))]
+                may = may[k[may] < k[i]] if at[1] == at[2] else may
+                near = may[(signs[may] != signs[i]).sum(axis=1) <= MAX_ERRORS]
+                left.extend(np.maximum(k[near], k[i]).tolist())
+                right.extend(np.minimum(k[near], k[i]).tolist())
+
+        for batch in batches:
+            for key, lo, hi, *row in rows_of(batch, "key", "lo", "hi", "cell", "k", "c", "size", "signature"):
+                if (key, lo, hi) != at:
+                    settle()
+                    at, held = (key, lo, hi), []
+                held.append(row)
+                if len(left) > 1 << 16:
+                    found = set(zip(left, right, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+                    left, right = [], []
+        settle()
+        found = set(zip(left, right, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+
+
 def _confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union.
 
@@ -258,11 +299,9 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     # what is still apart: buckets with members of several components, compared across components
     label = shared.select("key", "k").join(found.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component_id", "k")).drop("component_id")
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("cells"))
-    apart = stored(label.join(mixed, "key").join(lanes, "k").withColumn("cell", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int")), "apart")
-    side = lambda name, other: apart.select(  # noqa: E731  each row meets every cell of its bucket once, on the smaller cell's side
-        "key", F.col("k").alias(name), F.col("c").alias(f"c{name}"), F.col("s").alias(f"s{name}"), F.col("cell").alias(f"cell_{name}"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias(f"cell_{other}")
-    )
-    pairs = side("a", "b").join(side("b", "a"), ["key", "cell_a", "cell_b"]).filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (_errors("sa", "sb") <= MAX_ERRORS)).select("a", "b")
+    sized = slim.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.first("n_shingles").alias("size")).join(classes, "class_key").select("k", "signature", "size").dropDuplicates(["k"])
+    apart = label.join(mixed, "key").join(sized, "k").withColumn("cell", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int"))
+    pairs = _close_pairs(apart, percent)
     rest = stored(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_confirmed(ids, sources, rest, shingle, percent))
     found = connected(links)
