@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, langid, minhash, mixing, pii, substring, topk, warc
+from tessera.llm import bpe, chat, fingerprints, langid, minhash, mixing, pii, substring, topk, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
     "op2_bpe": bpe.query,
+    "op3_chat": chat.query,
     "op4_minhash": minhash.query,
     "op5_fingerprints": fingerprints.query,
     "op6_topk": topk.query,
