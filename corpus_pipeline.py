@@ -1,15 +1,75 @@
-"""Corpus pipeline; stages are added as their operators are."""
+"""From raw documents to token sequences: five stages, each an operator of ``tessera.llm`` over all that the one before it kept.
+
+Every stage but the last returns the columns of ``documents``. Stages are rows-in, rows-out functions of (spark, docs, sf_dir);
+``run`` writes what a stage returns to the shared folder and reads it back, so a lost executor costs one stage at most.
+Empty tables pass through as empty tables; what becomes of nulls is said at each stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, langid, minhash, mixing, pii
+from tessera.llm.common import stored
+from tessera.sources.shipping import ship
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told (null texts, texts without a letter) go; all others stay as they are.
+
+    Learned from the labelled documents that are not held out. Labels never decide what stays.
+    """
+    ship(spark)
+    found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))))
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
+
+    Documents without words and rows without a doc_id are linked with nothing and stay.
+    """
+    ship(spark)
+    found = minhash.near_duplicates(docs.filter("doc_id IS NOT NULL"))
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; no document goes. Null texts stay null."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: documents repeat by epoch, and where a source's budget ends its last document is cut.
+
+    A null source is a source of its own. Documents without words take no part.
+    """
+    return mixing.sampled(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids: the token identifiers of every row."""
+    ship(spark)
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("language", identified),
+    ("near_duplicates", distinct),
+    ("personal_data", redacted),
+    ("mix", mixed),
+    ("encode", encoded),
+]
 
-STAGES: list = []
+#: SQL can express neither the parses nor the token merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
