@@ -179,7 +179,8 @@ def _errors(a: str, b: str) -> Column:
 
 def _close_pairs(apart: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of one bucket, a above b, with different components, within the signature distance, and of sizes that
-    allow a link. A bucket of more than ``CELL`` members is dealt into cells, and every two cells meet in a task of their own.
+    allow a link. A bucket of more than ``CELL`` members is dealt into cells, and every two cells meet in a task of their own. A pair
+    that shares several buckets comes from the first of them alone: its components differ there too, so that bucket is compared.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     rows = apart.withColumn("other", other).select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "k", "c", "size", "signature")
@@ -193,11 +194,13 @@ def _close_pairs(apart: DataFrame, percent: int) -> DataFrame:
                 return
             cells, k, c, size = (np.array([r[i] for r in held], np.int64) for i in range(4))
             signs = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, POSITIONS)
+            keys = index_keys(signs)
             second = np.flatnonzero(cells == at[2])
             for i in np.flatnonzero(cells == at[1]):
                 may = second[(c[second] != c[i]) & (100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i]))]
                 may = may[k[may] < k[i]] if at[1] == at[2] else may
                 near = may[(signs[may] != signs[i]).sum(axis=1) <= MAX_ERRORS]
+                near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == at[0]]
                 left.extend(np.maximum(k[near], k[i]).tolist())
                 right.extend(np.minimum(k[near], k[i]).tolist())
 
