@@ -12,8 +12,8 @@ signatures and confirmed on the full shingle sets.
 
 Documents with the same set become one class first. In a bucket of the index,
 classes are linked to one centre, not to each other; what is still apart after
-those links were confirmed is compared pair by pair, only across components, and
-only within the signature distance.
+those links were confirmed is compared across components, block by block: full
+sets go to the block once each, and only links leave it.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ CACHE_WORDS = 400_000
 BLOCK = 1024
 #: Members of a bucket that are held against each other in one cell of the last comparison.
 CELL = 512
+#: Shingle hashes of the members of a cell, on average at most.
+CELL_HASHES = 1 << 21
 #: Classes of documents that have no identifier are numbered from here.
 NO_NAME = 1 << 62
 #: Bytes of a shingle's hash in stored sets.
@@ -48,12 +50,12 @@ HASH_BYTES = 6
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, POSITIONS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _words: dict[bytes, int] = {}
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def scrambled(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -80,7 +82,7 @@ def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     out = np.zeros(n, np.uint64)
     for k in range(length):
-        out = _mixed(out * _STEP + hashes[k : k + n] + np.uint64(k + 1))
+        out = scrambled(out * STEP + hashes[k : k + n] + np.uint64(k + 1))
     return out
 
 
@@ -95,11 +97,11 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Low 16 bits of the smallest value of each of the hash functions."""
     best = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    spread = _mixed(hashes * _STEP)
+    spread = scrambled(hashes * STEP)
     for at in range(0, len(spread), BLOCK):
         block = (spread[at : at + BLOCK, None] ^ _XOR) * _MUL
         np.minimum(best, block.min(axis=0), out=best)
-    return (_mixed(best) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (scrambled(best) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -119,7 +121,7 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
     out = np.empty(chunks.shape, np.uint64)
     for left_out in range(CHUNK):
         kept = np.uint64(0xFFFF << 16 * (3 - left_out) ^ 0xFFFFFFFFFFFFFFFF)
-        out[..., left_out] = _mixed(_mixed(whole & kept) + np.arange(1, CHUNKS + 1, dtype=np.uint64) * _STEP + np.uint64(left_out))
+        out[..., left_out] = scrambled(scrambled(whole & kept) + np.arange(1, CHUNKS + 1, dtype=np.uint64) * STEP + np.uint64(left_out))
     return out.view(np.int64).reshape(len(chunks), CHUNKS * CHUNK)
 
 
@@ -177,87 +179,138 @@ def _errors(a: str, b: str) -> Column:
     return total
 
 
-def _close_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one bucket, a above b, with different components, within the signature distance, and of sizes that
-    allow a link. A bucket of more than ``CELL`` members is dealt into cells, and every two cells meet in a task of their own. A pair
-    that shares several buckets comes from the first of them alone: its components differ there too, so that bucket is compared.
+def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
+    """For each meeting of two cells: its rows, and an iterator over (row number, numbers of the rows near it).
+
+    Near are members of another component, within the signature distance, and of a size that allows a link. A pair that shares
+    several buckets is near in the first of them alone: its components differ there too, so that bucket is compared.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    rows = apart.withColumn("other", other).select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "k", "c", "size", "signature")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        left, right = [], []
-
-        def settle() -> None:
-            if len(held) < 2:
-                return
-            cells, k, c, size = (np.array([r[i] for r in held], np.int64) for i in range(4))
-            signs = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, POSITIONS)
-            keys = index_keys(signs)
-            second = np.flatnonzero(cells == at[2])
+    def settle(at: tuple, held: list) -> tuple[tuple, list, Iterator[tuple]]:
+        cells, k, c, size = (np.array([r[i] for r in held], np.int64) for i in range(4))
+        signs = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, POSITIONS)
+        keys = index_keys(signs)
+        second = np.flatnonzero(cells == at[2])
+
+        def near() -> Iterator[tuple]:
             for i in np.flatnonzero(cells == at[1]):
                 may = second[(c[second] != c[i]) & (100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i]))]
                 may = may[k[may] < k[i]] if at[1] == at[2] else may
-                near = may[(signs[may] != signs[i]).sum(axis=1) <= MAX_ERRORS]
-                near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == at[0]]
-                left.extend(np.maximum(k[near], k[i]).tolist())
-                right.extend(np.minimum(k[near], k[i]).tolist())
+                may = may[(signs[may] != signs[i]).sum(axis=1) <= MAX_ERRORS]
+                may = may[keys[i][(keys[may] == keys[i]).argmax(axis=1)] == at[0]]
+                if len(may):
+                    yield i, may
 
-        for batch in batches:
-            for key, lo, hi, *row in rows_of(batch, "key", "lo", "hi", "cell", "k", "c", "size", "signature"):
-                if (key, lo, hi) != at:
-                    settle()
-                    at, held = (key, lo, hi), []
-                held.append(row)
-                if len(left) > 1 << 16:
-                    found = set(zip(left, right, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-                    left, right = [], []
-        settle()
-        found = set(zip(left, right, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+        return at, held, near()
 
+    at, held = None, []
+    for batch in batches:
+        names = [n for n in batch.schema.names if n not in ("key", "lo", "hi")]
+        for key, lo, hi, *row in rows_of(batch, "key", "lo", "hi", *names):
+            if (key, lo, hi) != at:
+                if len(held) > 1:
+                    yield settle(at, held)
+                at, held = (key, lo, hi), []
+            held.append(row)
+    if len(held) > 1:
+        yield settle(at, held)
 
-def _confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union.
 
-    Only the texts of the classes' first documents that occur in a pair are read into sets. Each set goes to the classes b it
-    is compared with; a class b with many partners is repeated for every 256 of them.
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_MEMBER = "key bigint, lo int, hi int, cell int, k bigint, c bigint, size bigint, signature binary"
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, sends: DataFrame, shingle: int) -> DataFrame:
+    """``sends`` (k and other columns) with the packed set of class k in ``hashes``.
+
+    Only the texts of the first documents of these classes are read into sets, once each.
     """
-    centres = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(256)).cast("int").alias("salts"))
-    sends = pairs.join(centres, "b").select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).unionByName(
-        centres.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    )
-    to = stored(sends.groupBy("k").agg(F.collect_list(F.struct("b", "salt", "role")).alias("to")).join(members, "k"), "sends")
+    others = [(n, kind) for n, kind in sends.dtypes if n != "k"]
+    to = stored(sends.groupBy("k").agg(F.collect_list(F.struct(*[n for n, _ in others])).alias("to")).join(members, "k"), "sends")
     keyed = docs.withColumn("h", F.xxhash64("t"))
     texts = keyed.join(to, (keyed["h"] == to["first_hash"]) & keyed["i"].eqNullSafe(to["first_id"])).select("k", "t", "to")
+    schema = pa.schema([*[(n, _ARROW[kind]) for n, kind in others], ("k", pa.int64()), ("hashes", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            held = 0
+            out, held = [[] for _ in schema], 0
             for k, text, to in rows_of(batch, "k", "t", "to"):
                 data = packed(shingle_set(text, shingle))
                 for x in to:
-                    for column, value in zip(out, (x["b"], x["salt"], x["role"], k, data), strict=True):
+                    for column, value in zip(out, (*x.values(), k, data), strict=True):
                         column.append(value)
                     held += len(data)
                     if held > 1 << 25:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, sent, strict=True)], sent.names)
-                        out, held = [[], [], [], [], []], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, sent, strict=True)], sent.names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema.names)
+                        out, held = [[] for _ in schema], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema.names)
+
+    return texts.mapInArrow(sets, ", ".join(f"{n} {kind}" for n, kind in [*others, ("k", "bigint"), ("hashes", "binary")]))
+
+
+def _links_across(docs: DataFrame, members: DataFrame, apart: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between near classes of one bucket and different components, held against each other on full sets.
 
-    sent = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("a", pa.int64()), ("hashes", pa.binary())])
-    rows = texts.mapInArrow(sets, "b bigint, salt int, role int, a bigint, hashes binary").repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "a")
+    A bucket is dealt into cells, and every two cells meet in a task of their own. A first pass over signatures tells who has a
+    near class in a meeting; the sets of these go to the meeting, once each, and only links leave it.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = apart.withColumn("other", other).select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "k", "c", "size", "signature")
+    names = [f.split()[0] for f in _MEMBER.split(", ")]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, held, near in _met(batches, percent):
+            some = np.zeros(len(held), bool)
+            for i, mates in near:
+                some[i] = some[mates] = True
+            if some.any():
+                wanted = [(*at, *held[i]) for i in np.flatnonzero(some)]
+                kinds = [_ARROW[f.split()[1]] for f in _MEMBER.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*wanted, strict=True), kinds, strict=True)], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, near in _met(batches, percent):
+            k = np.array([r[1] for r in held], np.int64)
+            sizes = np.array([len(r[5]) // HASH_BYTES for r in held], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            values, number = np.unique(unpacked(b"".join(r[5] for r in held)), return_inverse=True)
+            marked = np.zeros(len(values), bool)
+            left, right = [], []
+            for i, mates in near:
+                own = number[begin[i] : begin[i] + sizes[i]]
+                marked[own] = True
+                both = np.array([np.count_nonzero(marked[number[begin[m] : begin[m] + sizes[m]]]) for m in mates])
+                marked[own] = False
+                linked = mates[100 * both >= percent * (sizes[mates] + sizes[i] - both)]
+                left.append(np.maximum(k[linked], k[i]))
+                right.append(np.minimum(k[linked], k[i]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    wanted = met(rows.select(*names)).mapInArrow(ask, _MEMBER)
+    sets = _with_sets(docs, members, wanted, shingle).select(*names, "hashes")
+    return stored(met(sets).mapInArrow(compare, "a bigint, b bigint").distinct(), "across")
+
+
+def _confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union.
+
+    Each set goes to the classes b it is compared with; a class b with many partners is repeated for every 256 of them.
+    """
+    centres = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(256)).cast("int").alias("salts"))
+    sends = pairs.join(centres, "b").select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).unionByName(
+        centres.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    )
+    rows = _with_sets(docs, members, sends, shingle).repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "k")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centres = None, []
         for batch in batches:
             left, right = [], []
-            for b, salt, role, a, data in rows_of(batch, "b", "salt", "role", "a", "hashes"):
+            for b, salt, role, a, data in rows_of(batch, "b", "salt", "role", "k", "hashes"):
                 if role == 0:
                     if (b, salt) != at:
                         at, centres = (b, salt), []
@@ -301,12 +354,12 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     found = connected(links)
     # what is still apart: buckets with members of several components, compared across components
     label = shared.select("key", "k").join(found.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component_id", "k")).drop("component_id")
-    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("cells"))
     sized = slim.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.first("n_shingles").alias("size")).join(classes, "class_key").select("k", "signature", "size").dropDuplicates(["k"])
-    apart = label.join(mixed, "key").join(sized, "k").withColumn("cell", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int"))
-    pairs = _close_pairs(apart, percent)
-    rest = stored(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_confirmed(ids, sources, rest, shingle, percent))
+    label = label.join(sized, "k")
+    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).filter("lo != hi")
+    cells = F.ceil(F.greatest(F.col("n") / F.lit(CELL), F.col("hashes") / F.lit(CELL_HASHES))).cast("int")
+    apart = label.join(mixed.select("key", cells.alias("cells")), "key").withColumn("cell", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int"))
+    links = links.unionByName(_links_across(ids, sources, apart, shingle, percent))
     found = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("links"))
     named = classes.select("class_key", "k").join(found.withColumnRenamed("id", "k"), "k", "left").join(degree, "k", "left").select("class_key", F.coalesce("component_id", "k").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
