@@ -42,6 +42,8 @@ BLOCK = 1024
 CELL = 512
 #: Shingle hashes of the members of a cell, on average at most.
 CELL_HASHES = 1 << 21
+#: Bits of the filter that keeps texts that are not wanted out of a shuffle.
+SLOTS = 1 << 24
 #: Classes of documents that have no identifier are numbered from here.
 NO_NAME = 1 << 62
 #: Bytes of a shingle's hash in stored sets.
@@ -220,6 +222,18 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 _MEMBER = "key bigint, lo int, hi int, cell int, k bigint, c bigint, size bigint, signature binary"
 
 
+def _maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose h may be among ``wanted``'s first_hash; a few others pass as well, none of those is lost.
+
+    A Bloom filter of one hash: ``SLOTS`` bits in rows of 32,768, so that the broadcast never holds more than ``SLOTS`` / 8 bytes.
+    """
+    slot = F.expr(f"pmod(first_hash, {SLOTS}L) + 1")
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = docs.withColumn("at", F.expr(f"pmod(h, {SLOTS}L)")).join(F.broadcast(bits), F.expr("`at` div 32768 + 1 = `row`"))
+    octet = "cast(conv(hex(substring(bits, cast(`at` % 32768 div 8 + 1 AS int), 1)), 16, 10) AS int)"
+    return at.filter(F.expr(f"shiftright({octet}, cast(`at` % 8 AS int)) % 2 = 1")).select(*docs.columns)
+
+
 def _with_sets(docs: DataFrame, members: DataFrame, sends: DataFrame, shingle: int) -> DataFrame:
     """``sends`` (k and other columns) with the packed set of class k in ``hashes``.
 
@@ -227,7 +241,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, sends: DataFrame, shingle: i
     """
     others = [(n, kind) for n, kind in sends.dtypes if n != "k"]
     to = stored(sends.groupBy("k").agg(F.collect_list(F.struct(*[n for n, _ in others])).alias("to")).join(members, "k"), "sends")
-    keyed = docs.withColumn("h", F.xxhash64("t"))
+    keyed = _maybe_in(docs.withColumn("h", F.xxhash64("t")), to)
     texts = keyed.join(to, (keyed["h"] == to["first_hash"]) & keyed["i"].eqNullSafe(to["first_id"])).select("k", "t", "to")
     schema = pa.schema([*[(n, _ARROW[kind]) for n, kind in others], ("k", pa.int64()), ("hashes", pa.binary())])
 
