@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import rows_of, shuffle_partitions, stored, table
-from tessera.llm.minhash import sequence_hashes, word_hashes
+from tessera.llm.minhash import STEP, scrambled, word_hashes
 
-WINDOW, RUN = 13, 4
+WINDOW = 13
+#: A power of two. Shorter runs recur by chance, and what lies under them would be sent for nothing.
+RUN = 8
 #: Anchors are sent with this many bytes; a chance collision only sends a stretch too many.
 ANCHOR_BYTES = 5
 #: A document without an identifier comes after all others.
@@ -118,11 +119,18 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: the position of its anchor, and the anchor."""
-    runs = sequence_hashes(hashes, RUN)
-    view = sliding_window_view(runs, window - RUN + 1)
-    at = np.arange(len(view)) + view.argmin(axis=1)
-    return at, runs[at] >> _SHIFT
+    """For each window: the position of its anchor, the first least hash of a run, and the anchor."""
+    runs, length = hashes, 1
+    while 2 * length <= min(RUN, window):  # hashes of runs of 2, 4, 8 words
+        runs = scrambled(runs[:-length] * STEP + runs[length:])
+        length *= 2
+    n = len(hashes) - window + 1
+    least, at = runs[:n].copy(), np.arange(n)
+    for k in range(1, window - length + 1):
+        less = runs[k : k + n] < least
+        least[less] = runs[k : k + n][less]
+        at[less] = np.flatnonzero(less) + k
+    return at, least >> _SHIFT
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
