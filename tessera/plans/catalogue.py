@@ -1,14 +1,17 @@
 """Queries by name over the test tables, one or more for each operator, and the SQL that gives the same rows.
 
 Vectors are ``embeddings``; a vector's payload is the document and the event of the same number, null where there is none.
-Queries are the vectors (or documents) with the first numbers.
+Queries are the vectors (or documents) with the first numbers; each name that asks so has a second, with ``_all``, that asks
+every number divisible by ``EACH``, so that the number of queries grows with the table.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import point_id, tokens
@@ -18,6 +21,11 @@ from tessera.plans import grid
 from tessera.sources import files
 
 K = 10
+#: The queries with ``_all`` ask every row whose number this divides.
+EACH = 100
+_ALL: ContextVar[bool] = ContextVar("all", default=False)
+#: What SQL says where a query asks the first numbers only.
+_FIRST = re.compile(r"\b((?:a\.)?vec_id|query_id) < (?:3|5|10|20)\b")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,6 +40,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _asked(name: str, n: int) -> Column:
+    """Whether a row is a query: the first ``n`` numbers, or for ``_all`` every number that ``EACH`` divides."""
+    return F.col(name) % EACH == 0 if _ALL.get() else F.col(name) < n
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -43,7 +56,7 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return _table(spark, d, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return _table(spark, d, "embeddings").filter(_asked("vec_id", n)).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -151,7 +164,7 @@ _SPARSE = r"""t AS (SELECT doc_id AS vec_id, unnest(list_transform(regexp_extrac
 def _sparse(metric: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         terms = _terms(spark, d)
-        asked = terms.filter(F.col("vec_id") < 10).withColumnRenamed("vec_id", "query_id")
+        asked = terms.filter(_asked("vec_id", 10)).withColumnRenamed("vec_id", "query_id")
         return _rounded(search.sparse_topk(asked, terms, metric, K))
 
     return run
@@ -164,7 +177,7 @@ query("sparse_cosine", f"WITH {_SPARSE}, s AS (SELECT query_id, p.vec_id, CAST(d
 @query("sparse_no_overlap", f"WITH {_SPARSE} SELECT query_id, count(*) AS candidates FROM p GROUP BY query_id")
 def sparse_no_overlap(spark: SparkSession, d: str) -> DataFrame:
     terms = _terms(spark, d).distinct()
-    asked = terms.filter(F.col("vec_id") < 10).select(F.col("vec_id").alias("query_id"), "term")
+    asked = terms.filter(_asked("vec_id", 10)).select(F.col("vec_id").alias("query_id"), "term")
     return terms.join(F.broadcast(asked), "term").select("query_id", "vec_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
@@ -176,7 +189,7 @@ _MAXSIM = """t AS (SELECT vec_id, i, CAST(embedding AS DOUBLE[])[i * 8 + 1 : i *
 def _maxsim(metric: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _table(spark, d, "embeddings").select("vec_id", tokens_of(doubles(F.col("embedding")), 8, 8).alias("tokens"))
-        return _rounded(search.maxsim_topk(rows.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), rows, metric, K))
+        return _rounded(search.maxsim_topk(rows.filter(_asked("vec_id", 5)).withColumnRenamed("vec_id", "query_id"), rows, metric, K))
 
     return run
 
@@ -243,7 +256,7 @@ def _short(spark: SparkSession, d: str) -> DataFrame:
 
 def _found_truth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     short = _short(spark, d)
-    asked = short.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = short.filter(_asked("vec_id", 20)).select(F.col("vec_id").alias("query_id"), "embedding")
     return search.dense_topk(asked, short, "dot", K), search.dense_topk(_queries(spark, d), _table(spark, d, "embeddings"), "dot", K)
 
 
@@ -381,3 +394,20 @@ def report_union(spark: SparkSession, d: str) -> DataFrame:
 @query("inspect_schema", "SELECT * FROM (VALUES ('vec_id', 'bigint', NULL::INTEGER), ('embedding', 'array<float>', 64), ('label', 'int', NULL)) AS t(\"column\", kind, dims), (SELECT count(*) AS rows, CAST(1 AS BIGINT) AS files FROM embeddings)")
 def inspect_schema(spark: SparkSession, d: str) -> DataFrame:
     return files.inspect(_table(spark, d, "embeddings"))
+
+
+# --- the same with every query ------------------------------------------------------------------------------------
+def _in_full(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        before = _ALL.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            _ALL.reset(before)
+
+    return run
+
+
+for _name, _text in list(ORACLES.items()):
+    if _FIRST.search(_text):
+        query(f"{_name}_all", _FIRST.sub(rf"\1 % {EACH} = 0", _text))(_in_full(QUERIES[_name]))
