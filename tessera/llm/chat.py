@@ -10,19 +10,22 @@ The cost of a stretch of turns is a matrix over the automaton's states, and
 stretches combine by (min, +) products. So a conversation of any length is dealt
 into blocks of ``BLOCK`` turns: blocks yield matrices, the matrices of a
 conversation say in which states each block begins and ends, and each block is
-then repaired alone.
+then repaired alone. Of ways of equal cost the one with the lower states counts,
+compared from the end; a matrix carries that comparison too, so where blocks are
+cut changes nothing in the repair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, stored, table
+from tessera.llm.common import rows_of, shuffle_partitions, stored, table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing said yet, or the role of the last turn.
@@ -62,39 +65,53 @@ def moves(role: str | None) -> list[tuple[int, int, int, str, tuple[str, ...]]]:
 
 
 _MOVES = {r: moves(r) for r in (*ROLES, None)}
-_MATRICES = {}
+#: For each role: least costs from state to state, times _N, plus the place of the state it begins in among all that end alike.
+_MATRICES, _COSTS = {}, {}
 for _r, _list in _MOVES.items():
     _m = np.full((_N, _N), _FAR, np.int64)
     for _a, _b, _c, _, _ in _list:
         _m[_a, _b] = min(_m[_a, _b], _c)
-    _MATRICES[_r] = _m
+    _COSTS[_r] = _m
+    _MATRICES[_r] = _m * _N + np.arange(_N)[:, None]
 #: Cost of ending in a state, and the empty turns that end the conversation.
 _ENDS = {"start": (0, ()), "system": (2 * INSERT, ("user", "assistant")), "user": (INSERT, ("assistant",)), "assistant": (0, ())}
 END_COST = np.array([_ENDS[s][0] for s in STATES], np.int64)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(min, +) product."""
-    return (a[:, :, None] + b[None, :, :]).min(axis=1)
+    """(min, +) product; for equal costs the middle state with the lower place in ``b`` counts, and places follow from it."""
+    both = (a // _N)[:, :, None] * _N + b[None, :, :]
+    middle = both.argmin(axis=1)
+    end = np.arange(_N)
+    key = b[middle, end] % _N * _N + a[np.arange(_N)[:, None], middle] % _N
+    return np.minimum(both.min(axis=1) // _N, _FAR) * _N + key.argsort(axis=0).argsort(axis=0)
+
+
+@lru_cache(1 << 12)
+def _short(roles: tuple[str | None, ...]) -> np.ndarray:
+    out = _MATRICES[roles[0]]
+    for role in roles[1:]:
+        out = product(out, _MATRICES[role])
+    return out
 
 
 def block_matrix(roles: list[str | None]) -> np.ndarray:
-    """Least costs from each state to each state over a stretch of turns."""
-    out = np.full((_N, _N), _FAR, np.int64)
-    np.fill_diagonal(out, 0)
-    for role in roles:
-        out = product(out, _MATRICES[role])
-    return np.minimum(out, _FAR)
+    """Least costs from each state to each state over a stretch of turns, with places as in ``_MATRICES``."""
+    out = None
+    for n in range(0, len(roles), 4):
+        part = _short(tuple(roles[n : n + 4]))
+        out = part if out is None else product(out, part)
+    return out
 
 
 def borders(matrices: list[np.ndarray]) -> list[int]:
-    """The states between the blocks of a conversation, from 0 (start) to its last: the cheapest way, ties to the lower state from the end."""
+    """The states between the blocks of a conversation, from 0 (start) to its last: the cheapest way, ties as in ``repair``."""
     forward = [np.where(np.arange(_N) == 0, 0, _FAR)]
     for m in matrices:
-        forward.append((forward[-1][:, None] + m).min(axis=0))
+        forward.append((forward[-1][:, None] + m // _N).min(axis=0))
     states = [int((forward[-1] + END_COST).argmin())]
     for n in range(len(matrices) - 1, -1, -1):
-        states.append(int((forward[n] + matrices[n][:, states[-1]]).argmin()))
+        states.append(int((forward[n] * _N + matrices[n][:, states[-1]]).argmin()))
     return states[::-1]
 
 
@@ -102,7 +119,7 @@ def repair(roles: list[str | None], begin: int, end: int) -> list[tuple[str, str
     """(role, action, empty turns before, cost) for each turn of a stretch that begins and ends in the given states."""
     costs = [np.where(np.arange(_N) == begin, 0, _FAR)]
     for role in roles:
-        costs.append((costs[-1][:, None] + _MATRICES[role]).min(axis=0))
+        costs.append((costs[-1][:, None] + _COSTS[role]).min(axis=0))
     out, state = [], end
     for n in range(len(roles) - 1, -1, -1):
         a, _, cost, action, put = next(m for m in _MOVES[roles[n]] if m[1] == state and costs[n][m[0]] + m[2] == costs[n + 1][state])
@@ -119,33 +136,73 @@ def rendered(text: str | None, role: str, action: str, put: tuple[str, ...]) ->
     return f"{opened}<|im_start|>{role}\n{text or ''}"
 
 
+def _last(name: str) -> Column:
+    """A value that sorts with nulls last."""
+    return F.struct(F.col(name).isNull().alias("n"), F.col(name).alias("v")).alias(name)
+
+
+def _turn() -> Column:
+    return F.struct(*map(_last, ("no", "role", "text")))
+
+
+def _crowded(rows: DataFrame, block: int) -> DataFrame:
+    """conv, b, b2, turns: the rows of stretches that are too long for one block, in order, ``block`` to a block.
+
+    Different rows are dealt by ranges of their order, each with the number of its copies; the rows before a range in its
+    stretch are known from one count for each range, so neither many numbers nor many copies meet in one task.
+    """
+    order = [F.col(c).asc_nulls_last() for c in ("conv", "b", "no", "role", "text")]
+    different = rows.groupBy("conv", "b", "no", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    ranged = different.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, before = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            out = []
+            for *here, n in rows_of(batch, "conv", "b", "n"):
+                if here != at:
+                    at, before = here, 0
+                out.append(before)
+                before += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(out), pa.int32()), pa.array(out, pa.int64())], [*batch.schema.names, "part", "before"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in different.schema)
+    counted = stored(ranged.mapInArrow(count, f"{schema}, part int, before bigint"), "crowded")
+    totals = counted.groupBy("conv", "b", "part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("conv", "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select(F.col("conv").alias("tc"), F.col("b").alias("tb"), F.col("part").alias("tp"), earlier.alias("base"))
+    placed = counted.join(bases, counted["conv"].eqNullSafe(bases["tc"]) & (counted["b"] == bases["tb"]) & (counted["part"] == bases["tp"])).withColumn("first", F.col("base") + F.col("before"))
+    cut = placed.withColumn("b2", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
+    copies = F.least(F.col("first") + F.col("n"), (F.col("b2") + 1) * block) - F.greatest(F.col("first"), F.col("b2") * block)
+    held = cut.groupBy("conv", "b", "b2").agg(F.sort_array(F.collect_list(F.struct(_turn().alias("turn"), copies.cast("int").alias("n")))).alias("x"))
+    return held.select("conv", "b", "b2", F.flatten(F.transform("x", lambda x: F.array_repeat(x["turn"], x["n"]))).alias("turns"))
+
+
 def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """conversation, block, position, turn, role_in, role_out, action, cost, rendered: one row for each turn.
 
-    The rendered pieces of a conversation, joined in the order of block and position, are its text. Order of turns: by number, nulls last, ties by role
-    and text (nulls last). Turn numbers far apart or tied only make blocks smaller or larger; a block holds the turns whose
-    number falls in a stretch of ``block``, and repeated numbers beyond that are told apart by a hash of the row. A null
-    conversation is one conversation. Null, empty and unknown roles take the role that costs least; null texts are empty.
+    The rendered pieces of a conversation, joined in the order of block and position, are its text. Order of turns, at every
+    size: by number, nulls last, ties by role and text (nulls last). A block holds the turns whose number falls in a stretch
+    of ``block``; a stretch that repeated numbers make too long is cut in that same order. Where blocks end changes no repair.
+    A null conversation is one conversation. Null, empty and unknown roles take the role that costs least; null texts are empty.
     """
     rows = turns.select(turns[conversation].alias("conv"), turns[turn].cast("long").alias("no"), turns[role].alias("role"), turns[text].alias("text"))
     rows = rows.withColumn("b", F.coalesce(F.floor(F.col("no") / F.lit(block)), F.lit(1 << 62)))
-    # a stretch that many repeated numbers make too long is split by number first, then by hash
-    crowded = rows.groupBy("conv", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * block).withColumn("parts", F.ceil(F.col("n") / F.lit(block)))
-    crowded = crowded.select(F.col("conv").alias("cc"), F.col("b").alias("cb"), "parts")
-    rows = rows.join(crowded, rows["conv"].eqNullSafe(crowded["cc"]) & (rows["b"] == crowded["cb"]), "left").withColumns({
-        "b2": F.when(F.col("parts").isNotNull(), F.coalesce("no", F.lit(0))).otherwise(F.lit(0)),
-        "b3": F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("role", "text"), F.col("parts"))).otherwise(F.lit(0)),
-    })
-    last = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))
-    blocks = rows.groupBy("conv", "b", "b2", "b3").agg(F.sort_array(F.collect_list(F.struct(last("no").alias("no"), last("role").alias("role"), last("text").alias("text")))).alias("turns"))
-    blocks = stored(blocks.select("conv", F.struct("b", "b2", "b3").alias("at"), "turns"), "blocks")
+    crowded = stored(rows.groupBy("conv", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * block).select(F.col("conv").alias("cc"), F.col("b").alias("cb")), "long")
+    inside = rows["conv"].eqNullSafe(crowded["cc"]) & (rows["b"] == crowded["cb"])
+    blocks = rows.join(crowded, inside, "left_anti").groupBy("conv", "b").agg(F.sort_array(F.collect_list(_turn())).alias("turns")).select("conv", "b", F.lit(0).cast("long").alias("b2"), "turns")
+    if not crowded.isEmpty():
+        blocks = blocks.unionByName(_crowded(rows.join(crowded, inside, "left_semi"), block))
+    blocks = stored(blocks.select("conv", F.struct("b", "b2").alias("at"), "turns"), "blocks")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = [block_matrix([canonical_role(x["v"]) for x in roles]).ravel().tolist() for (roles,) in rows_of(batch, "roles")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int64()))], ["conv", "at", "m"])
 
-    kind, at = turns.schema[conversation].dataType.simpleString(), "struct<b:bigint,b2:bigint,b3:bigint>"
+    kind, at = turns.schema[conversation].dataType.simpleString(), "struct<b:bigint,b2:bigint>"
     matrices = blocks.select("conv", "at", F.col("turns.role").alias("roles")).mapInArrow(measure, f"conv {kind}, at {at}, m array<bigint>")
     joined = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("parts"))
 
