@@ -16,13 +16,14 @@ from tessera.sources.shipping import ship
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null texts, texts without a letter) go; all others stay as they are.
+    """Null texts and texts without a letter go; all others stay as they are.
 
-    Learned from the labelled documents that are not held out. Labels never decide what stays.
+    Learned from the labelled documents that are not held out. Labels never decide what stays: not what they say, nor whether
+    there are any to learn from.
     """
     ship(spark)
-    found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))), lettered="lettered")
+    return found.filter("lettered").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

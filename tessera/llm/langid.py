@@ -158,31 +158,31 @@ def phrases(model: Model, documents: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and score of each text. Score: how far the second language's cost is above the winner's, as a share of it, 0 to 1."""
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    """Language and score of each text, and whether it has a letter. Score: how far the second language's cost is above the winner's, as a share of it, 0 to 1."""
     documents = [normal(t.lower(), model.symbols) if t else np.empty(0, np.uint8) for t in texts]
     cost = (phrases(model, documents) + 1) * model.weights
     out = []
     for document, row in zip(documents, cost, strict=True):
         if not len(document) or not len(row):
-            out.append((UNDETERMINED, 0.0))
+            out.append((UNDETERMINED, 0.0, len(document) > 0))
             continue
         best = int(row.argmin())
         others = np.delete(row, best)
-        out.append((model.languages[best], float(1 - row[best] / others.min()) if len(others) else 1.0))
+        out.append((model.languages[best], float(1 - row[best] / others.min()) if len(others) else 1.0, True))
     return out
 
 
-def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """All rows of ``docs`` with lang_pred and score; ``training`` has labelled texts.
+def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "lang", lettered: str | None = None) -> DataFrame:
+    """All rows of ``docs`` with lang_pred and score, and whether the text has a letter in the column ``lettered`` if it is named; ``training`` has labelled texts.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing was learned. Ties go to
     the first language by code point. Whole texts are parsed; rows are independent, and there is no shuffle of them.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(training, identifier, text, label)))
     # at most MODEL_BYTES and the table of symbols
-    kept = docs.schema.names
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
+    kept, also = docs.schema.names, [lettered] if lettered else []
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double", *[f"`{x}` boolean" for x in also]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -195,7 +195,8 @@ def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", t
                     found += predict(m, held)
                     held, size = [], 0
             found += predict(m, held)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, "lang_pred", "score"])
+            told = [pa.array([x[n] for x in found], kind) for n, kind in enumerate((pa.string(), pa.float64(), pa.bool_())[: 2 + len(also)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*kept, "lang_pred", "score", *also])
 
     return docs.mapInArrow(run, schema)
 

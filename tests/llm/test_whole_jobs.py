@@ -1,7 +1,10 @@
 """Rows on which the training-data operators once did less than the whole job."""
 
+import corpus_pipeline
 from tessera.llm import chat
 
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
 
 def plainly(rows):
     """Repaired turns of one conversation, as one sequence without blocks."""
@@ -30,3 +33,11 @@ def test_crowded_conversations_keep_one_order(spark):
         assert [r["action"] for r in mine[:-1]] == [w[4] for w in want[:-1]]
         assert [r["cost"] for r in mine[:-1]] == [w[5] for w in want[:-1]]
         assert all(w[2] in r["rendered"] for r, w in zip(mine, want, strict=True))
+
+
+def test_language_stage_without_labels_keeps_all_letters(spark):
+    texts = ["a text of some words", "un autre texte", None, "", "12 34", "\u4e2d\u6587", "one more"]
+    for label in (None, "und"):
+        docs = spark.createDataFrame([(n, t, label, "a", len(t or "")) for n, t in enumerate(texts)], DOCUMENTS)
+        got = {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()}
+        assert got == {0, 1, 5, 6}
