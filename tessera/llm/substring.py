@@ -16,6 +16,9 @@ documents that share a window meet in the shard of its anchor, and only there.
 
 Each task combines what its own documents share before anything is sent, so an
 anchor or a passage that a third of all documents hold is sent once by each task.
+
+Words are compared by all 64 bits of their hashes; a task sends each different
+hash once to a shard, and the stretches as numbers into that list.
 """
 
 from __future__ import annotations
@@ -239,8 +242,23 @@ def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return sent.mapInArrow(meet, "i bigint, h bigint, found binary")
 
 
-_STRETCH = pa.schema([("bucket", pa.int32()), ("i", pa.int64()), ("h", pa.int64()), ("found", _BYTES), ("anchor", _BYTES), ("own", _BYTES), ("start", _BYTES), ("windows", _BYTES), ("words", _BYTES), ("ids", _BYTES), ("hs", _BYTES)])
-_STRETCH_DDL = "bucket int, i bigint, h bigint, found binary, anchor binary, own binary, start binary, windows binary, words binary, ids binary, hs binary"
+_STRETCH = pa.schema([("bucket", pa.int32()), ("i", pa.int64()), ("h", pa.int64()), ("found", _BYTES), ("anchor", _BYTES), ("own", _BYTES), ("start", _BYTES), ("windows", _BYTES), ("hashes", _BYTES), ("words", _BYTES), ("ids", _BYTES), ("hs", _BYTES)])
+_STRETCH_DDL = "bucket int, i bigint, h bigint, found binary, anchor binary, own binary, start binary, windows binary, hashes binary, words binary, ids binary, hs binary"
+
+
+def numbered(words: bytes) -> tuple[bytes, bytes]:
+    """The different 64-bit hashes of a row of words, and the words as numbers into them: two bytes each while that is enough."""
+    hashes, at = np.unique(np.frombuffer(words, "<i8"), return_inverse=True)
+    return hashes.tobytes(), at.astype(_width(len(hashes))).tobytes()
+
+
+def _width(different: int) -> str:
+    return "<u2" if different <= 1 << 16 else "<u4"
+
+
+def hashes_in(hashes: bytes, words: bytes) -> np.ndarray:
+    different = np.frombuffer(hashes, "<i8")
+    return different[np.frombuffer(words, _width(len(different)))]
 
 
 def repeats_in(group: list[tuple], window: int) -> Iterator[tuple[int, list[int]]]:
@@ -287,7 +305,6 @@ def _repeated_windows(pending: DataFrame, window: int, buckets: int) -> DataFram
                 hashes = word_hashes(words_of(text))
                 at, anchors = anchors_of(hashes, window)
                 asked = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(at)).astype(bool)
-                tokens = hashes.astype(np.uint32)
                 number = np.flatnonzero(asked)
                 if not len(number):
                     continue
@@ -297,7 +314,7 @@ def _repeated_windows(pending: DataFrame, window: int, buckets: int) -> DataFram
                 document = LAST if i is None else i
                 docs.append((document, h))
                 for start, count in zip(number[begins].tolist(), n.tolist(), strict=True):
-                    words = tokens[start : start + count + window - 1].tobytes()
+                    words = hashes[start : start + count + window - 1].tobytes()
                     key = (int(anchors[start]), xxhash.xxh3_128_digest(words))
                     if least.get(key, document) >= document:
                         least[key] = document
@@ -311,12 +328,12 @@ def _repeated_windows(pending: DataFrame, window: int, buckets: int) -> DataFram
                 else:
                     by.setdefault(key[0] % buckets, []).append((key[0], d, start, count, words))
             for d, starts in local.items():
-                for n, v in zip(_STRETCH.names, (d % buckets, *docs[d], np.array(starts, "<u4").tobytes(), *[None] * 7), strict=True):
+                for n, v in zip(_STRETCH.names, (d % buckets, *docs[d], np.array(starts, "<u4").tobytes(), *[None] * 8), strict=True):
                     out[n].append(v)
             for k, rows in by.items():
                 used = {d: u for u, d in enumerate(dict.fromkeys(r[1] for r in rows))}
                 pick = lambda j, kind, rows=rows: np.array([r[j] for r in rows], kind).tobytes()
-                values = (k, None, None, None, pick(0, "<u8"), np.array([used[r[1]] for r in rows], "<u4").tobytes(), pick(2, "<u4"), pick(3, "u1"), b"".join(r[4] for r in rows), np.array([docs[d][0] for d in used], "<i8").tobytes(), np.array([docs[d][1] for d in used], "<i8").tobytes())
+                values = (k, None, None, None, pick(0, "<u8"), np.array([used[r[1]] for r in rows], "<u4").tobytes(), pick(2, "<u4"), pick(3, "u1"), *numbered(b"".join(r[4] for r in rows)), np.array([docs[d][0] for d in used], "<i8").tobytes(), np.array([docs[d][1] for d in used], "<i8").tobytes())
                 for n, v in zip(_STRETCH.names, values, strict=True):
                     out[n].append(v)
             if out["bucket"]:
@@ -335,7 +352,7 @@ def _repeated_windows(pending: DataFrame, window: int, buckets: int) -> DataFram
                 owners.append(np.frombuffer(r["own"], "<u4").astype(np.int64) + base)
                 starts.append(np.frombuffer(r["start"], "<u4"))
                 spans.append(np.frombuffer(r["windows"], "u1").astype(np.int64))
-                tokens.append(np.frombuffer(r["words"], "<u4"))
+                tokens.append(hashes_in(r["hashes"], r["words"]))
                 ids.append(np.frombuffer(r["ids"], "<i8"))
                 hs.append(np.frombuffer(r["hs"], "<i8"))
                 base += len(ids[-1])

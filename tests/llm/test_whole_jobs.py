@@ -1,7 +1,10 @@
 """Rows on which the training-data operators once did less than the whole job."""
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
-from tessera.llm import chat
+from tessera.llm import chat, substring
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -41,3 +44,24 @@ def test_language_stage_without_labels_keeps_all_letters(spark):
         docs = spark.createDataFrame([(n, t, label, "a", len(t or "")) for n, t in enumerate(texts)], DOCUMENTS)
         got = {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()}
         assert got == {0, 1, 5, 6}
+
+
+def test_words_that_agree_in_32_bits_are_different(spark):
+    words = [f"w{n}" for n in range(300_000)]
+    low = np.array([xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF for w in words])
+    order = np.argsort(low, kind="stable")
+    twin = int(np.flatnonzero(low[order][1:] == low[order][:-1])[0])
+    a, b = words[order[twin]], words[order[twin + 1]]
+    rows = []
+    for n in range(20):  # templates of twelve words and one that differs, which the anchor covers in some
+        start = [f"t{n}x{k}" for k in range(12)]
+        rows += [(3 * n, " ".join([*start, a])), (3 * n + 1, " ".join([*start, b])), (3 * n + 2, " ".join([*start, a]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: 13 * (i % 3 == 2) for i, _ in rows}
+
+
+def test_hashes_come_back():
+    for many in (0, 5, 70_000):
+        hashes = np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        words = np.concatenate([hashes, hashes[::-1]])
+        assert (substring.hashes_in(*substring.numbered(words.tobytes())).view(np.uint64) == words).all()
