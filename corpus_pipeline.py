@@ -27,14 +27,20 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays.
 
-    Documents without words and rows without a doc_id are linked with nothing and stay.
+    Every row takes part by a number of its own: rows without a doc_id come last in their group, and of rows that share one the
+    least by hash of the whole row stays. Rows without words are linked with nothing and stay.
     """
     ship(spark)
-    found = minhash.near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # written once, so that a row has the same number in every pass
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, "row").select("row", "component_id")
+    named = stored(found.join(rows.select("row", "doc_id", F.xxhash64(*docs.columns).alias("h")), "row"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "row")).alias("x")
+    groups = named.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id", F.col("x.row").alias("best"))
+    gone = named.join(groups, "component_id").filter("row != best").select("row")
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_hashes_come_back():
         hashes = np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         words = np.concatenate([hashes, hashes[::-1]])
         assert (substring.hashes_in(*substring.numbered(words.tobytes())).view(np.uint64) == words).all()
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = " ".join(f"a{n}" for n in range(40)), " ".join(f"b{n}" for n in range(40))
+    rows = [(None, text), (None, text + " more"), (9, text), (9, text), (4, text + " end"), (None, other), (None, other), (5, None), (5, None), (None, " "), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCUMENTS).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.distinct(spark, docs, "").collect()), key=str)
+    assert got == sorted([(4, text + " end"), (None, other), (5, None), (5, None), (None, " "), (None, " ")], key=str)
