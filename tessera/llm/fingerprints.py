@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import rows_of, shuffle_partitions, stored, table
 
 
+#: Digests that several rows have, up to which they are broadcast, so that texts are not shuffled to meet them.
+SENT = 200_000
+
+
 def canonical(text: str | None) -> bytes:
     """Canonical bytes of a text; null is the empty text."""
     if not text:
@@ -50,13 +54,8 @@ def fingerprints(docs: DataFrame, identifier: str = "doc_id", text: str = "text"
     return docs.select(docs[identifier].alias("i"), docs[text].alias("t")).mapInArrow(run, f"`{identifier}` {kind}, fingerprint string")
 
 
-def exact_groups(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """identifier, fingerprint, group_id: the smallest identifier of the same canonical text (null where all are null).
-
-    Grouping is by digest and, inside equal digests, by the canonical bytes themselves, as part of the grouping key: Spark
-    compares keys byte by byte, and aggregates within each task first, so a group of copies that holds a third of all rows
-    reaches that shuffle as one row a task; the join back is one that Spark may split where it is skewed.
-    """
+def _forms(docs: DataFrame, identifier: str, text: str) -> DataFrame:
+    """identifier, fingerprint, form: digest and canonical bytes of each row."""
     kind = docs.schema[identifier].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +63,17 @@ def exact_groups(docs: DataFrame, identifier: str = "doc_id", text: str = "text"
             forms = [canonical(t) for (t,) in rows_of(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], [identifier, "fingerprint", "form"])
 
-    rows = docs.select(docs[identifier].alias("i"), docs[text].alias("t")).mapInArrow(run, f"`{identifier}` {kind}, fingerprint string, form binary")
-    rows = stored(rows, "forms")
+    return docs.select(docs[identifier].alias("i"), docs[text].alias("t")).mapInArrow(run, f"`{identifier}` {kind}, fingerprint string, form binary")
+
+
+def exact_groups(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """identifier, fingerprint, group_id: the smallest identifier of the same canonical text (null where all are null).
+
+    Grouping is by digest and, inside equal digests, by the canonical bytes themselves, as part of the grouping key: Spark
+    compares keys byte by byte, and aggregates within each task first, so a group of copies that holds a third of all rows
+    reaches that shuffle as one row a task; the join back is one that Spark may split where it is skewed.
+    """
+    rows = stored(_forms(docs, identifier, text), "forms")
     smallest = rows.groupBy("fingerprint", "form").agg(F.min(identifier).alias("group_id"))
     return rows.join(smallest, ["fingerprint", "form"]).select(identifier, "fingerprint", "group_id")
 
@@ -151,5 +159,25 @@ def _record(ids: list[pa.Array], rows: list[tuple], schema: pa.Schema) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["i", *schema.names])
 
 
+def _sent(found: DataFrame) -> DataFrame:
+    return F.broadcast(found) if found.count() <= SENT else found
+
+
+def grouped(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``compare_with_next``, with group_id as in ``exact_groups``.
+
+    Only texts whose digest several rows have are grouped by their bytes. Where different bytes share a digest, all are.
+    """
+    compared = compare_with_next(docs, identifier, text)
+    several = stored(fingerprints(docs, identifier, text).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "several")
+    same = _forms(docs, identifier, text).join(_sent(several), "fingerprint", "left_semi").groupBy("fingerprint", "form").agg(F.min(identifier).alias("group_id"))
+    same = stored(same.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("forms"), F.min("group_id").alias("group_id")), "groups")
+    if same.filter("forms > 1").isEmpty():
+        found = compared.join(_sent(same.drop("forms")), "fingerprint", "left")
+        return found.select(*compared.columns, F.coalesce("group_id", identifier).alias("group_id"))
+    groups = exact_groups(docs, identifier, text).groupBy(F.col(identifier).alias("gi"), F.col("fingerprint").alias("gf")).agg(F.min("group_id").alias("group_id"))
+    return compared.join(groups, compared[identifier].eqNullSafe(groups["gi"]) & (compared["fingerprint"] == groups["gf"])).drop("gi", "gf")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents"))

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from tessera.llm import chat, substring
+from tessera.llm import chat, fingerprints, substring
+from tessera.llm.queries import QUERIES
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -73,3 +74,23 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCUMENTS).repartition(3)
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.distinct(spark, docs, "").collect()), key=str)
     assert got == sorted([(4, text + " end"), (None, other), (5, None), (5, None), (None, " "), (None, " ")], key=str)
+
+
+def test_fingerprints_group_across_the_table(spark, tmp_path):
+    texts = ["One text", "one  TEXT", None, "", "another", "\ufb01ne", "fine", "alone"]
+    rows = [(n if n % 11 else None, texts[n * n % 8 if n % 3 else 0]) for n in range(200)] + [(500, "Nameless"), (None, "no name"), (None, "no  name"), (500, "nameless"), (500, "alone")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    smallest = {}
+    for i, t in rows:
+        smallest.setdefault(fingerprints.canonical(t), []).extend([i] * (i is not None))
+    want = sorted((str(i), fingerprints.digest(fingerprints.canonical(t)), str(min(smallest[fingerprints.canonical(t)], default=None))) for i, t in rows)
+    got = QUERIES["op5_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["group_id"])) for r in got) == want
+
+
+def test_both_groupings_agree(spark):
+    rows = [(n, f"text {n % 7}") for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["group_id"] for r in fingerprints.grouped(docs).collect()}
+    assert got == {n: n % 7 for n, _ in rows}
+    assert {r["doc_id"]: r["group_id"] for r in fingerprints.exact_groups(docs).collect()} == got
