@@ -19,11 +19,13 @@ _DEFAULT_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs in one process."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if app not in _DEFAULT_DIRS:
         _DEFAULT_DIRS[app] = tempfile.mkdtemp(prefix="tessera-")
     return _DEFAULT_DIRS[app]
@@ -55,6 +57,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the filter in ``maybe_in``.
+SLOTS = 1 << 24
+
+
+def maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with a column ``maybe``: whether its h may be among those of ``wanted``; true for a few others, never false for one.
+
+    A Bloom filter of one hash: ``SLOTS`` bits in rows of 32,768, so that the broadcast never holds more than ``SLOTS`` / 8 bytes.
+    """
+    slot = F.expr(f"pmod(h, {SLOTS}L)")
+    bits = wanted.groupBy(F.floor(slot / 32768).cast("int").alias("row")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits"))
+    at = docs.withColumn("at", F.expr(f"pmod(h, {SLOTS}L)")).join(F.broadcast(bits), F.expr("CAST(floor(`at` / 32768) AS int) = `row`"), "left")
+    octet = "cast(conv(hex(substring(bits, cast(`at` % 32768 div 8 + 1 AS int), 1)), 16, 10) AS int)"
+    return at.select(*docs.columns, F.expr(f"coalesce(shiftright({octet}, cast(`at` % 8 AS int)) % 2 = 1, false)").alias("maybe"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as 0. Stays in the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

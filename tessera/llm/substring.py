@@ -6,19 +6,24 @@ cut by content. Every window of ``WINDOW`` words has an anchor, the least of the
 hashes of its runs of ``RUN`` words: equal windows have equal anchors, so two
 documents that share a window meet in the shard of its anchor, and only there.
 
-1. Anchors that occur in one document alone are left out: a window under such an
-   anchor is in no other document.
-2. The stretches of text around the other anchors go to the anchor's shard. There
-   they pass in the order of the documents: each is matched against the automaton
-   of all earlier ones and then added to it. Where the longest match that ends at
-   a word has ``WINDOW`` words or more, that window is a repeat.
+1. Anchors are counted. Those that occur once are left out: a window under such an
+   anchor is in no other document. The others are broadcast as a filter of
+   ``FILTER_BITS`` bits, whatever their number; the fuller it is, the more of what
+   occurs once is sent for nothing in step 2, and nothing is lost.
+2. The stretches of text around the anchors that passed go to the anchor's shard,
+   in the order of the documents: each is matched against the automaton of all
+   earlier ones and then added to it. Where the longest match that ends at a word
+   has ``WINDOW`` words or more, that window is a repeat, once the hash of all its
+   words is found among those of earlier documents. Rows of a shard stream past;
+   a task holds one automaton of at most ``STATES`` states.
 3. Words covered by repeats are removed.
 
-Each task combines what its own documents share before anything is sent, so an
-anchor or a passage that a third of all documents hold is sent once by each task.
+Hot passages: a task sends equal stretches once, from its first document. Of an
+anchor that very many rows hold, each window is a shard of its own. Where an
+automaton is full, later stretches are still matched against it, and what is left
+of them is settled by a grouped minimum over the hashes of their windows.
 
-Words are compared by all 64 bits of their hashes; a task sends each different
-hash once to a shard, and the stretches as numbers into that list.
+Words pass the automaton as 32 bits of their hashes; windows are confirmed by 64.
 """
 
 from __future__ import annotations
@@ -28,21 +33,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, shuffle_partitions, stored, table
+from tessera.llm.common import maybe_in, rows_of, stored, table
 from tessera.llm.minhash import STEP, scrambled, word_hashes
+from tessera.sources.shipping import ship
 
 WINDOW = 13
 #: A power of two. Shorter runs recur by chance, and what lies under them would be sent for nothing.
 RUN = 8
-#: Anchors are sent with this many bytes; a chance collision only sends a stretch too many.
-ANCHOR_BYTES = 5
+#: Bits of the filter of repeated anchors: 32 MB, as 8,192 rows of 32,768 bits. A power of two.
+FILTER_BITS = 1 << 28
+#: Anchors with at least so many occurrences are hot, or more if else there were over HOT_MOST of them (2 MB).
+HOT, HOT_MOST = 4096, 1 << 18
+#: States of an automaton beyond which nothing is added to it.
+STATES = 200_000
 #: A document without an identifier comes after all others.
 LAST = np.iinfo(np.int64).max
-_SHIFT = np.uint64(64 - 8 * ANCHOR_BYTES)
+_ROW_BITS = 1 << 15
 
 
 class SuffixAutomaton:
@@ -111,18 +120,8 @@ class SuffixAutomaton:
         return out
 
 
-def pack(anchors: np.ndarray) -> bytes:
-    return anchors.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // ANCHOR_BYTES, 8), np.uint8)
-    wide[:, :ANCHOR_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ANCHOR_BYTES)
-    return wide.view("<u8").ravel()
-
-
-def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: the position of its anchor, the first least hash of a run, and the anchor."""
+def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the position of its anchor, the first least hash of a run; the anchor; and a hash of all its words."""
     runs, length = hashes, 1
     while 2 * length <= min(RUN, window):  # hashes of runs of 2, 4, 8 words
         runs = scrambled(runs[:-length] * STEP + runs[length:])
@@ -133,7 +132,10 @@ def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
         less = runs[k : k + n] < least
         least[less] = runs[k : k + n][less]
         at[less] = np.flatnonzero(less) + k
-    return at, least >> _SHIFT
+    whole = runs[:n]
+    for k in [*range(length, window - length, length), window - length] if window > length else []:
+        whole = scrambled(whole * STEP + runs[k : k + n])
+    return at, least, whole
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -144,6 +146,17 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def ranges(numbers: list[int]) -> list[int]:
+    """Rising numbers as start, count, start, count and so on."""
+    out: list[int] = []
+    for n in numbers:
+        if out and n == out[-2] + out[-1]:
+            out[-1] += 1
+        else:
+            out += [n, 1]
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -152,296 +165,223 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema.names)
 
 
-_BYTES = pa.binary()
-_SENT = pa.schema([("bucket", pa.int32()), ("i", pa.int64()), ("h", pa.int64()), ("found", _BYTES), ("many", _BYTES), ("one", _BYTES), ("owner", _BYTES), ("ids", _BYTES), ("hs", _BYTES)])
-_DDL = "bucket int, i bigint, h bigint, found binary, many binary, one binary, owner binary, ids binary, hs binary"
-_FOUND = pa.schema([("i", pa.int64()), ("h", pa.int64()), ("found", _BYTES)])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one bucket together; a task holds one bucket at a time."""
-    at, held = None, []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-            if held and row["bucket"] != at:
-                yield held
-                held = []
-            at = row["bucket"]
-            held.append(row)
-    if held:
-        yield held
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """a, n: the anchors of all documents, counted within each batch; an anchor counts once for each stretch of windows under it."""
 
-
-def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """i, h, found: anchors of the document that some other document has too."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs, lists = [], [], []
-            for i, h, text in rows_of(batch, "i", "h", "t"):
+            lists = [np.empty(0, np.uint64)]
+            for (text,) in rows_of(batch, "t"):
                 words = words_of(text)
                 if len(words) >= window:
-                    ids.append(LAST if i is None else i)
-                    hs.append(h)
-                    lists.append(np.unique(anchors_of(word_hashes(words), window)[1]))
-            if not lists:
-                continue
-            anchor = np.concatenate(lists)
-            owner = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
-            order = np.argsort(anchor, kind="stable")
-            anchor, owner = anchor[order], owner[order]
-            first = np.r_[True, anchor[1:] != anchor[:-1]]
-            counts = np.diff(np.r_[np.flatnonzero(first), len(anchor)])
-            shared = np.repeat(counts > 1, counts)
-            out = {n: [] for n in _SENT.names}
-            # anchors of several documents of this task are settled for those documents
-            back = np.argsort(owner[shared], kind="stable")
-            who, what = owner[shared][back], anchor[shared][back]
-            for a, b in runs(who):
-                for n, v in zip(_SENT.names, (int(who[a]) % buckets, ids[who[a]], hs[who[a]], pack(what[a:b]), None, None, None, None, None), strict=True):
-                    out[n].append(v)
-            many, one, own = anchor[first][counts > 1], anchor[~shared], owner[~shared]
-            many_at, one_at = (many % np.uint64(buckets)).astype(int), (one % np.uint64(buckets)).astype(int)
-            for k in range(buckets):
-                mine, holders = one[one_at == k], own[one_at == k]
-                used, local = np.unique(holders, return_inverse=True)
-                values = (k, None, None, None, pack(many[many_at == k]), pack(mine), local.astype("<u4").tobytes(), np.array([ids[u] for u in used], "<i8").tobytes(), np.array([hs[u] for u in used], "<i8").tobytes())
-                for n, v in zip(_SENT.names, values, strict=True):
-                    out[n].append(v)
-            yield _batch(out, _SENT)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            out = {n: [] for n in _FOUND.names}
-
-            def tell(i: int, h: int, found: bytes, out=out) -> None:
-                out["i"].append(i)
-                out["h"].append(h)
-                out["found"].append(found)
-
-            for r in rows:
-                if r["found"] is not None:
-                    tell(r["i"], r["h"], r["found"])
-            sent = [r for r in rows if r["found"] is None]
-            ones = [unpack(r["one"]) for r in sent]
-            every = np.concatenate([*ones, *[unpack(r["many"]) for r in sent], *[unpack(r["many"]) for r in sent]]) if sent else np.empty(0, np.uint64)
-            values, counts = np.unique(every, return_counts=True)
-            shared = values[counts > 1]
-            for r, mine in zip(sent, ones, strict=True):
-                hit = np.isin(mine, shared)
-                who, what = np.frombuffer(r["owner"], "<u4")[hit], mine[hit]
-                ids, hs = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["hs"], "<i8")
-                back = np.argsort(who, kind="stable")
-                who, what = who[back], what[back]
-                for a, b in runs(who):
-                    tell(int(ids[who[a]]), int(hs[who[a]]), pack(what[a:b]))
-            yield _batch(out, _FOUND)
-
-    sent = docs.mapInArrow(send, _DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(meet, "i bigint, h bigint, found binary")
-
-
-_STRETCH = pa.schema([("bucket", pa.int32()), ("i", pa.int64()), ("h", pa.int64()), ("found", _BYTES), ("anchor", _BYTES), ("own", _BYTES), ("start", _BYTES), ("windows", _BYTES), ("hashes", _BYTES), ("words", _BYTES), ("ids", _BYTES), ("hs", _BYTES)])
-_STRETCH_DDL = "bucket int, i bigint, h bigint, found binary, anchor binary, own binary, start binary, windows binary, hashes binary, words binary, ids binary, hs binary"
-
-
-def numbered(words: bytes) -> tuple[bytes, bytes]:
-    """The different 64-bit hashes of a row of words, and the words as numbers into them: two bytes each while that is enough."""
-    hashes, at = np.unique(np.frombuffer(words, "<i8"), return_inverse=True)
-    return hashes.tobytes(), at.astype(_width(len(hashes))).tobytes()
-
-
-def _width(different: int) -> str:
-    return "<u2" if different <= 1 << 16 else "<u4"
-
-
-def hashes_in(hashes: bytes, words: bytes) -> np.ndarray:
-    different = np.frombuffer(hashes, "<i8")
-    return different[np.frombuffer(words, _width(len(different)))]
-
-
-def repeats_in(group: list[tuple], window: int) -> Iterator[tuple[int, list[int]]]:
-    """Of stretches (document, words) under one anchor, sorted by document: index and window numbers that an earlier document has.
-
-    Equal stretches are known by content and pass the automaton once.
-    """
-    known: dict[tuple, int] = {}
-    automaton = None
-    waiting: list[tuple] = []  # stretches of the current document, not yet in the automaton
-    added: list[tuple] = []
-    before = None
-    for k, (document, words) in enumerate(group):
-        if document != before:
-            added += waiting
-            waiting, before = [], document
-        earlier = known.setdefault(words, document)
-        if earlier < document:
-            yield k, list(range(len(words) - window + 1))
-            continue
-        if earlier == document and words not in waiting:
-            waiting.append(words)
-        if not added and automaton is None:
-            continue
-        if automaton is None:
-            automaton = SuffixAutomaton()
-        for x in added:
-            automaton.add(x)
-        added = []
-        hits = [end - window + 1 for end, n in enumerate(automaton.matches(words)) if n >= window]
-        if hits:
-            yield k, hits
-
-
-def _repeated_windows(pending: DataFrame, window: int, buckets: int) -> DataFrame:
-    """i, h, found: first words of the windows of the document that also start in an earlier document."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    at, anchor, _ = anchors_of(word_hashes(words), window)
+                    lists.append(anchor[np.r_[True, at[1:] != at[:-1]]])
+            values, counts = np.unique(np.concatenate(lists), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], ["a", "n"])
+
+    return docs.select("t").mapInArrow(run, "a bigint, n int")
+
+
+def _filter_of(shared: DataFrame) -> bytes:
+    """``FILTER_BITS`` bits: those of the anchors in ``shared``, by their highest bits, are set."""
+    slot = F.shiftrightunsigned("a", 64 - FILTER_BITS.bit_length() + 1)
+    rows = shared.groupBy(F.floor(slot / _ROW_BITS).cast("int").alias("row")).agg(F.bitmap_construct_agg(slot % _ROW_BITS).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows.collect():  # at most FILTER_BITS in all
+        out[r["row"] * _ROW_BITS // 8 : (r["row"] + 1) * _ROW_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
+def passing(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = anchors >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+class Shard:
+    """Stretches under one anchor, in the order of their documents: automaton, and the windows of all earlier documents."""
+
+    def __init__(self, window: int, states: int) -> None:
+        self.window, self.states = window, states
+        self.document = None
+        self.whole: dict[bytes, int] = {}  # first document of each stretch, by the hashes of its windows
+        self.windows: set[int] = set()
+        self.automaton = SuffixAutomaton()
+        self.waiting: list[tuple[list[int], list[int]]] = []  # stretches of the current document
+        self.full = False
+
+    def feed(self, document: int, symbols: bytes, hashes: bytes) -> tuple[list[int], list[int]]:
+        """Numbers of the stretch's windows that an earlier document has, and of those that are yet to be settled elsewhere.
+
+        Equal stretches are known by content and pass the automaton once.
+        """
+        if document != self.document:
+            for sequence, own in self.waiting:
+                self.automaton.add(sequence)
+                self.windows.update(own)
+            self.waiting, self.document = [], document
+            self.full = len(self.automaton.next) > self.states
+        count = len(hashes) // 8
+        if self.whole.get(hashes, document) < document:
+            return list(range(count)), []
+        sequence, own = np.frombuffer(symbols, "<u4").tolist(), np.frombuffer(hashes, "<u8").tolist()
+        hits = []
+        if self.windows:
+            ends = self.automaton.matches(sequence)
+            hits = [k for k in range(count) if ends[k + self.window - 1] >= self.window and own[k] in self.windows]
+        if self.full:
+            held = set(hits)
+            return hits, [k for k in range(count) if k not in held]
+        if hashes not in self.whole:
+            self.whole[hashes] = document
+            self.waiting.append((sequence, own))
+        return hits, []
+
+
+_SENT = pa.schema([("k", pa.int64()), ("i", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("symbols", pa.binary()), ("hashes", pa.binary()), ("found", pa.list_(pa.int32()))])
+_SENT_DDL = "k bigint, i bigint, h bigint, start int, symbols binary, hashes binary, found array<int>"
+_FOUND = pa.schema([("i", pa.int64()), ("h", pa.int64()), ("found", pa.list_(pa.int32())), ("w", pa.int64()), ("start", pa.int32())])
+_FOUND_DDL = "i bigint, h bigint, found array<int>, w bigint, start int"
+
+
+def _stretches(docs: DataFrame, window: int, filter_: bytes, hot: np.ndarray) -> DataFrame:
+    """Rows for the shards, and rows (``found``) for what a batch settles by itself: stretches that its own earlier documents have."""
+    sent = docs.sparkSession.sparkContext.broadcast((filter_, hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, many = sent.value
+        bits = np.frombuffer(data, np.uint8)
         for batch in batches:
             docs: list[tuple[int, int]] = []
             least: dict[tuple, int] = {}
             stretches = []
-            for i, h, text, mask in rows_of(batch, "i", "h", "t", "mask"):
-                hashes = word_hashes(words_of(text))
-                at, anchors = anchors_of(hashes, window)
-                asked = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(at)).astype(bool)
-                number = np.flatnonzero(asked)
+            for i, h, text in rows_of(batch, "i", "h", "t"):
+                words = words_of(text)
+                if len(words) < window:
+                    continue
+                hashes = word_hashes(words)
+                at, anchor, whole = anchors_of(hashes, window)
+                number = np.flatnonzero(passing(anchor, bits))
                 if not len(number):
                     continue
-                new = np.r_[True, (np.diff(number) != 1) | (np.diff(at[number]) != 0)]
-                begins = np.flatnonzero(new)
-                n = np.diff(np.r_[begins, len(number)])
+                place = np.searchsorted(many, anchor[number])
+                alone = many[np.minimum(place, len(many) - 1)] == anchor[number] if len(many) else np.zeros(len(number), bool)
+                begins = np.flatnonzero(np.r_[True, (np.diff(number) != 1) | (np.diff(at[number]) != 0) | alone[1:]])
+                key = np.where(alone, whole[number], anchor[number])[begins].view(np.int64).tolist()
+                counts = np.diff(np.r_[begins, len(number)]).tolist()
+                low = hashes.astype(np.uint32)
                 document = LAST if i is None else i
+                for k, start, count in zip(key, number[begins].tolist(), counts, strict=True):
+                    own = (k, whole[start : start + count].tobytes())
+                    if least.get(own, document) >= document:
+                        least[own] = document
+                    stretches.append((own, len(docs), start, count, low[start : start + count + window - 1].tobytes()))
                 docs.append((document, h))
-                for start, count in zip(number[begins].tolist(), n.tolist(), strict=True):
-                    words = hashes[start : start + count + window - 1].tobytes()
-                    key = (int(anchors[start]), xxhash.xxh3_128_digest(words))
-                    if least.get(key, document) >= document:
-                        least[key] = document
-                    stretches.append((key, document, len(docs) - 1, start, count, words))
-            out = {n: [] for n in _STRETCH.names}
-            local: dict[int, list] = {}
-            by: dict[int, list] = {}
-            for key, document, d, start, count, words in stretches:
-                if least[key] < document:
-                    local.setdefault(d, []).extend(range(start, start + count))
+            out = {n: [] for n in _SENT.names}
+            settled: dict[int, list[int]] = {}
+            for (k, own), d, start, count, symbols in stretches:
+                if least[k, own] < docs[d][0]:
+                    settled.setdefault(d, []).extend(range(start, start + count))
                 else:
-                    by.setdefault(key[0] % buckets, []).append((key[0], d, start, count, words))
-            for d, starts in local.items():
-                for n, v in zip(_STRETCH.names, (d % buckets, *docs[d], np.array(starts, "<u4").tobytes(), *[None] * 8), strict=True):
-                    out[n].append(v)
-            for k, rows in by.items():
-                used = {d: u for u, d in enumerate(dict.fromkeys(r[1] for r in rows))}
-                pick = lambda j, kind, rows=rows: np.array([r[j] for r in rows], kind).tobytes()
-                values = (k, None, None, None, pick(0, "<u8"), np.array([used[r[1]] for r in rows], "<u4").tobytes(), pick(2, "<u4"), pick(3, "u1"), *numbered(b"".join(r[4] for r in rows)), np.array([docs[d][0] for d in used], "<i8").tobytes(), np.array([docs[d][1] for d in used], "<i8").tobytes())
-                for n, v in zip(_STRETCH.names, values, strict=True):
+                    for n, v in zip(_SENT.names, (k, *docs[d], start, symbols, own, None), strict=True):
+                        out[n].append(v)
+            for d, starts in settled.items():
+                for n, v in zip(_SENT.names, (docs[d][1], *docs[d], None, None, None, ranges(starts)), strict=True):
                     out[n].append(v)
-            if out["bucket"]:
-                yield _batch(out, _STRETCH)
+            for at in range(0, len(out["k"]), 1 << 15):
+                yield _batch({n: v[at : at + (1 << 15)] for n, v in out.items()}, _SENT)
+
+    return docs.select("i", "h", "t").mapInArrow(run, _SENT_DDL)
+
+
+def _repeats(sent: DataFrame, window: int, states: int) -> DataFrame:
+    """i, h, found (ranges of windows) for repeats; and i, h, w, start for windows whose shard was full."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
+        at, shard = None, None
+        for batch in batches:
+            key, document, digest = (batch.column(n).to_numpy() for n in range(3))
+            start, symbols, hashes, settled = (batch.column(n) for n in range(3, 7))
+            hits: dict[tuple[int, int], list[int]] = {}
             out = {n: [] for n in _FOUND.names}
-            anchors, owners, starts, spans, tokens, ids, hs, base = [], [], [], [], [], [], [], 0
-            for r in rows:
-                if r["found"] is not None:
-                    for n in _FOUND.names:
-                        out[n].append(r[n])
-                    continue
-                anchors.append(np.frombuffer(r["anchor"], "<u8"))
-                owners.append(np.frombuffer(r["own"], "<u4").astype(np.int64) + base)
-                starts.append(np.frombuffer(r["start"], "<u4"))
-                spans.append(np.frombuffer(r["windows"], "u1").astype(np.int64))
-                tokens.append(hashes_in(r["hashes"], r["words"]))
-                ids.append(np.frombuffer(r["ids"], "<i8"))
-                hs.append(np.frombuffer(r["hs"], "<i8"))
-                base += len(ids[-1])
-            if anchors:
-                anchor, owner, start, span, token, doc, digest = (np.concatenate(x) for x in (anchors, owners, starts, spans, tokens, ids, hs))
-                offset = np.r_[0, np.cumsum(span + window - 1)]
-                order = np.lexsort((start, doc[owner], anchor))
-                sorted_doc = doc[owner][order]
-                found: dict[int, list] = {}
-                for a, b in runs(anchor[order]):
-                    if sorted_doc[a] == sorted_doc[b - 1]:
-                        continue
-                    rows_here = order[a:b].tolist()
-                    group = [(int(doc[owner[x]]), tuple(token[offset[x] : offset[x + 1]].tolist())) for x in rows_here]
-                    for k, hits in repeats_in(group, window):
-                        x = rows_here[k]
-                        found.setdefault(int(owner[x]), []).extend(int(start[x]) + y for y in hits)
-                for d, hits in found.items():
-                    out["i"].append(int(doc[d]))
-                    out["h"].append(int(digest[d]))
-                    out["found"].append(np.array(hits, "<u4").tobytes())
-            yield _batch(out, _FOUND)
 
-    sent = pending.mapInArrow(send, _STRETCH_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(meet, "i bigint, h bigint, found binary")
+            def tell(i, h, found=None, w=None, start=None, out=out):
+                for n, v in zip(_FOUND.names, (i, h, found, w, start), strict=True):
+                    out[n].append(v)
 
+            for a, b in runs(key):
+                if key[a] != at:
+                    at, shard = key[a], Shard(window, states)
+                if b < len(key) and document[a] == document[b - 1] and shard.document is None:
+                    continue_ = [n for n in range(a, b) if settled[n].is_valid]  # one document and no more: nothing to meet
+                else:
+                    continue_ = range(a, b)
+                for n in continue_:
+                    i, h = int(document[n]), int(digest[n])
+                    if settled[n].is_valid:
+                        tell(i, h, settled[n].as_py())
+                        continue
+                    own, first = hashes[n].as_py(), start[n].as_py()
+                    repeated, left = shard.feed(i, symbols[n].as_py(), own)
+                    if repeated:
+                        hits.setdefault((i, h), []).extend(first + x for x in repeated)
+                    for x in left:
+                        tell(i, h, None, int.from_bytes(own[8 * x : 8 * x + 8], "little", signed=True), first + x)
+            for (i, h), starts in hits.items():
+                tell(i, h, ranges(sorted(set(starts))))
+            yield _batch(out, _FOUND)
 
-def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Each document with all that was found for it; its own identifier and the hash of its text name it."""
-    lists = found.groupBy("i", "h").agg(F.collect_list("found").alias("found")).select(F.col("i").alias("fi"), F.col("h").alias("fh"), "found")
-    key = F.coalesce(docs["i"], F.lit(int(LAST)))
-    return docs.join(lists, (key == lists["fi"]) & (docs["h"] == lists["fh"]), "left").drop("fi", "fh")
+    return sent.repartition("k").sortWithinPartitions("k", "i").mapInArrow(meet, _FOUND_DDL)
 
 
-_DONE = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("t", pa.string()), ("mask", _BYTES)])
-_DONE_DDL = "n_words bigint, n_removed bigint, kept_sha256 string, kept string, t string, mask binary"
+_DONE = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def deduplicated(docs: DataFrame, identifier: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, identifier: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True, states: int = STATES, hot: int = HOT) -> DataFrame:
     """identifier, n_words, n_removed, kept_sha256 and, with ``texts``, kept (kept words joined by a space).
 
     One row for each row. A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
     identifier; windows are those of the input. Null, empty and short texts lose nothing. Rows of one identifier do not count
-    as earlier than each other; rows without an identifier come last, and none of them is earlier than another.
+    as earlier than each other; rows without an identifier come last, and none of them is earlier than another. Texts may be
+    of any length; an empty table gives an empty table; other columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
-    buckets = max(4, shuffle_partitions(spark) // 2)
+    ship(spark)
     kind = docs.schema[identifier].dataType.simpleString()
     rows = docs.select(docs[identifier].cast("long").alias("i"), docs[text].alias("t")).withColumn("h", F.xxhash64("t"))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {n: [] for n in _DONE.names}
-            for value, found in rows_of(batch, "t", "found"):
-                words = words_of(value)
-                if found and len(words) >= window:
-                    mask = np.isin(anchors_of(word_hashes(words), window)[1], unpack(b"".join(found)))
-                    row = (len(words), None, None, None, value, np.packbits(mask).tobytes())
-                else:
-                    row = (len(words), 0, *_kept(words, texts), None, None)
-                for n, v in zip(_DONE.names, row, strict=True):
-                    out[n].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_batch(out, _DONE).columns], ["i", "h", *_DONE.names])
+    shared = stored(_anchors(rows, window).groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    many = np.sort(shared.filter(F.col("n") >= max(hot, -(-total // HOT_MOST))).select("a").toArrow()["a"].to_numpy().view(np.uint64))
+    found = stored(_repeats(_stretches(rows, window, _filter_of(shared), many), window, states), "repeats")
+    later = found.filter("w IS NOT NULL").select("i", "h", "w", "start")
+    least = later.groupBy("w").agg(F.min("i").alias("least"), F.max("i").alias("most")).filter("least < most").select("w", "least")
+    settled = later.join(least, "w").filter("i > least").select("i", "h", F.array("start", F.lit(1)).alias("found"))
+    lists = found.filter("w IS NULL").select("i", "h", "found").unionByName(settled).groupBy("i", "h").agg(F.flatten(F.collect_list("found")).alias("found"))
+    lists = stored(lists, "removed")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(list(_DONE)[:4])
         for batch in batches:
-            out = {n: [] for n in schema.names}
+            out = {n: [] for n in _DONE.names}
             for value, found in rows_of(batch, "t", "found"):
                 words = words_of(value)
                 n, kept = len(words), words
                 if found:
-                    starts = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
-                    edge = np.zeros(n + window + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    covered = np.cumsum(edge)[:n] > 0
-                    kept = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
-                for name, v in zip(schema.names, (n, n - len(kept), *_kept(kept, texts)), strict=True):
+                    begin, count = np.array(found, np.int64).reshape(-1, 2).T
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + count + window - 1, -1)
+                    kept = [w for w, gone in zip(words, (np.cumsum(edge)[:n] > 0).tolist(), strict=True) if not gone]
+                for name, v in zip(_DONE.names, (n, n - len(kept), *_kept(kept, texts)), strict=True):
                     out[name].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_batch(out, schema).columns], ["i", *schema.names])
-
-    passed = _joined(rows, _shared_anchors(rows.select("i", "h", "t"), window, buckets)).select("i", "h", "t", "found").mapInArrow(first, f"i bigint, h bigint, {_DONE_DDL}")
-    passed = stored(passed, "substring")
-    pending = passed.filter("t IS NOT NULL").select("i", "h", "t", "mask")
-    settled = _joined(pending.select("i", "h", "t"), _repeated_windows(pending, window, buckets)).select("i", "t", "found").mapInArrow(last, "i bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-    columns = ["n_words", "n_removed", "kept_sha256", *["kept"] * texts]
-    out = passed.filter("t IS NULL").select("i", *columns).unionByName(settled.select("i", *columns))
-    return out.select(F.col("i").cast(kind).alias(identifier), *columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_batch(out, _DONE).columns], ["i", *_DONE.names])
+
+    # texts that lose nothing stay where they are, but for the few that the filter lets through
+    split = maybe_in(rows, lists.select("h"))
+    named = lists.select(F.col("i").alias("fi"), F.col("h").alias("fh"), "found")
+    touched = split.filter("maybe")
+    touched = touched.join(named, (F.coalesce(touched["i"], F.lit(int(LAST))) == named["fi"]) & (touched["h"] == named["fh"]), "left").select("i", "t", "found")
+    whole = split.filter("NOT maybe").select("i", "t", F.lit(None).cast("array<int>").alias("found"))
+    done = whole.unionByName(touched).mapInArrow(last, "i bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return done.select(F.col("i").cast(kind).alias(identifier), "n_words", "n_removed", "kept_sha256", *["kept"] * texts)
 
 
 def _kept(words: list[bytes], texts: bool) -> tuple[str, str | None]:

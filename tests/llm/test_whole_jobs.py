@@ -61,11 +61,21 @@ def test_words_that_agree_in_32_bits_are_different(spark):
     assert got == {i: 13 * (i % 3 == 2) for i, _ in rows}
 
 
-def test_hashes_come_back():
-    for many in (0, 5, 70_000):
-        hashes = np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        words = np.concatenate([hashes, hashes[::-1]])
-        assert (substring.hashes_in(*substring.numbered(words.tobytes())).view(np.uint64) == words).all()
+def test_full_automata_and_hot_anchors_change_nothing(spark):
+    words = [f"w{n % 37}" for n in range(60)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(i % 9)] + words[i % 5 : 20 + i % 23] + [f"b{i % 4}"] * (i % 3) + words[25:45])) for i in range(120)]
+    rows += [(None, rows[3][1]), (3, rows[4][1]), (None, None), (200, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    want = sorted(map(str, substring.deduplicated(docs).collect()))
+    held = [(i if i is not None else 1 << 62, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in sorted(held, key=lambda x: x[0]):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    gone = sorted(str((i if i < 1 << 62 else None, len({x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(k, k + 13)}))) for i, w in held)
+    assert sorted(str((r["doc_id"], r["n_removed"])) for r in substring.deduplicated(docs).collect()) == gone
+    for options in ({"states": 3}, {"hot": 2}, {"states": 20, "hot": 30}):
+        assert sorted(map(str, substring.deduplicated(docs, **options).collect())) == want
 
 
 def test_one_row_of_each_group_stays(spark):
