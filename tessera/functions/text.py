@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def lowered(text: Column) -> Column:
+    """Lower case letter by letter: a capital sigma or a dotted capital I does not depend on what stands around it."""
+    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens in order; null stays null."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.regexp_extract_all(lowered(text), F.lit(TOKEN), F.lit(0))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:

@@ -103,6 +103,32 @@ def length_stats(values: DataFrame, length: str) -> DataFrame:
     return values.agg(F.count(length).alias("n"), F.avg(x).alias("mean"), part(0.5).alias("median"), F.stddev_pop(x).alias("std"), part(0.95).alias("p95"), part(0.99).alias("p99"), F.max(x).alias("longest"), F.avg(log).alias("mu"), F.stddev_pop(log).alias("sigma"))
 
 
+def lognormal_gap(values: DataFrame, length: str) -> DataFrame:
+    """mu, sigma, ks: log-normal fit of positive lengths and its Kolmogorov-Smirnov statistic, the largest gap between the fitted
+    and the observed distribution. Lengths are counted before they are put in order, so one row for each different length is."""
+    counts = values.filter(F.col(length) > 0).groupBy(F.col(length).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    log = F.log("x")
+    total = F.sum("n")
+    fit = counts.agg(total.alias("n_all"), (F.sum(F.col("n") * log) / total).alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("n") * log * log) / total - F.pow(F.sum(F.col("n") * log) / total, 2))).alias("sigma"))
+    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(fit))  # one row
+    # the normal distribution function by formula 7.1.26 of Abramowitz and Stegun, right to 1.5e-7
+    z = (log - F.col("mu")) / F.greatest("sigma", F.lit(1e-300)) / F.lit(2**0.5)
+    t = 1 / (1 + F.lit(0.3275911) * F.abs(z))
+    tail = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429))))) * F.exp(-z * z)
+    below = (1 + F.signum(z) * (1 - tail)) / 2
+    gap = F.greatest(F.abs(below - F.col("upto") / F.col("n_all")), F.abs(below - (F.col("upto") - F.col("n")) / F.col("n_all")))
+    return placed.agg(F.first("mu").alias("mu"), F.first("sigma").alias("sigma"), F.max(gap).alias("ks"))
+
+
+def combined(rates: list[Column]) -> Column:
+    """Texts a second of passes one after the other."""
+    total = 1 / rates[0]
+    for r in rates[1:]:
+        total = total + 1 / r
+    return 1 / total
+
+
 def padding(values: DataFrame, length: str, batch: Column) -> DataFrame:
     """efficiency: mean over batches of the sum of lengths over the longest times the count."""
     per = values.groupBy(batch.alias("b")).agg((F.sum(length) / (F.max(length) * F.count(length))).alias("e"))

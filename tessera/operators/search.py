@@ -1,51 +1,150 @@
 """Exact top-k similarity joins: dense, sparse and multivector, with static and per-query filters.
 
-Dense vectors without per-query conditions pass once through matrix products with a bounded block of queries; each Arrow
-batch returns k candidates a query, so what is shuffled grows with batches and queries and never with pairs. Everything else
-is a join against a broadcast side of checked size followed by a ranked window, whose group limit runs before the shuffle.
+Without per-query conditions the corpus passes once, as it is read, through products with a bounded block of queries. Each
+Arrow batch returns k candidates a query, so what is shuffled grows with batches and queries and never with pairs. Products of
+blocks round by position: what comes within the rounding error of the k-th is scored again, row by row, so equal vectors score
+alike in any partitioning. With per-query conditions a block of queries of checked size is broadcast to a join.
+
+A NaN score takes no place in a list, unless ``nan`` says so: with ``"slot"`` it sorts above infinity, takes one of the k places
+and is then left out, so the list is shorter; with ``"keep"`` it stays in the list, for partial lists that are merged later.
+Minus infinity is never in a list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
-from tessera.functions.vectors import LEAST_NORM, doubles, maxsim, score
+from tessera.functions.vectors import LEAST_NORM, doubles, score
 from tessera.operators.filters import evaluate
+from tessera.sources.scratch import stored
 from tessera.sources.shipping import ship
 
 #: Bytes of query vectors that are held in each task at once; more queries take more passes.
 QUERY_BYTES = 64 << 20
 #: Rows of a query side up to which it is broadcast to a join; a larger one is joined in blocks of this size.
 QUERY_ROWS = 20_000
+#: Scores that are held at once.
+CELLS = 1 << 22
+NAN = ("drop", "slot", "keep")
+_EPS = float(np.finfo(float).eps)
 
 
-def ranked(scored: DataFrame, k: int, tie: list[Column] | None = None, query: str = "query_id") -> DataFrame:
-    """The k best rows of each query with their rank from 1; ties by ``tie``. NaN takes no place and is left out."""
+def ranked(scored: DataFrame, k: int, tie: list[Column] | None = None, query: str = "query_id", nan: str = "drop") -> DataFrame:
+    """The k best rows of each query with their rank from 1; ties by ``tie``."""
+    if nan not in NAN:
+        raise ValueError(f"nan has to be one of {NAN}")
     order = Window.partitionBy(query).orderBy(F.desc("score"), *(tie or [F.col("vec_id")]))
-    good = scored.filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") > F.lit(float("-inf"))))
-    return good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    good = scored.filter(F.col("score").isNotNull() & (F.col("score") > F.lit(float("-inf"))))
+    good = good.filter(~F.isnan("score")) if nan == "drop" else good
+    top = good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if nan != "slot":
+        return top
+    slots = F.count(F.when(F.isnan("score"), 1)).over(Window.partitionBy(query))
+    return top.withColumn("rank", F.col("rank") - slots.cast("int")).filter(~F.isnan("score"))
 
 
-def merge(partials: list[DataFrame], k: int, tie: list[Column] | None = None) -> DataFrame:
-    """Ranked lists of parts of a corpus to the ranked lists of the whole."""
-    out = partials[0].drop("rank")
-    for p in partials[1:]:
-        out = out.unionByName(p.drop("rank"))
-    return ranked(out, k, tie)
+def tie_order(schema: StructType, rule: str, identifier: str = "vec_id") -> list[Column]:
+    """Columns that order equal scores: ``ordinal`` by file and row (of a ``scan``), ``id`` by identifier, then file and row.
+
+    Whole numbers compare as numbers and texts by their bytes. A null identifier is an error where it is compared.
+    """
+    place = [F.col(c) for c in ("filename", "file_row_number") if c in schema.names]
+    if rule == "ordinal":
+        if len(place) < 2:
+            raise ValueError("ties by position need filename and file_row_number")
+        return place
+    if rule != "id":
+        raise ValueError(f"unknown tie rule {rule!r}")
+    if identifier not in schema.names or isinstance(schema[identifier].dataType, BinaryType):
+        raise ValueError(f"ties by identifier need a column {identifier!r} of numbers or text")
+    return [F.when(F.col(identifier).isNull(), F.raise_error(F.lit("null identifier"))).otherwise(F.col(identifier)), *place]
+
+
+def merge(partials: list[DataFrame], k: int, tie: list[Column] | None = None, nan: str = "drop") -> DataFrame:
+    """Ranked lists of parts of a corpus to the ranked lists of the whole. For ``nan="slot"`` the parts have to be kept with ``nan="keep"``."""
+    return ranked(union([p.drop("rank") for p in partials]), k, tie, nan=nan)
 
 
-def blocks_of(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def blocks_of(queries: DataFrame, rows: int | None = None, n: int | None = None) -> list[DataFrame]:
     """Query rows in blocks of about ``rows``: one where they fit, else dealt by hash."""
-    n = queries.count()
+    rows = QUERY_ROWS if rows is None else rows
+    n = queries.count() if n is None else n
     count = max(1, -(-n // rows))
     return [queries] if count == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i) for i in range(count)]
 
 
+def _in_turn(blocks: list[DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One block is searched when the result is used; of several, each is written before the next is broadcast."""
+    return search(blocks[0]) if len(blocks) == 1 else union([stored(search(b), "found") for b in blocks])
+
+
+def _result(found: DataFrame, k: int, nan: str = "drop") -> DataFrame:
+    return ranked(found, k, nan=nan).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+# --- products of blocks ---------------------------------------------------------------------------------------------
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, nan: str) -> np.ndarray:
+    """Numbers of the k best scores, ties to the smaller identifier; NaN ones first or not at all."""
+    real = scores > -np.inf
+    out = np.flatnonzero(real)
+    if nan != "drop":
+        out = np.r_[np.flatnonzero(np.isnan(scores))[:k], out]
+    if len(out) <= k:
+        return out
+    key = np.where(np.isnan(scores[out]), np.inf, scores[out])
+    first = ~np.isnan(scores[out])
+    return out[np.lexsort((ids[out], -key, first))[:k]]
+
+
+def _near_top(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Rows that may be among the k best, given bounds of their scores; rows without finite bounds may."""
+    sound = np.isfinite(low) & np.isfinite(high)
+    if sound.sum() <= k:
+        return np.arange(len(low))
+    kth = np.partition(low[sound], sound.sum() - k)[sound.sum() - k]
+    return np.flatnonzero(~sound | (high >= kth))
+
+
+def _emit(found: list[tuple], names: pa.Array, query_type: pa.DataType) -> pa.RecordBatch:
+    """found: (query identifier, row numbers, scores)."""
+    ids = [q for q, rows, _ in found for _ in range(len(rows))]
+    rows = np.concatenate([np.empty(0, np.int64), *[x[1] for x in found]]).astype(np.int64)
+    scores = np.concatenate([np.empty(0), *[x[2] for x in found]])
+    return pa.RecordBatch.from_arrays([pa.array(ids, query_type), names.take(pa.array(rows)), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
+def _product_pass(rows: DataFrame, sent: object, kernel: Callable, query_kind: str) -> DataFrame:
+    """``kernel(batch, sent)`` gives (query identifier, row numbers, scores) for the best of each batch."""
+    ship(rows.sparkSession)
+    payload = rows.sparkSession.sparkContext.broadcast(sent)
+    query_type = pa.int64() if query_kind == "bigint" else pa.int32() if query_kind == "int" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(all="ignore"):  # infinities and NaN are data here
+                yield _emit(list(kernel(batch, payload.value)), batch.column(0), query_type)
+
+    return rows.mapInArrow(run, f"query_id {query_kind}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double")
+
+
+def _identifiers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _row_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Scores of one query against rows, the same for equal rows wherever they stand."""
     if metric == "euclidean":
@@ -56,70 +155,145 @@ def _row_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return s
 
 
-def _block_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _block_bounds(metric: str, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of a rising function of the scores of queries (rows) against rows (columns): product and rounding error.
+
+    The error of a product of n numbers is at most n * eps times the product of the lengths; the bounds leave room for four times that.
+    """
+    gamma = 4 * (q.shape[1] + 4) * _EPS
     s = q @ c.T
+    length_q, length_c = np.sqrt((q * q).sum(axis=1))[:, None], np.sqrt((c * c).sum(axis=1))
     if metric == "cosine":
-        return s / np.maximum(np.sqrt((c * c).sum(axis=1)), LEAST_NORM) / np.maximum(np.sqrt((q * q).sum(axis=1)), LEAST_NORM)[:, None]
-    if metric == "euclidean":
-        return -np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * s))
-    return s
+        s, error = s / np.maximum(length_c, LEAST_NORM) / np.maximum(length_q, LEAST_NORM), gamma
+    elif metric == "euclidean":  # the negated square
+        s, error = 2 * s - length_q**2 - length_c**2, gamma * (length_q + length_c) ** 2
+    else:
+        error = gamma * length_q * length_c
+    return s - error, s + error
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = ()) -> DataFrame:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the lists in ``lists.values``; a null list has no size."""
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    return offsets[:-1], np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0) if lists.null_count else sizes
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), nan: str = "drop") -> DataFrame:
     """query_id, rank, vec_id, score: queries (query_id, embedding) against all rows of corpus (vec_id, embedding, payload).
 
     Null vectors, and vectors of another length than the query's, are no candidates. Ties go to the smaller vec_id. Fewer than k
     candidates give shorter lists. ``where`` is a filter of payload columns; it reaches the scan.
     """
-    ship(corpus.sparkSession)
     keep = evaluate(corpus.schema, where, dates=dates)
     rows = (corpus if keep is None else corpus.filter(keep)).select("vec_id", "embedding").filter("embedding IS NOT NULL AND vec_id IS NOT NULL")
     named = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    width = named.select(F.max(F.size("embedding"))).first()[0] or 1
-    parts = [_matrix_pass(block, rows, metric, k) for block in blocks_of(named, max(1, QUERY_BYTES // (8 * width)))]
-    return merge(parts, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _matrix_pass(queries: DataFrame, rows: DataFrame, metric: str, k: int) -> DataFrame:
-    held = queries.collect()  # at most QUERY_BYTES of vectors
-    by_width: dict[int, tuple[list, list]] = {}
-    for r in held:
-        ids, vectors = by_width.setdefault(len(r["embedding"]), ([], []))
-        ids.append(r["query_id"])
-        vectors.append(r["embedding"])
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast({w: (ids, np.array(v, float).reshape(len(ids), w)) for w, (ids, v) in by_width.items()})
-    id_kind, query_kind = rows.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            starts = vectors.offsets.to_numpy()[:-1]
-            flat = vectors.values.to_numpy(zero_copy_only=False).astype(float)
-            for width, (ids, q) in sent.value.items():
-                picked = np.flatnonzero(sizes == width)
-                if not len(picked):
+    width, n = named.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+
+    def kernel(batch: pa.RecordBatch, sent: dict) -> Iterator[tuple]:
+        starts, sizes = _flat(batch.column(1))
+        flat = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float)
+        names = _identifiers(batch.column(0))
+        for width, (ids, q) in sent.items():
+            picked = np.flatnonzero(sizes == width)
+            if not len(picked):
+                continue
+            c, own = flat[starts[picked][:, None] + np.arange(width)], names[picked]
+            step = max(1, CELLS // len(picked))
+            for at in range(0, len(q), step):
+                low, high = _block_bounds(metric, q[at : at + step], c)
+                for row in range(len(low)):
+                    near = _near_top(low[row], high[row], k)
+                    exact = _row_scores(metric, q[at + row], c[near])
+                    best = _best(exact, own[near], k, nan)
+                    yield ids[at + row], picked[near[best]], exact[best]
+
+    def search(block: DataFrame) -> DataFrame:
+        by_width: dict[int, tuple[list, list]] = {}
+        for r in block.collect():  # at most QUERY_BYTES of vectors
+            ids, vectors = by_width.setdefault(len(r["embedding"]), ([], []))
+            ids.append(r["query_id"])
+            vectors.append(r["embedding"])
+        return _product_pass(rows, {w: (ids, np.array(v, float).reshape(len(ids), w)) for w, (ids, v) in by_width.items()}, kernel, _kind(queries))
+
+    return _result(_in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search), k, nan)
+
+
+def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict]) -> DataFrame:
+    """spec, query_id, rank, vec_id, score: several searches in one pass over the corpus. A spec may have metric, k, where and dates.
+
+    Filters are columns of truth values beside the vectors, so each row is read and each vector decoded once for all searches.
+    """
+    tests = {name: evaluate(corpus.schema, s.get("where"), dates=s.get("dates", ())) for name, s in specs.items()}
+    names = list(specs)
+    rows = corpus.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding", F.array(*[F.lit(True) if tests[n] is None else tests[n] for n in names]).alias("fits"))
+    kept = rows.filter(F.exists("fits", lambda x: x))
+    named = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    width, n = named.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    settings = [(n, s.get("metric", "dot"), s.get("k", 10)) for n, s in specs.items()]
+
+    def kernel(batch: pa.RecordBatch, sent: list) -> Iterator[tuple]:
+        starts, sizes = _flat(batch.column(1))
+        flat = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float)
+        fits = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        own = _identifiers(batch.column(0))
+        for name, q in sent:
+            here = np.flatnonzero(sizes == len(q))
+            c = flat[starts[here][:, None] + np.arange(len(q))]
+            for s, (spec, metric, k) in enumerate(settings):
+                mine = np.flatnonzero(fits[here, s])
+                if not len(mine):
                     continue
-                c = flat[starts[picked][:, None] + np.arange(width)]
-                names = batch.column(0).take(pa.array(picked))
-                rough = _block_scores(metric, q, c)
-                out_q, out_i, out_s = [], [], []
-                for row, s in enumerate(rough):
-                    s = np.where(np.isnan(s), -np.inf, s)
-                    best = np.arange(len(s))
-                    if len(s) > k:  # products of blocks round by position: what comes near the k-th is scored again, row by row
-                        kth = np.partition(s, len(s) - k)[len(s) - k]
-                        near = 1e-9 * (1 + abs(kth)) if metric != "euclidean" else 1e-6 * (1 + abs(kth))
-                        best = np.flatnonzero(s >= kth - near)
-                    exact = _row_scores(metric, q[row], c[best])
-                    out_q += [ids[row]] * len(best)
-                    out_i.append(best)
-                    out_s.append(exact)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, query_type), names.take(pa.array(np.concatenate(out_i))), pa.array(np.concatenate(out_s))], ["query_id", "vec_id", "score"])
+                low, high = _block_bounds(metric, q[None, :], c[mine])
+                near = mine[_near_top(low[0], high[0], k)]
+                exact = _row_scores(metric, q, c[near])
+                best = _best(exact, own[here[near]], k, "drop")
+                yield f"{spec}\x00{name}", here[near[best]], exact[best]
+
+    def search(block: DataFrame) -> DataFrame:
+        return _product_pass(kept, [(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()], kernel, "string")  # at most QUERY_BYTES
+
+    found = _in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search)
+    parts = F.split("query_id", "\x00")
+    found = found.withColumns({"spec": F.get(parts, 0), "q": F.get(parts, 1)})
+    lists = union([ranked(found.filter(F.col("spec") == name), k) for name, _, k in settings])
+    return lists.select("spec", F.col("q").cast(_kind(queries)).alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def dense_scores(queries: DataFrame, corpus: DataFrame, metrics: tuple[str, ...] = ("dot", "cosine", "euclidean")) -> DataFrame:
+    """query_id, vec_id and a column for each metric, for every pair of vectors of equal length: one product serves all metrics."""
+    rows = corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    width, n = asked.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    ship(corpus.sparkSession)
+    schema = f"query_id {_kind(queries)}, vec_id {corpus.schema['vec_id'].dataType.simpleString()}, " + ", ".join(f"{m} double" for m in metrics)
 
-    query_type = pa.int64() if query_kind == "bigint" else pa.int32() if query_kind == "int" else pa.string()
-    return rows.mapInArrow(run, f"query_id {query_kind}, vec_id {id_kind}, score double")
+    def search(block: DataFrame) -> DataFrame:
+        held = corpus.sparkSession.sparkContext.broadcast([(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()])  # at most QUERY_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                starts, sizes = _flat(batch.column(1))
+                flat = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float)
+                for name, q in held.value:
+                    here = np.flatnonzero(sizes == len(q))
+                    c = flat[starts[here][:, None] + np.arange(len(q))]
+                    product, square_c, square_q = c @ q, (c * c).sum(axis=1), float(q @ q)
+                    told = {
+                        "dot": product,
+                        "cosine": product / np.maximum(np.sqrt(square_c), LEAST_NORM) / max(np.sqrt(square_q), LEAST_NORM),
+                        "euclidean": -np.sqrt(np.maximum(0.0, square_c + square_q - 2 * product)),
+                    }
+                    ids = pa.array([name] * len(here))
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(pa.array(here)), *[pa.array(told[m]) for m in metrics]], ["query_id", "vec_id", *metrics])
+
+        return rows.mapInArrow(run, schema)
+
+    return _in_turn(blocks_of(asked, max(1, QUERY_BYTES // (8 * (width or 1))), n), search)
+
+
+def _kind(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
 
 
 def filtered_topk(queries: DataFrame, corpus: DataFrame, where: dict, metric: str = "dot", k: int = 10, dates: tuple[str, ...] = ()) -> DataFrame:
@@ -129,8 +303,8 @@ def filtered_topk(queries: DataFrame, corpus: DataFrame, where: dict, metric: st
     """
     kept = [c["field"] for part in where.values() for c in part]
     rows = corpus.select("vec_id", doubles(F.col("embedding")).alias("v"), *dict.fromkeys(kept))
-    parts = []
-    for block in blocks_of(queries):
+
+    def search(block: DataFrame) -> DataFrame:
         names = {n: f"__q_{n}" for n in block.columns}
         asked = block.select(*[F.col(n).alias(m) for n, m in names.items()])
         test = evaluate(corpus.schema, where, query={n: F.col(m) for n, m in names.items()}, query_schema=block.schema, dates=dates)
@@ -138,41 +312,140 @@ def filtered_topk(queries: DataFrame, corpus: DataFrame, where: dict, metric: st
         for e in equal:
             test = test & e
         pairs = rows.join(F.broadcast(asked), test)
-        parts.append(pairs.select(F.col("__q_query_id").alias("query_id"), "vec_id", score(metric, doubles(F.col("__q_embedding")), F.col("v")).alias("score")))
-    return merge(parts, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return pairs.select(F.col("__q_query_id").alias("query_id"), "vec_id", score(metric, doubles(F.col("__q_embedding")), F.col("v")).alias("score"))
+
+    return _result(_in_turn(blocks_of(queries), search), k)
+
+
+def gathered(entries: DataFrame, identifier: str = "vec_id") -> DataFrame:
+    """Entries (identifier, term, weight) to a row for each identifier: identifier, indices, values."""
+    rows = entries.groupBy(identifier).agg(F.collect_list(F.struct("term", "weight")).alias("x"))
+    return rows.select(identifier, F.col("x.term").alias("indices"), F.col("x.weight").cast("array<double>").alias("values"))
+
+
+def _summed(rows: np.ndarray, codes: np.ndarray, weights: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated (row, code) become one, their weights summed; in order of row and code."""
+    keys, place = np.unique(rows * width + codes, return_inverse=True)
+    return keys // width, keys % width, np.bincount(place, weights, len(keys))
 
 
 def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score over entries (query_id | vec_id, term, weight), the weights of repeated terms summed.
+    """query_id, rank, vec_id, score over rows (query_id | vec_id, indices, values), the weights of repeated indices summed.
 
-    Rows that share no term with a query are no candidates of it. The cosine divides by norms over all terms of a row.
-    The terms of the queries are broadcast in blocks; a frequent term is no group of its own.
+    Rows that share no index with a query are no candidates of it. The cosine divides by norms over all indices of a row; for
+    all else only indices that some query of the block has are looked at. Nothing is shuffled but the best of each batch.
     """
-    entries = corpus.groupBy("vec_id", "term").agg(F.sum("weight").alias("weight"))
-    asked = queries.groupBy("query_id", "term").agg(F.sum("weight").alias("q_weight"))
-    parts = []
-    for block in blocks_of(asked, QUERY_ROWS * 10):
-        parts.append(entries.join(F.broadcast(block), "term").groupBy("query_id", "vec_id").agg(F.sum(F.col("weight") * F.col("q_weight")).cast("double").alias("score")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    if metric == "cosine":
-        least = F.lit(LEAST_NORM)
-        norms = entries.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
-        asked_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("qn"))
-        scored = scored.join(norms, "vec_id").join(asked_norms, "query_id").withColumn("score", F.col("score") / F.greatest("n", least) / F.greatest("qn", least))
-    return ranked(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = corpus.select("vec_id", "indices", doubles(F.col("values")).alias("values")).filter("vec_id IS NOT NULL AND indices IS NOT NULL")
+    asked = queries.select("query_id", "indices", doubles(F.col("values")).alias("values")).filter("indices IS NOT NULL")
+    longest, n = asked.agg(F.max(F.size("indices")), F.count(F.lit(1))).first()
+
+    def kernel(batch: pa.RecordBatch, sent: tuple) -> Iterator[tuple]:
+        ids, vocabulary, offsets, posted, weight, norms, signed = sent
+        indices, values = batch.column(1), batch.column(2)
+        sizes = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
+        flat, w = indices.flatten(), values.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != len(w):
+            raise ValueError("indices and values differ in length")
+        row, names = np.repeat(np.arange(batch.num_rows), sizes), _identifiers(batch.column(0))
+        length = np.ones(batch.num_rows)
+        if metric == "cosine":
+            coded = flat.dictionary_encode()
+            r, _, total = _summed(row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), w, max(1, len(coded.dictionary)))
+            length = np.maximum(np.sqrt(np.bincount(r, total * total, batch.num_rows)), LEAST_NORM)
+        code = pc.index_in(flat, value_set=vocabulary)
+        known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        row, code, w = _summed(row[known], code.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64), w[known], max(1, len(vocabulary)))
+        step = max(1, CELLS // max(1, len(ids)))
+        for at in range(0, batch.num_rows, step):
+            here = min(step, batch.num_rows - at)
+            a, b = np.searchsorted(row, (at, at + here))
+            scores, shared = np.zeros(here * len(ids)), np.zeros(here * len(ids), bool)
+            for c in range(a, b, 1 << 15):  # entries against the queries that have their index
+                e = slice(c, min(b, c + (1 << 15)))
+                count = offsets[code[e] + 1] - offsets[code[e]]
+                entry = np.repeat(np.arange(e.stop - e.start), count)
+                post = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + offsets[code[e]][entry]
+                cell = (row[e][entry] - at) * len(ids) + posted[post]
+                first, last = (int(cell.min()), int(cell.max()) + 1) if len(cell) else (0, 0)
+                scores[first:last] += np.bincount(cell - first, w[e][entry] * weight[post], last - first)
+                if signed or w[e].min(initial=1) <= 0:
+                    shared[cell] = True
+                else:
+                    shared[first:last] |= scores[first:last] > 0
+            scores, shared = scores.reshape(here, -1), shared.reshape(here, -1)
+            for q, name in enumerate(ids):
+                rows = np.flatnonzero(shared[:, q])
+                s = scores[rows, q] / length[at + rows] / norms[q] if metric == "cosine" else scores[rows, q]
+                best = _best(s, names[at + rows], k, "drop")
+                yield name, at + rows[best], s[best]
+
+    def search(block: DataFrame) -> DataFrame:
+        held = [r for r in block.collect()]  # at most QUERY_BYTES
+        flat = pa.array([x for r in held for x in r["indices"]])
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        codes = place[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(flat) else np.empty(0, np.int64)
+        number = np.repeat(np.arange(len(held)), [len(r["indices"]) for r in held]).astype(np.int64)
+        # by index, then query: the postings
+        term, posted, weight = _summed(codes, number, np.array([x for r in held for x in r["values"]], float), max(1, len(held)))
+        offsets = np.searchsorted(term, np.arange(len(order) + 1))
+        norms = np.maximum(np.sqrt(np.bincount(posted, weight * weight, len(held))), LEAST_NORM)
+        sent = ([r["query_id"] for r in held], coded.dictionary.take(pa.array(order)), offsets, posted, weight, norms, bool((weight <= 0).any()))
+        return _product_pass(rows, sent, kernel, _kind(queries))
+
+    return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (64 * (longest or 1))), n), search), k)
 
 
 def maxsim_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score over columns ``tokens`` (array of vectors); rows without a token are no candidates."""
-    parts = []
-    for block in blocks_of(queries.select("query_id", F.col("tokens").alias("q_tokens"))):
-        pairs = corpus.select("vec_id", "tokens").crossJoin(F.broadcast(block))  # a stated query set against all rows
-        parts.append(pairs.select("query_id", "vec_id", maxsim(F.col("q_tokens"), F.col("tokens"), metric).alias("score")))
-    return merge(parts, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
+    """query_id, rank, vec_id, score over columns ``tokens`` (array of vectors): for each token of the query the best product with
+    a token of the row, summed; the cosine takes tokens of unit length. Rows without a token, or with tokens of another length
+    than the query's, are no candidates.
+    """
+    if metric not in ("dot", "cosine"):
+        raise ValueError("the metric has to be dot or cosine")
+    rows = corpus.select("vec_id", F.col("tokens").cast("array<array<double>>").alias("tokens")).filter("vec_id IS NOT NULL AND size(tokens) > 0")
+    asked = queries.select("query_id", F.col("tokens").cast("array<array<double>>").alias("tokens")).filter("size(tokens) > 0")
+    most, width, n = asked.agg(F.max(F.size("tokens")), F.max(F.size(F.col("tokens")[0])), F.count(F.lit(1))).first()
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1)), LEAST_NORM)[:, None] if metric == "cosine" else x
+
+    def kernel(batch: pa.RecordBatch, sent: list) -> Iterator[tuple]:
+        starts, sizes = _flat(batch.column(1))
+        inner = batch.column(1).values
+        begin, width_of = _flat(inner)
+        flat, names = inner.values.to_numpy(zero_copy_only=False), _identifiers(batch.column(0))
+        for width in {q.shape[1] for _, q in sent}:
+            even = np.r_[0, np.cumsum(width_of == width)]
+            picked = np.flatnonzero((sizes > 0) & (even[starts + sizes] - even[starts] == sizes))
+            step = max(1, CELLS // max(1, 64 * (int(sizes[picked].max()) if len(picked) else 1)))
+            for at in range(0, len(picked), step):
+                here = picked[at : at + step]
+                first = np.r_[0, np.cumsum(sizes[here])]
+                token = np.repeat(starts[here] - first[:-1], sizes[here]) + np.arange(first[-1])
+                d = unit(flat[begin[token][:, None] + np.arange(width)])
+                longest = np.maximum.reduceat(np.sqrt((d * d).sum(axis=1)), first[:-1])
+                for name, q in sent:
+                    if q.shape[1] != width:
+                        continue
+                    q = unit(q)
+                    s = np.maximum.reduceat(q @ d.T, first[:-1], axis=1).sum(axis=0)
+                    error = 4 * (width + len(q) + 4) * _EPS * np.sqrt((q * q).sum(axis=1)).sum() * longest
+                    near = _near_top(s - error, s + error, k)
+                    exact = np.array([(q[:, None, :] * d[None, first[x] : first[x + 1]]).sum(axis=2).max(axis=1).sum() for x in near])
+                    best = _best(exact, names[here[near]], k, "drop")
+                    yield name, here[near[best]], exact[best]
+
+    def search(block: DataFrame) -> DataFrame:
+        sent = [(r["query_id"], np.array(r["tokens"], float)) for r in block.collect()]  # at most QUERY_BYTES
+        return _product_pass(rows, sent, kernel, _kind(queries))
+
+    return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (8 * (most or 1) * (width or 1))), n), search), k)
+
+
+# --- over lists -----------------------------------------------------------------------------------------------------
 def kth_bound(partials: DataFrame, k: int, parts: int) -> DataFrame:
     """query_id, bound: a score the k-th result reaches at least, from the first max(1, min(k, ceil(2k / parts))) of each part."""
     width = max(1, min(k, -(-2 * k // parts)))
@@ -180,10 +453,22 @@ def kth_bound(partials: DataFrame, k: int, parts: int) -> DataFrame:
     return ranked(top, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
 
 
+def trimmed(partials: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Entries of partial lists that can still be among the k best: those below the bound of their query go, ties and scores that
+    are no finite numbers stay. ``bounds`` has a row for each query that is bounded."""
+    finite = F.abs("score") < F.lit(float("inf"))
+    kept = partials.join(bounds, "query_id", "left").filter(F.col("bound").isNull() | ~finite | F.isnan("score") | (F.col("score") >= F.col("bound")))
+    return kept.select(*partials.columns)
+
+
+def unreached(merged: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """query_id, bound, kth: queries whose merged list does not reach the bound that was applied; none if the trimming was right."""
+    kth = merged.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    return bounds.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("kth") < F.col("bound"))).select("query_id", "bound", "kth")
+
+
 def fused(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion (Cormack et al., SIGIR 2009) of ranked lists."""
-    every = lists[0].select("query_id", "vec_id", "rank")
-    for x in lists[1:]:
-        every = every.unionByName(x.select("query_id", "vec_id", "rank"))
+    every = union([x.select("query_id", "vec_id", "rank") for x in lists])
     scored = every.groupBy("query_id", "vec_id").agg(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))).alias("raw"))
-    return ranked(scored.select("query_id", "vec_id", F.round("raw", 12).alias("score")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _result(scored.select("query_id", "vec_id", F.round("raw", 12).alias("score")), k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable
 from fnmatch import fnmatch
 
@@ -32,7 +33,10 @@ def files(spark: SparkSession, root: str) -> list[str]:
 
 def selected(paths: list[str], include: str | None = None, exclude: str | None = None) -> list[str]:
     """Paths in which ``include`` is found and ``exclude`` is not."""
-    return [p for p in paths if (include is None or re.search(include, p)) and not (exclude and re.search(exclude, p))]
+    kept = [p for p in paths if (include is None or re.search(include, p)) and not (exclude and re.search(exclude, p))]
+    if paths and not kept:
+        warnings.warn(f"include {include!r} and exclude {exclude!r} leave none of {len(paths)} files", stacklevel=2)
+    return kept
 
 
 def matching(paths: list[str], pattern: str | Iterable[str] | None) -> list[str]:
@@ -45,6 +49,13 @@ def matching(paths: list[str], pattern: str | Iterable[str] | None) -> list[str]
     return list(dict.fromkeys(p for one in pattern for p in matching(paths, one)))
 
 
+def arrow_path(path: str) -> str:
+    """A path as a URI that Arrow's file systems open: Spark writes local ones as file:/x."""
+    if path.startswith("file:"):
+        return "file:///" + path[5:].lstrip("/")
+    return path if "://" in path else f"file://{path}"
+
+
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows with ``filename`` and ``file_row_number``."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*paths)

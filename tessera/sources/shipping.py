@@ -14,12 +14,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once an application, unless PYTHONPATH already leads to it."""
+    """Send the package to the executors once an application. In one process with PYTHONPATH leading to it there is nothing to send."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if spark.sparkContext.master.split("[")[0] == "local" and str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
