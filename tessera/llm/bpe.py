@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import rows_of, table
+from tessera.llm.common import rows_of, ship, table
 
 #: Fixed values of the tokenizer file's pre-tokenizer and normaliser.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -156,8 +156,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, identifier: str =
     """identifier, n_tokens, then ids (array of int), or with ``digests`` the SHA-256 of ids and of the decoded text.
 
     One row for each row; null and empty texts have no ids and decode to the empty text. Very long texts are encoded piece by
-    piece between white space. Rows are independent, so repeated rows repeat. There is no shuffle.
+    piece between white space. Rows are independent, so repeated rows repeat. There is no shuffle. An empty table gives an empty
+    table; other columns, whatever their names, are not looked at.
     """
+    ship(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema[identifier].dataType.simpleString()
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, shuffle_partitions, stored, table
+from tessera.llm.common import rows_of, ship, shuffle_partitions, stored, table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing said yet, or the role of the last turn.
@@ -187,7 +187,10 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     size: by number, nulls last, ties by role and text (nulls last). A block holds the turns whose number falls in a stretch
     of ``block``; a stretch that repeated numbers make too long is cut in that same order. Where blocks end changes no repair.
     A null conversation is one conversation. Null, empty and unknown roles take the role that costs least; null texts are empty.
+    Repeated rows are turns each; texts may be of any length; an empty table gives an empty table; other columns, whatever their
+    names, are not looked at.
     """
+    ship(turns.sparkSession)
     rows = turns.select(turns[conversation].alias("conv"), turns[turn].cast("long").alias("no"), turns[role].alias("role"), turns[text].alias("text"))
     rows = rows.withColumn("b", F.coalesce(F.floor(F.col("no") / F.lit(block)), F.lit(1 << 62)))
     crowded = stored(rows.groupBy("conv", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * block).select(F.col("conv").alias("cc"), F.col("b").alias("cb")), "long")
@@ -242,5 +245,12 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     return done.select(F.col("conv").alias(conversation), "block", "position", F.col("turn").alias(turn), "role_in", "role_out", "action", "cost", "rendered")
 
 
+def texts(done: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """conversation, block, text: the repaired conversations of ``format_chats`` as texts, a row for each block. A conversation is its
+    blocks in order, joined by nothing; a block has a bounded number of turns."""
+    parts = done.groupBy(conversation, "block").agg(F.sort_array(F.collect_list(F.struct("position", "rendered"))).alias("x"))
+    return parts.select(conversation, "block", F.array_join("x.rendered", "").alias("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))

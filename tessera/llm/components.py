@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
+#: The number of rounds grows with the logarithm of the number of links of the longest chain; more than this is an error, not a result.
 MAX_ROUNDS = 40
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, shuffle_partitions, stored, table
+from tessera.llm.common import rows_of, ship, shuffle_partitions, stored, table
 
 
 #: Digests that several rows have, up to which they are broadcast, so that texts are not shuffled to meet them.
@@ -44,7 +44,9 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def fingerprints(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """identifier, fingerprint: one row for each row, without a shuffle. Null and empty texts have the digest of no bytes."""
+    """identifier, fingerprint: one row for each row, without a shuffle. Null and empty texts have the digest of no bytes; texts may be of any length;
+    an empty table gives an empty table; other columns, whatever their names, are not looked at."""
+    ship(docs.sparkSession)
     kind = docs.schema[identifier].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +73,10 @@ def exact_groups(docs: DataFrame, identifier: str = "doc_id", text: str = "text"
 
     Grouping is by digest and, inside equal digests, by the canonical bytes themselves, as part of the grouping key: Spark
     compares keys byte by byte, and aggregates within each task first, so a group of copies that holds a third of all rows
-    reaches that shuffle as one row a task; the join back is one that Spark may split where it is skewed.
+    reaches that shuffle as one row a task; the join back is one that Spark may split where it is skewed. Null and empty texts are
+    one group; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     rows = stored(_forms(docs, identifier, text), "forms")
     smallest = rows.groupBy("fingerprint", "form").agg(F.min(identifier).alias("group_id"))
     return rows.join(smallest, ["fingerprint", "form"]).select(identifier, "fingerprint", "group_id")
@@ -99,8 +103,10 @@ def compare_with_next(docs: DataFrame, identifier: str = "doc_id", text: str = "
 
     Next document: by descending identifier, nulls last, equal identifiers by hash of the text and then by text; after the last
     comes the first. A single document is followed by itself. One range exchange carries the texts; each task passes over its
-    sorted rows once, and only the last row of a task waits for the first row of the next.
+    sorted rows once, and only the last row of a task waits for the first row of the next. Null texts are empty, texts may be of any
+    length, an empty table gives an empty table, and other columns are not looked at.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[identifier].dataType.simpleString()
     spark = docs.sparkSession
     source = docs.select(docs[identifier].alias("i"), F.coalesce(docs[text], F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
