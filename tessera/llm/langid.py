@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, table
+from tessera.llm.common import rows_of, ship, table
 from tessera.llm.substring import SuffixAutomaton
 
 #: The fitted sample, for each language: so many excerpts of so many characters. It bounds the size of the model.
 EXCERPTS, EXCERPT = 60, 300
-#: Letters that get a symbol of their own, by frequency in the sample; all other letters share one.
-ALPHABET = 61
+#: Letters that get a symbol of their own, by frequency in the sample. Further letters of the sample, as of scripts with thousands
+#: of them, are spread over so many symbols by code point; letters that no sample holds share one.
+ALPHABET, SPREAD = 61, 128
 #: Bytes of all tables together; with many languages each sample is cut to fit.
 MODEL_BYTES = 96 << 20
 UNDETERMINED = "und"
@@ -81,9 +82,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     for i in range(65536):
         if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
             symbols[i] = OTHER
-    for n, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
-        symbols[ord(c)] = n + 2
-    width = ALPHABET + 2
+    ranked = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+    for n, c in enumerate(ranked):
+        symbols[ord(c)] = n + 2 if n < ALPHABET else ALPHABET + 2 + ord(c) % SPREAD
+    width = ALPHABET + 2 + (SPREAD if len(ranked) > ALPHABET else 0)
     most = MODEL_BYTES // max(1, len(languages)) // (8 * width)
     tables, roots, weights, base = [], [], [], 0
     for language in languages:
@@ -173,16 +175,21 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, boo
     return out
 
 
-def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "lang", lettered: str | None = None) -> DataFrame:
-    """All rows of ``docs`` with lang_pred and score, and whether the text has a letter in the column ``lettered`` if it is named; ``training`` has labelled texts.
+def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", text: str = "text", label: str = "lang", lettered: str | None = None, predicted: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with the language and its score in columns of the names given, and whether the text has a
+    letter in the column ``lettered`` if it is named; ``training`` has labelled texts. A name that ``docs`` has is an error.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing was learned. Ties go to
-    the first language by code point. Whole texts are parsed; rows are independent, and there is no shuffle of them.
+    the first language by code point. Whole texts of any length are parsed; rows are independent, repeated ones repeat, and there
+    is no shuffle of them. An empty table gives an empty table.
     """
+    ship(docs.sparkSession)
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in (lettered, predicted, score) if c}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(training, identifier, text, label)))
     # at most MODEL_BYTES and the table of symbols
     kept, also = docs.schema.names, [lettered] if lettered else []
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double", *[f"`{x}` boolean" for x in also]])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{predicted}` string", f"`{score}` double", *[f"`{x}` boolean" for x in also]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -196,7 +203,7 @@ def identify(docs: DataFrame, training: DataFrame, identifier: str = "doc_id", t
                     held, size = [], 0
             found += predict(m, held)
             told = [pa.array([x[n] for x in found], kind) for n, kind in enumerate((pa.string(), pa.float64(), pa.bool_())[: 2 + len(also)])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*kept, "lang_pred", "score", *also])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*kept, predicted, score, *also])
 
     return docs.mapInArrow(run, schema)
 
