@@ -31,9 +31,9 @@ KEY_BITS = 48
 _S = "__mix_"
 
 
-def random_key(identifier: Column, seed: int) -> Column:
-    """A key of 48 bits from MD5, the same in every run and engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(identifier.cast("string"), F.lit("")))
+def random_key(identifier: Column, seed: int, *more: Column) -> Column:
+    """A key of 48 bits from MD5, the same in every run and engine. ``more`` tells rows of one identifier apart."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in (identifier, *more)])
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -77,17 +77,21 @@ def _prefix(rows: DataFrame, keys: list[str], order: list[Column], value: str, o
     return rows.withColumn(out, F.coalesce(F.sum(value).over(window), F.lit(0)))
 
 
-def mix(docs: DataFrame, size: Column, identifier: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, size: Column, identifier: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: Sequence[str] = (), apart: Sequence[Column] = ()) -> DataFrame:
     """identifier, size, source_size, target, taken and the columns in ``keep``, a row for each row of ``docs``.
 
     ``taken`` is the number of words the mix takes from the document, repeats counted: whole epochs of its source, then the
     words before the point at which the source's budget ends; one document of a source can be cut there. Nulls: a null size
     is 0, a null source is a source of its own, last in order, a null identifier is a key like any other. Documents without
-    words, and all documents where no text has any, take 0. Repeated rows are documents each.
+    words, and all documents where no text has any, take 0. Repeated rows are documents each; so that rows of one identifier do
+    not all lie in one cell, their sizes, and the columns in ``apart``, are part of the key. Sizes of any magnitude fit; an empty
+    table gives an empty table. A column in ``keep`` may not be named like one of the first five.
     """
     n = lambda x: f"{_S}{x}"
+    if clash := {c.lower() for c in keep} & {identifier.lower(), "size", "source_size", "target", "taken"}:
+        raise ValueError(f"columns {sorted(clash)} cannot be kept under their names")
     rows = docs.select(
-        F.col(identifier).alias(n("id")), F.col(source).alias(n("src")), F.coalesce(size, F.lit(0)).cast("long").alias(n("size")), random_key(F.col(identifier), seed).alias(n("key")), *[F.col(c).alias(f"{_S}keep_{c}") for c in keep]
+        F.col(identifier).alias(n("id")), F.col(source).alias(n("src")), F.coalesce(size, F.lit(0)).cast("long").alias(n("size")), random_key(F.col(identifier), seed, F.coalesce(size, F.lit(0)).cast("long"), *apart).alias(n("key")), *[F.col(c).alias(f"{_S}keep_{c}") for c in keep]
     )
     sizes = rows.groupBy(n("src")).agg(F.sum(n("size")).alias("source_size"), F.count(F.lit(1)).alias("docs")).withColumnRenamed(n("src"), "source")
     plan = source_targets(sizes, weights, share, max_epochs).select(
@@ -116,36 +120,43 @@ def mix(docs: DataFrame, size: Column, identifier: str = "doc_id", source: str =
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that it takes, repeated by epoch, with all their columns.
+    """The mix itself: the rows of ``docs`` (doc_id, text, source and others of any names) that it takes, repeated by epoch, with all
+    their columns.
 
     The one document of a source in which the budget ends gives its first words up to that point in its last epoch; ``n_chars``
     follows where there is such a column. Texts are otherwise unchanged.
     """
-    others = [c for c in docs.columns if c != "doc_id"]
-    rows = mix(docs, word_count(F.col("text")), keep=others, **options).filter("taken > 0")
+    names = {c: f"{_S}own_{n}" for n, c in enumerate(docs.columns)}
+    own = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    text, number = names["text"], names["doc_id"]
+    keep = [n for n in names.values() if n != number]
+    rows = mix(own, word_count(F.col(text)), number, names["source"], keep=keep, apart=[_content(text)], **options).filter("taken > 0")
     size, taken = F.col("size"), F.col("taken")
     part = taken % size
     repeats = F.sequence(F.lit(1), (F.floor(taken / size) + F.when(part > 0, 1).otherwise(0)).cast("int"))
     rows = rows.withColumn("__mix_n", F.explode(repeats))
     cut = (part > 0) & (F.col("__mix_n") > F.floor(taken / size))
     # the first `part` words: split keeps the words in order; only the cut document of each source is split
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
+    rows = rows.withColumn(text, F.when(cut, F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col(text)))
+    if "n_chars" in names:
+        rows = rows.withColumn(names["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _content(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs, word_count(F.col("text")))
+    return mix(docs, word_count(F.col("text")), apart=[_content("text")])
 
 
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS k
+         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM s),
