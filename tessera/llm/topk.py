@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import ship, stored, table
 
 SCALE = 1024
 K = 10
@@ -35,18 +35,21 @@ EXACT = 2.0**52
 
 
 def whole_vectors(rows: DataFrame, identifier: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long), length: components floor(scale * x). Vectors that are null or hold null, NaN or infinite components, and rows without an identifier, are left out; of rows that repeat an identifier the least vector counts."""
+    """vec_id, v (array of long), length, r (a number of the row): components floor(scale * x).
+
+    Vectors that are null or hold null, NaN or infinite components, and rows without an identifier, are left out. Rows that repeat
+    an identifier are rows each.
+    """
     x = F.col(vector)
     sound = x.isNotNull() & F.col(identifier).isNotNull() & F.forall(F.coalesce(x, F.array()), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != F.lit(float("inf"))))
     ints = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
     good = rows.filter(sound).select(F.col(identifier).cast("long").alias("vec_id"), ints.alias("v"))
-    one = good.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
+    return good.withColumn("r", F.monotonically_increasing_id()).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
 def rotation(rows: DataFrame, width: int) -> np.ndarray:
     """Right singular vectors of a sample of at most ``SAMPLE`` vectors, strongest first, as columns."""
-    sample = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
+    sample = rows.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
     x = _matrix([r["v"] for r in sample], width).astype(float)
     return np.linalg.svd(x, full_matrices=True)[2].T if len(x) else np.eye(width)
 
@@ -145,8 +148,10 @@ def top_k(rows: DataFrame, is_query: Column, identifier: str = "vec_id", vector:
     product, ties to the smaller identifier; all of them where there are fewer.
 
     Short vectors count as ending in zeros. Empty tables and tables without a query give no rows. The scores have to fit in a long.
+    Rows with a query's identifier are no candidates of it; other rows that repeat an identifier are candidates each, and so listed
+    each. Rows of a query that repeat its identifier make one list, of the best of all of them. Other columns are not looked at.
     """
-    spark = rows.sparkSession
+    ship(rows.sparkSession)
     vectors = stored(whole_vectors(rows, identifier, vector, scale), "vectors")
     width, n, queries = vectors.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     width = max(1, width or 1)
@@ -158,9 +163,9 @@ def top_k(rows: DataFrame, is_query: Column, identifier: str = "vec_id", vector:
     classed = vectors.withColumn("c", cls.cast("int"))
     sizes = {r["c"]: (r["n"], r["longest"]) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()}
     subs = F.element_at(F.create_map(*[F.lit(int(x)) for c in sorted(sizes) for x in (c, -(-sizes[c][0] // BLOCK))]), F.col("c")) if sizes else F.lit(1)
-    placed = classed.withColumn("s", F.pmod(F.xxhash64("vec_id"), subs).cast("int"))
+    placed = classed.withColumn("s", F.pmod(F.xxhash64("r"), subs).cast("int"))
     groups = int(max(1, -(-(queries or 0) // QUERIES)))
-    asked = vectors.filter(is_query).withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
+    asked = vectors.filter(is_query).withColumn("g", F.pmod(F.xxhash64("r", F.lit(1)), F.lit(groups)).cast("int"))
 
     def as_cells(asked: DataFrame, places: DataFrame) -> DataFrame:
         everywhere = places.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("c", "s", "g", F.lit(False).alias("is_query"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
