@@ -3,7 +3,7 @@
 A document's signature holds ``POSITIONS`` minima of 16 bits. Two documents whose
 sets have Jaccard similarity J differ in about (1 - J) of the positions, so links
 of J >= 0.8 lie within ``MAX_ERRORS`` with a margin of about five standard
-deviations (see the README). Signatures are cut into ``CHUNKS`` chunks of four
+deviations (figures in the README). Signatures are cut into ``CHUNKS`` chunks of four
 positions: by the pigeonhole principle a pair within ``MAX_ERRORS`` < 2 * CHUNKS
 errors has a chunk with one error at most. Each chunk is indexed under its four
 variants with one position left out, so a join on equal index keys finds every
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, stored, table
+from tessera.llm.common import maybe_in, rows_of, ship, stored, table
 from tessera.llm.components import connected
 
 CHUNKS, CHUNK = 12, 4
@@ -35,19 +35,19 @@ MAX_ERRORS = 2 * CHUNKS - 1
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Shingles hashed at once, so that a block stays in the processor's cache.
 BLOCK = 1024
 #: Members of a bucket that are held against each other in one cell of the last comparison.
 CELL = 512
 #: Shingle hashes of the members of a cell, on average at most.
 CELL_HASHES = 1 << 21
-#: Bits of the filter that keeps texts that are not wanted out of a shuffle.
-SLOTS = 1 << 24
+#: Partners of a centre that are compared in one group, and how many centres may be cut into several, at most: those with the most.
+STAR, STARS = 256, 1 << 16
 #: Classes of documents that have no identifier are numbered from here.
 NO_NAME = 1 << 62
 #: Bytes of a shingle's hash in stored sets.
-HASH_BYTES = 6
+HASH_BYTES = 8
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, POSITIONS, dtype=np.uint64)
@@ -89,11 +89,11 @@ def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the shingles; fewer words than a shingle count as one; no words, none."""
+    """Sorted distinct 64-bit hashes of the shingles; fewer words than a shingle count as one; no words, none."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(sequence_hashes(word_hashes(words), min(shingle, len(words))) >> np.uint64(64 - 8 * HASH_BYTES))
+    return np.unique(sequence_hashes(word_hashes(words), min(shingle, len(words))))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -107,13 +107,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    return hashes.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-    wide[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
@@ -222,18 +220,6 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 _MEMBER = "key bigint, lo int, hi int, cell int, k bigint, c bigint, size bigint, signature binary"
 
 
-def _maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose h may be among ``wanted``'s first_hash; a few others pass as well, none of those is lost.
-
-    A Bloom filter of one hash: ``SLOTS`` bits in rows of 32,768, so that the broadcast never holds more than ``SLOTS`` / 8 bytes.
-    """
-    slot = F.expr(f"pmod(first_hash, {SLOTS}L) + 1")
-    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    at = docs.withColumn("at", F.expr(f"pmod(h, {SLOTS}L)")).join(F.broadcast(bits), F.expr("`at` div 32768 + 1 = `row`"))
-    octet = "cast(conv(hex(substring(bits, cast(`at` % 32768 div 8 + 1 AS int), 1)), 16, 10) AS int)"
-    return at.filter(F.expr(f"shiftright({octet}, cast(`at` % 8 AS int)) % 2 = 1")).select(*docs.columns)
-
-
 def _with_sets(docs: DataFrame, members: DataFrame, sends: DataFrame, shingle: int) -> DataFrame:
     """``sends`` (k and other columns) with the packed set of class k in ``hashes``.
 
@@ -241,7 +227,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, sends: DataFrame, shingle: i
     """
     others = [(n, kind) for n, kind in sends.dtypes if n != "k"]
     to = stored(sends.groupBy("k").agg(F.collect_list(F.struct(*[n for n, _ in others])).alias("to")).join(members, "k"), "sends")
-    keyed = _maybe_in(docs.withColumn("h", F.xxhash64("t")), to)
+    keyed = maybe_in(docs.withColumn("h", F.xxhash64("t")), to.select(F.col("first_hash").alias("h"))).filter("maybe").drop("maybe")
     texts = keyed.join(to, (keyed["h"] == to["first_hash"]) & keyed["i"].eqNullSafe(to["first_id"])).select("k", "t", "to")
     schema = pa.schema([*[(n, _ARROW[kind]) for n, kind in others], ("k", pa.int64()), ("hashes", pa.binary())])
 
@@ -309,15 +295,24 @@ def _links_across(docs: DataFrame, members: DataFrame, apart: DataFrame, shingle
     return stored(met(sets).mapInArrow(compare, "a bigint, b bigint").distinct(), "across")
 
 
+def _hot_centres(pairs: DataFrame) -> DataFrame:
+    """b, salts: centres with more than ``STAR`` partners, at most ``STARS`` of them, and into how many groups their partners go.
+
+    The others have either few partners or less than one of ``STARS`` parts of all pairs.
+    """
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    total = pairs.count()
+    return counts.filter(F.col("n") > max(STAR, -(-total // STARS))).select("b", F.ceil(F.col("n") / F.lit(STAR)).cast("int").alias("salts"))
+
+
 def _confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union.
 
-    Each set goes to the classes b it is compared with; a class b with many partners is repeated for every 256 of them.
+    Each set goes to the classes b it is compared with; a class b with many partners is repeated for every ``STAR`` of them.
     """
-    centres = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(256)).cast("int").alias("salts"))
-    sends = pairs.join(centres, "b").select(F.col("a").alias("k"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).unionByName(
-        centres.select(F.col("b").alias("k"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    )
+    hot = _hot_centres(pairs)
+    dealt = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    sends = dealt.select(F.col("a").alias("k"), "b", "salt", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("k"), "b", "salt", F.lit(0).alias("role")).distinct())
     rows = _with_sets(docs, members, sends, shingle).repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "k")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +343,10 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     class was linked to on the way; within a component not every pair is tried once its members are connected. Documents with
     fewer words than a shingle have their whole sequence as one shingle; null, empty and blank texts have an empty set and are
     linked with nothing, repeated rows of them included. Rows without an identifier take part but name
-    no component: theirs is null where no other document is reached. The identifier is an integer type below 2^62.
+    no component: theirs is null where no other document is reached. The identifier is an integer type below 2^62. Texts may be of
+    any length, an empty table gives an empty table, and other columns, whatever their names, are not looked at.
     """
+    ship(docs.sparkSession)
     ids = docs.select(docs[identifier].cast("long").alias("i"), docs[text].alias("t"))
     slim = stored(_slim(ids.withColumn("h", F.xxhash64("t")), shingle), "signatures")
     # one class for each different set: near copies are looked for between classes, so exact copies cost nothing more
@@ -361,7 +358,12 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     shared = stored(keys.join(centres, "key"), "shared")
     lanes = classes.select("k", _lanes(F.col("signature")).alias("s")).dropDuplicates(["k"])
     left, right = lanes.select(F.col("k").alias("a"), F.col("s").alias("sa")), lanes.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    near = shared.filter("k != b").select(F.col("k").alias("a"), "b").distinct().join(left, "a").join(right, "b").withColumn("e", _errors("sa", "sb")).filter(F.col("e") <= MAX_ERRORS)
+    met = stored(shared.filter("k != b").select(F.col("k").alias("a"), "b").distinct(), "met")
+    hot = stored(_hot_centres(met).select("b"), "hot")
+    signed = met.join(left, "a")
+    # a centre that very many classes meet is broadcast to them, the others are joined
+    near = signed.join(F.broadcast(hot), "b", "left_anti").join(right, "b").unionByName(signed.join(F.broadcast(right.join(F.broadcast(hot), "b", "left_semi")), "b"))
+    near = near.withColumn("e", _errors("sa", "sb")).filter(F.col("e") <= MAX_ERRORS)
     stars = stored(near.groupBy("a").agg(F.min(F.struct("e", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "stars")
     sources = classes.select("k", "first_id", "first_hash")
     links = _confirmed(ids, sources, stars, shingle, percent)
