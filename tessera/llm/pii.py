@@ -1,8 +1,10 @@
 """Personal data by weak supervision.
 
 Fixed patterns give base spans. Wider patterns give candidates, on which
-labelers vote: a pattern labeler, gazetteers (top-level domains, card issuers,
-calling codes, reserved networks), context words and shape checks. Vote patterns
+labelers vote: a pattern labeler (how the span is written), gazetteers
+(top-level domains, card issuers, calling codes, reserved networks), context
+words and checks of form. Whether a span is a base span is no vote and no
+feature: it could only teach the base patterns over again. Vote patterns
 are counted over all documents; expectation-maximisation on these counts (Dawid
 and Skene, 1979) estimates how reliable each labeler is and how likely each
 pattern means personal data. With those probabilities as soft labels a logistic
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, table
+from tessera.llm.common import rows_of, ship, table
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -47,16 +49,25 @@ _WIDE = {
     "phone": re.compile(r"(?<![\w+.-])(?:\+|00)?(?:[0-9]{1,3}[\x20./ ‐-–-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./ ‐-–-][0-9]{3,4}[\x20./ ‐-–-][0-9]{3,4}(?![\w-]|\.[0-9])"),
 }
 _BRACKET = re.compile(r"[(\[{] ?at ?[)\]}]", re.I)
+_PLAIN_EMAIL = re.compile(r"[^\s@]+@[^\s@]+")
+_CARD_GROUPS = re.compile(r"[0-9]{4}(?:[\x20. -]?[0-9]{4}){2,3}[0-9]{0,3}|[0-9]{4}[\x20. -]?[0-9]{6}[\x20. -]?[0-9]{4,5}|[0-9]{13,19}")
+_DASHED = re.compile(r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][0-9]{2,4}[-./ ][0-9]{2,4}")
 
 #: Gazetteers and context words. Fixed values.
-DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it uk nl be ch at pl se no dk fi pt ie eu us ca au nz jp cn kr in br mx ar ru".split())
+DOMAINS = frozenset(
+    """com org net edu gov mil int info biz name pro io co me tv cc app dev ai tech online store site shop blog cloud email news
+    ad ae al am ar at au az ba bd be bg bo br by ca ch ci cl cm cn cr cu cy cz de dk do dz ec ee eg es et eu fi fr ge gh gr gt hk hn hr
+    hu id ie il in iq ir is it jm jo jp ke kr kw kz lb li lk lt lu lv ly ma md mg mk mn mt mu mx my mz na ng ni nl no np nz om pa pe ph
+    pk pl pt py qa ro rs ru rw sa se sg si sk sn sv sy th tn tr tt tw tz ua ug uk us uy uz ve vn ye za zm zw""".split()
+)
 ISSUERS = tuple("4 51 52 53 54 55 22 23 24 25 26 27 34 37 36 38 30 6011 64 65 62 35 50 56 57 58 67".split())
 CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 CUES = {
-    "email": frozenset("email e-mail mail contact write correo courriel kontakt".split()),
-    "ip": frozenset("ip ipv4 host server address login adresse dirección gateway".split()),
-    "card": frozenset("card visa mastercard amex credit debit payment karte carte tarjeta".split()),
-    "phone": frozenset("phone tel telephone call mobile cell fax telefon teléfono téléphone".split()),
+    "email": frozenset("email e-mail mail contact write reach correo courriel kontakt schreiben adresse escribe contacto contactez écrivez".split()),
+    "ip": frozenset("ip ipv4 host server address login adresse dirección gateway router dns subnet client servidor serveur anfrage from".split()),
+    "card": frozenset("card visa mastercard amex discover maestro credit debit payment paid pay karte kreditkarte carte bancaire tarjeta crédito zahlung paiement pago".split()),
+    "phone": frozenset("phone tel telephone call mobile cell fax whatsapp sms telefon handy anrufen teléfono llame móvil téléphone appelez portable".split()),
 }
 CONTEXT_CHARS = 40
 
@@ -112,7 +123,7 @@ def _vote(yes: bool, no: bool = False) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def _label(kind: str, text: str, start: int, end: int, is_base: bool) -> Candidate:
+def _label(kind: str, text: str, start: int, end: int) -> Candidate:
     """Votes (pattern, gazetteer, context, shape; 1 for, -1 against, 0 abstains) and shape features of a candidate."""
     span = text[start:end]
     digits = _digits(span)
@@ -123,31 +134,36 @@ def _label(kind: str, text: str, start: int, end: int, is_base: bool) -> Candida
     context = _vote(bool(words & CUES[kind]), bool(re.search(r"(?:version|release|isbn|order|serial|token|key|hash|id)\W*$", around)))
     glued = before.isalnum() or after.isalnum() or before in "=/#_"
     if kind == "email":
+        written = _vote(_PLAIN_EMAIL.fullmatch(span) is not None or _BRACKET.search(span) is not None)
         last = re.split(r"[.\s)\]}]+", span.rstrip(")]}").lower())[-1]
         gazetteer = _vote(last in DOMAINS, not last.isalpha())
         form = _vote("@" in span and " " not in span, " " in span and "@" in span)
     elif kind == "ip":
+        written = _vote("[" in span or "(" in span or " " not in span, ". " in span or " ." in span)
         parts = _DIGIT.sub("0", span) and re.findall(r"[0-9]+", span)
         first = int(parts[0][:4])
         gazetteer = _vote(1 <= first <= 223 and first != 127, first == 0 or first > 239)
         form = _vote(all(map(_part_ok, parts)) and all(p == "0" or p[0] != "0" for p in parts), not all(map(_part_ok, parts)))
     elif kind == "card":
+        # in groups as on the card, or in one
+        written = _vote(_CARD_GROUPS.fullmatch(span) is not None)
         gazetteer = _vote(digits.startswith(ISSUERS), digits[0] in "01789")
         form = _vote(luhn(digits), not luhn(digits))
     else:
+        written = _vote(span.startswith(("+", "00", "(")) or _DASHED.fullmatch(span) is not None, _DATE.fullmatch(span) is not None)
         international = span.startswith(("+", "00"))
         code = digits[2:] if span.startswith("00") else digits
         known = any(code[:n] in CALLING for n in (1, 2)) if international else len(digits) in (10, 11) and digits[-10] in "23456789"
         gazetteer = _vote(known, len(digits) < 8 or len(digits) > 15)
-        form = _vote(8 <= len(digits) <= 15 and ("(" in span) == (")" in span) and international, not international and luhn(digits) and len(digits) > 12)
-    votes = (_vote(is_base, kind in ("ip", "card") and not is_base), gazetteer, context, form)
+        form = _vote(8 <= len(digits) <= 15 and ("(" in span) == (")" in span), luhn(digits) and len(digits) > 12)
+    votes = (written, gazetteer, context, form)
     shape = (int(glued), int(" " in span), min(3, len(digits) // 5), int(not span.isascii()))
     return Candidate(kind, start, end, votes, shape)
 
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[Candidate]:
     """Base spans and all other spans of the wider patterns that overlap no base span."""
-    out = [_label(k, text, a, b, True) for k in KINDS for a, b in base[k]]
+    out = [_label(k, text, a, b) for k in KINDS for a, b in base[k]]
     taken = sorted(s for k in KINDS for s in base[k])
     wide = []
     if "@" in text or _BRACKET.search(text):
@@ -157,7 +173,7 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[Candid
     for kind in wide:
         for m in _WIDE[kind].finditer(text):
             if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append(_label(kind, text, *m.span(), False))
+                out.append(_label(kind, text, *m.span()))
     return out
 
 
@@ -237,6 +253,7 @@ def find(text: str, weights: dict[str, np.ndarray]) -> tuple[dict[str, list[tupl
 
 def learn(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """Count votes and shapes over all documents, then fit. The counts are summed in the tasks and then by Spark."""
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -275,8 +292,10 @@ def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 def spans(docs: DataFrame, weights: dict[str, np.ndarray] | None = None, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """identifier, n_email, n_ip, n_card, n_phone (base), base_sha256, spans: one row for each row; null is the empty text.
 
-    ``weights`` come from ``learn``, by default on these documents. There is no shuffle of documents.
+    ``weights`` come from ``learn``, by default on these documents. There is no shuffle of documents. Texts may be of any length;
+    repeated rows repeat; an empty table gives an empty table; other columns, whatever their names, are not looked at.
     """
+    ship(docs.sparkSession)
     weights = learn(docs, text) if weights is None else weights
     kind = docs.schema[identifier].dataType.simpleString()
 
@@ -295,8 +314,9 @@ def spans(docs: DataFrame, weights: dict[str, np.ndarray] | None = None, identif
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, spans in ``text`` replaced by their kind; ``n_chars`` follows where it is a column.
 
-    Null texts stay null.
+    Null texts stay null, empty ones empty; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     weights = learn(docs, text)
     names = docs.schema.names
 
