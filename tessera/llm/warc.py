@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows_of, scratch_path, table
+from tessera.llm.common import maybe_in, rows_of, scratch_path, ship, stored, table
 
 #: Ends a record's header and its block.
 BREAK = "\r\n\r\n"
@@ -37,41 +37,28 @@ DATE = "1970-01-01T00:00:00Z"
 def chunk_rows(pages: DataFrame, identifier: str, payload: str, keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """identifier, ``keep``, chunk_no (from 0), chunks, bytes, digest: one row for each chunk, at least one for each record.
 
-    ``digest`` is the hex SHA-256 of the payload up to and with the chunk, carried along from chunk to chunk. ``payload`` is binary;
-    null is the empty payload. Rows of a record are adjacent and in order.
+    The payload is cut where it is read, and only chunks travel on. ``digest`` is the hex SHA-256 of the payload up to and with the
+    chunk, carried along from chunk to chunk. ``payload`` is binary; null is the empty payload. Rows of a record are adjacent and in
+    order.
     """
-    fields = {f.name: f.dataType.simpleString() for f in pages.schema}
-    names = [identifier, *keep]
-    schema = ", ".join([*[f"`{n}` {fields[n]}" for n in names], "chunk_no int, chunks int, bytes binary, digest string"])
+    ship(pages.sparkSession)
+    data = F.coalesce(F.col(payload), F.lit(b""))
+    count = F.greatest(F.lit(1), F.ceil(F.length(data) / F.lit(chunk))).cast("int")
+    rows = pages.select(identifier, *keep, F.col(payload), F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no"), count.alias("chunks"))
+    rows = rows.select(identifier, *keep, "chunk_no", "chunks", F.substring(data, F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = hashlib.sha256()
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in names}
-            index, out, held = [], [[], [], [], []], 0
-
-            def flush(batch=batch, at=at):
-                take = pa.array(index, pa.int64())
-                return pa.RecordBatch.from_arrays([*[batch.column(at[n]).take(take) for n in names], *[pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]], [*names, "chunk_no", "chunks", "bytes", "digest"])
-
-            for k, (data,) in enumerate(rows_of(batch, payload)):
-                view, state = memoryview(data or b""), hashlib.sha256()
-                count = max(1, -(-len(view) // chunk))
-                for n in range(count):
-                    piece = view[n * chunk : (n + 1) * chunk]
-                    state.update(piece)
-                    index.append(k)
-                    for column, value in zip(out, (n, count, bytes(piece), state.copy().hexdigest()), strict=True):
-                        column.append(value)
-                    held += len(piece)
-                    if held > 1 << 24:
-                        yield flush()
-                        index.clear()
-                        for column in out:
-                            column.clear()
-                        held = 0
-            yield flush()
-
-    return pages.select(*names, payload).mapInArrow(run, schema)
+            out = []
+            for number, piece in rows_of(batch, "chunk_no", "bytes"):
+                state = hashlib.sha256() if number == 0 else state
+                state.update(piece)
+                out.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "digest"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "digest string"])
+    return rows.mapInArrow(run, schema)
 
 
 def _id(name: Column) -> Column:
@@ -80,28 +67,36 @@ def _id(name: Column) -> Column:
 
 
 def _safe(text: Column) -> Column:
-    """A header value on one line: control characters and the percent sign are percent-encoded."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "%", "%25")
+    """A header value on one line: control characters are percent-encoded."""
+    plain = F.coalesce(text, F.lit(""))
+    coded = plain
     for code in (*range(32), 127):
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}")) if code in (9, 10, 13) else out
-    return F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "%1A")
+        coded = F.replace(coded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(plain.rlike(r"[\x00-\x1F\x7F]"), coded).otherwise(plain)
 
 
 def decided(pages: DataFrame, identifier: str, payload: Column) -> DataFrame:
     """Columns of ``pages`` with __payload, __bytes, __digest and __first: the identifier of the response with an equal payload.
 
-    Digests are counted before any payload moves: the smallest identifier of each digest comes from a grouped minimum, and the
-    join back is one that Spark may split where a payload is very common.
+    Digests are counted before any payload moves: the smallest identifier of each digest comes from a grouped minimum. Payloads that
+    are short, or of which a filter of fixed size says that no other has them, stay where they are; the others meet their first by
+    digest, in a join that Spark may split where a payload is very common.
     """
     rows = pages.withColumn("__payload", F.coalesce(payload, F.lit(b""))).withColumns({"__bytes": F.length("__payload").cast("long"), "__digest": F.sha2("__payload", 256)})
     firsts = rows.filter(F.col("__bytes") >= LEAST_REVISIT).groupBy("__digest").agg(F.min(identifier).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    return rows.join(firsts, "__digest", "left")
+    firsts = stored(firsts, "firsts")
+    split = maybe_in(rows.withColumn("h", F.xxhash64("__digest")), firsts.select(F.xxhash64("__digest").alias("h")))
+    among = (F.col("__bytes") >= LEAST_REVISIT) & F.col("maybe")
+    kept = [*rows.columns, "__first"]
+    alone = split.filter(~among).withColumn("__first", F.lit(None).cast(firsts.schema["__first"].dataType)).select(*kept)
+    return alone.unionByName(split.filter(among).join(firsts, "__digest", "left").select(*kept))
 
 
 def write(pages: DataFrame, path: str, identifier: str = "page_id", url: str = "url", html: str = "html", chunk: int = CHUNK) -> None:
     """Write a record for each row: a response, or a revisit without a block where a page with a smaller identifier has the same
     payload of ``LEAST_REVISIT`` bytes or more. Null payloads are empty responses; a null identifier is never a revisit's target
     unless all copies lack one, and such rows are all responses. Rows repeated under the smallest identifier are all responses.
+    Payloads may be of any length that a row holds; an empty table gives empty archives; other columns are not looked at.
     """
     own = pages.select(pages[identifier].alias("__id"), pages[url].alias("__url"), F.encode(pages[html], "UTF-8").alias("__html"))
     rows = decided(own, "__id", F.col("__html"))
@@ -111,6 +106,9 @@ def write(pages: DataFrame, path: str, identifier: str = "page_id", url: str = "
     name = lambda n: _id(F.concat_ws(":", F.lit("page"), F.coalesce(F.col("__id").cast("string"), F.lit("null")), n))
     line = lambda key, value: F.concat(F.lit(f"\r\n{key}: "), value)
     first, many = F.col("chunk_no") == 0, F.col("chunks") > 1
+    # the block of a response is an HTTP answer: its head, then the payload
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__bytes").cast("string"), F.lit(BREAK))
+    head = F.when(first & ~F.col("__revisit"), http).otherwise(F.lit(""))
     no = lambda c: F.when(c, F.lit(""))
     header = F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: "),
@@ -123,11 +121,12 @@ def write(pages: DataFrame, path: str, identifier: str = "page_id", url: str = "
         F.when(many, line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"))).otherwise(F.lit("")),
         F.when(many & ~first, line("WARC-Segment-Origin-ID", name(F.lit("0")))).otherwise(F.lit("")),
         F.when(many & (F.col("chunk_no") == F.col("chunks") - 1), line("WARC-Segment-Total-Length", F.col("__bytes").cast("string"))).otherwise(F.lit("")),
+        F.when(first & ~F.col("__revisit"), F.concat(line("Content-Type", F.lit("application/http; msgtype=response")), line("X-HTTP-Head-Length", F.length(head).cast("string")))).otherwise(F.lit("")),
         line("X-Chunk-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("Content-Length", F.length("bytes").cast("string")),
+        line("Content-Length", (F.length("bytes") + F.length(head)).cast("string")),
     )
     # header, break and block are one line of the text format; the line separator ends the block
-    block = F.concat(header.cast("binary"), F.lit(BREAK.encode()), F.col("bytes")).cast("string")
+    block = F.concat(header.cast("binary"), F.lit(BREAK.encode()), head.cast("binary"), F.col("bytes")).cast("string")
     pieces.select(block.alias("value")).write.option("lineSep", BREAK).option("compression", "gzip").text(path)
 
 
@@ -140,7 +139,7 @@ class _Records:
 
     def __init__(self) -> None:
         self.buffer = b""
-        self.state, self.left = "header", 0
+        self.state, self.left, self.skip = "header", 0, 0
         self.head: dict[str, str] = {}
         self.record: dict | None = None
         self.digest = hashlib.sha256()
@@ -156,8 +155,10 @@ class _Records:
                 self.buffer, self.state = self.buffer[at + len(BREAK) :], "block"
             if self.state == "block":
                 data = self.buffer[: self.left]
-                self.digest.update(data)
-                self.record["read"] += len(data)
+                payload = data[self.skip :]
+                self.skip -= len(data) - len(payload)
+                self.digest.update(payload)
+                self.record["read"] += len(payload)
                 self.buffer, self.left = self.buffer[len(data) :], self.left - len(data)
                 if self.left:
                     return
@@ -170,7 +171,7 @@ class _Records:
 
     def _begin(self, header: bytes, out: list[dict]) -> None:
         self.head = head = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(header)}
-        self.left = int(head["content-length"])
+        self.left, self.skip = int(head["content-length"]), int(head.get("x-http-head-length", 0))
         if head["warc-type"] != "continuation":
             self.end(out)
             number = lambda key: None if head.get(key, "null") == "null" else int(head[key])
@@ -195,8 +196,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, chunks, whole: one row for each record of the archives.
 
     Digest and length of responses are computed from the blocks, chunk by chunk; ``whole`` says that they and every chunk's own
-    digest agree with the headers. Blocks end by the header's length, so payloads may hold breaks.
+    digest agree with the headers. Blocks end by the header's length, so payloads may hold breaks. target_uri is what the
+    header says: null as the empty text, control characters percent-encoded.
     """
+    ship(spark)
     lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("value").cast("binary").alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +228,7 @@ SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-  CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
