@@ -2,7 +2,8 @@
 
 Every stage but the last returns the columns of ``documents``. Stages are rows-in, rows-out functions of (spark, docs, sf_dir);
 ``run`` writes what a stage returns to the shared folder and reads it back, so a lost executor costs one stage at most.
-Empty tables pass through as empty tables; what becomes of nulls is said at each stage.
+Empty tables pass through as empty tables, texts may be of any length, columns beside those of ``documents`` are kept whatever
+their names; what becomes of nulls and repeated rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,19 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, minhash, mixing, pii
-from tessera.llm.common import stored
-from tessera.sources.shipping import ship
+from tessera.llm.common import free, stored
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go; all others stay as they are.
 
     Learned from the labelled documents that are not held out. Labels never decide what stays: not what they say, nor whether
-    there are any to learn from.
+    there are any to learn from. Repeated rows stay as often as they are there.
     """
-    ship(spark)
-    found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))), lettered="lettered")
-    return found.filter("lettered").select(*docs.columns)
+    lettered, predicted, score = (free(n, docs.columns) for n in ("lettered", "lang_pred", "score"))
+    found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))), lettered=lettered, predicted=predicted, score=score)
+    return found.filter(F.col(lettered)).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,34 +32,33 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row takes part by a number of its own: rows without a doc_id come last in their group, and of rows that share one the
     least by hash of the whole row stays. Rows without words are linked with nothing and stay.
     """
-    ship(spark)
     # written once, so that a row has the same number in every pass
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = minhash.near_duplicates(rows, "row").select("row", "component_id")
-    named = stored(found.join(rows.select("row", "doc_id", F.xxhash64(*docs.columns).alias("h")), "row"), "components")
+    number = free("row", docs.columns)
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, number).select(F.col(number).alias("row"), "component_id")
+    content = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    named = stored(found.join(rows.select(F.col(number).alias("row"), "doc_id", content.alias("h")), "row"), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "row")).alias("x")
     groups = named.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id", F.col("x.row").alias("best"))
     gone = named.join(groups, "component_id").filter("row != best").select("row")
-    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+    return rows.join(gone.withColumnRenamed("row", number), number, "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; no document goes. Null texts stay null."""
-    ship(spark)
+    """Personal data gives way to its kind in brackets; no document goes. Null texts stay null, repeated rows stay."""
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares: documents repeat by epoch, and where a source's budget ends its last document is cut.
 
-    A null source is a source of its own. Documents without words take no part.
+    A null source is a source of its own. Documents without words take no part; repeated rows are documents each.
     """
     return mixing.sampled(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids: the token identifiers of every row."""
-    ship(spark)
+    """doc_id, n_tokens, ids: the token identifiers of every row; null and empty texts have none."""
     return bpe.encode_documents(docs)
 
 
