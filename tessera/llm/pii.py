@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -164,7 +165,13 @@ def _label(kind: str, text: str, start: int, end: int) -> Candidate:
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[Candidate]:
     """Base spans and all other spans of the wider patterns that overlap no base span."""
     out = [_label(k, text, a, b) for k in KINDS for a, b in base[k]]
-    taken = sorted(s for k in KINDS for s in base[k])
+    starts, ends = [], []  # of stretches of base spans, which do not overlap each other
+    for a, b in sorted(s for k in KINDS for s in base[k]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     wide = []
     if "@" in text or _BRACKET.search(text):
         wide.append("email")
@@ -172,7 +179,8 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[Candid
         wide += KINDS[1:]
     for kind in wide:
         for m in _WIDE[kind].finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            before = bisect_left(starts, m.end()) - 1
+            if before < 0 or ends[before] <= m.start():
                 out.append(_label(kind, text, *m.span()))
     return out
 
