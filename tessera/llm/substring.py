@@ -47,6 +47,8 @@ RUN = 8
 FILTER_BITS = 1 << 28
 #: Anchors with at least so many occurrences are hot, or more if else there were over HOT_MOST of them (2 MB).
 HOT, HOT_MOST = 4096, 1 << 18
+#: Words of the documents that a task settles among themselves before it sends their stretches.
+TOGETHER = 1 << 21
 #: States of an automaton beyond which nothing is added to it.
 STATES = 200_000
 #: A document without an identifier comes after all others.
@@ -120,22 +122,22 @@ class SuffixAutomaton:
         return out
 
 
-def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: the position of its anchor, the first least hash of a run; the anchor; and a hash of all its words."""
+def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: its anchor, the least hash of a run; and a hash of all its words."""
     runs, length = hashes, 1
     while 2 * length <= min(RUN, window):  # hashes of runs of 2, 4, 8 words
         runs = scrambled(runs[:-length] * STEP + runs[length:])
         length *= 2
     n = len(hashes) - window + 1
-    least, at = runs[:n].copy(), np.arange(n)
-    for k in range(1, window - length + 1):
-        less = runs[k : k + n] < least
-        least[less] = runs[k : k + n][less]
-        at[less] = np.flatnonzero(less) + k
+    least, wide, left = runs, 1, window - length + 1
+    while 2 * wide <= left:  # least hashes of 2, 4 and so on runs in a row
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    least = np.minimum(least[:n], least[left - wide : left - wide + n])
     whole = runs[:n]
     for k in [*range(length, window - length, length), window - length] if window > length else []:
         whole = scrambled(whole * STEP + runs[k : k + n])
-    return at, least, whole
+    return least, whole
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -157,6 +159,14 @@ def ranges(numbers: list[int]) -> list[int]:
     return out
 
 
+def pieces(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Stretches of ``values`` as a column of bytes."""
+    ends = np.cumsum(counts)
+    data = values[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+    offsets = np.r_[0, ends * values.itemsize].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -174,8 +184,8 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             for (text,) in rows_of(batch, "t"):
                 words = words_of(text)
                 if len(words) >= window:
-                    at, anchor, _ = anchors_of(word_hashes(words), window)
-                    lists.append(anchor[np.r_[True, at[1:] != at[:-1]]])
+                    anchor, _ = anchors_of(word_hashes(words), window)
+                    lists.append(anchor[np.r_[True, anchor[1:] != anchor[:-1]]])
             values, counts = np.unique(np.concatenate(lists), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], ["a", "n"])
 
@@ -247,48 +257,74 @@ def _stretches(docs: DataFrame, window: int, filter_: bytes, hot: np.ndarray) ->
     """Rows for the shards, and rows (``found``) for what a batch settles by itself: stretches that its own earlier documents have."""
     sent = docs.sparkSession.sparkContext.broadcast((filter_, hot))
 
+    def settle(ids: list, hs: list, low: list, wide: list, keys: list, folds: list, starts: list, counts: list, owners: list) -> Iterator[pa.RecordBatch]:
+        key, fold, start, count, owner = (np.concatenate(x) for x in (keys, folds, starts, counts, owners))
+        doc, digest = np.array(ids, np.int64), np.array(hs, np.int64)
+        # equal stretches, by 128 bits, are sent from their first document of the batch alone
+        order = np.lexsort((doc[owner], fold, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (fold[order][1:] != fold[order][:-1])]
+        first = doc[owner[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = doc[owner[order]] > first
+        sent_, settled = order[~later], order[later]
+        symbols, hashes = np.concatenate(low), np.concatenate(wide)
+        at_low = np.cumsum([0, *map(len, low)])[:-1]
+        at_wide = np.cumsum([0, *map(len, wide)])[:-1]
+        for a in range(0, len(sent_), 1 << 15):
+            x = sent_[a : a + (1 << 15)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array(c) for c in (key[x].view(np.int64), doc[owner[x]], digest[owner[x]], start[x].astype(np.int32))],
+                    pieces(symbols, at_low[owner[x]] + start[x], count[x] + window - 1),
+                    pieces(hashes, at_wide[owner[x]] + start[x], count[x]),
+                    pa.nulls(len(x), _SENT.field("found").type),
+                ],
+                schema=_SENT,
+            )
+        settled = settled[np.lexsort((start[settled], owner[settled]))]
+        out = {n: [] for n in _SENT.names}
+        for a, b in runs(owner[settled]):
+            x, d = settled[a:b], owner[settled[a]]
+            begin = np.flatnonzero(np.r_[True, start[x][1:] != (start[x] + count[x])[:-1]])
+            found = np.stack([start[x][begin], np.add.reduceat(count[x], begin)], axis=1).ravel().tolist()
+            for n, v in zip(_SENT.names, (hs[d], ids[d], hs[d], None, None, None, found), strict=True):
+                out[n].append(v)
+        yield _batch(out, _SENT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, many = sent.value
         bits = np.frombuffer(data, np.uint8)
+        ids, hs, low, wide = [], [], [], []  # of each document
+        keys, folds, starts, counts, owners = [], [], [], [], []  # of its stretches
+        size = 0
         for batch in batches:
-            docs: list[tuple[int, int]] = []
-            least: dict[tuple, int] = {}
-            stretches = []
             for i, h, text in rows_of(batch, "i", "h", "t"):
                 words = words_of(text)
                 if len(words) < window:
                     continue
+                size += len(words)
                 hashes = word_hashes(words)
-                at, anchor, whole = anchors_of(hashes, window)
+                anchor, whole = anchors_of(hashes, window)
                 number = np.flatnonzero(passing(anchor, bits))
                 if not len(number):
                     continue
-                place = np.searchsorted(many, anchor[number])
-                alone = many[np.minimum(place, len(many) - 1)] == anchor[number] if len(many) else np.zeros(len(number), bool)
-                begins = np.flatnonzero(np.r_[True, (np.diff(number) != 1) | (np.diff(at[number]) != 0) | alone[1:]])
-                key = np.where(alone, whole[number], anchor[number])[begins].view(np.int64).tolist()
-                counts = np.diff(np.r_[begins, len(number)]).tolist()
-                low = hashes.astype(np.uint32)
-                document = LAST if i is None else i
-                for k, start, count in zip(key, number[begins].tolist(), counts, strict=True):
-                    own = (k, whole[start : start + count].tobytes())
-                    if least.get(own, document) >= document:
-                        least[own] = document
-                    stretches.append((own, len(docs), start, count, low[start : start + count + window - 1].tobytes()))
-                docs.append((document, h))
-            out = {n: [] for n in _SENT.names}
-            settled: dict[int, list[int]] = {}
-            for (k, own), d, start, count, symbols in stretches:
-                if least[k, own] < docs[d][0]:
-                    settled.setdefault(d, []).extend(range(start, start + count))
-                else:
-                    for n, v in zip(_SENT.names, (k, *docs[d], start, symbols, own, None), strict=True):
-                        out[n].append(v)
-            for d, starts in settled.items():
-                for n, v in zip(_SENT.names, (docs[d][1], *docs[d], None, None, None, ranges(starts)), strict=True):
-                    out[n].append(v)
-            for at in range(0, len(out["k"]), 1 << 15):
-                yield _batch({n: v[at : at + (1 << 15)] for n, v in out.items()}, _SENT)
+                own = anchor[number]
+                alone = many[np.minimum(np.searchsorted(many, own), len(many) - 1)] == own if len(many) else np.zeros(len(own), bool)
+                begins = np.flatnonzero(np.r_[True, (np.diff(number) != 1) | (own[1:] != own[:-1]) | alone[1:]])
+                keys.append(np.where(alone, whole[number], own)[begins])
+                folds.append(np.add.reduceat(scrambled(whole[number]), begins))
+                starts.append(number[begins])
+                counts.append(np.diff(np.r_[begins, len(number)]))
+                owners.append(np.full(len(begins), len(ids)))
+                ids.append(LAST if i is None else i)
+                hs.append(h)
+                low.append(hashes.astype(np.uint32))
+                wide.append(whole)
+                if size > TOGETHER:
+                    yield from settle(ids, hs, low, wide, keys, folds, starts, counts, owners)
+                    ids, hs, low, wide, keys, folds, starts, counts, owners = ([] for _ in range(9))
+                    size = 0
+        if ids:
+            yield from settle(ids, hs, low, wide, keys, folds, starts, counts, owners)
 
     return docs.select("i", "h", "t").mapInArrow(run, _SENT_DDL)
 
@@ -300,7 +336,7 @@ def _repeats(sent: DataFrame, window: int, states: int) -> DataFrame:
         at, shard = None, None
         for batch in batches:
             key, document, digest = (batch.column(n).to_numpy() for n in range(3))
-            start, symbols, hashes, settled = (batch.column(n) for n in range(3, 7))
+            start, symbols, hashes, settled = (batch.column(n).to_pylist() for n in range(3, 7))
             hits: dict[tuple[int, int], list[int]] = {}
             out = {n: [] for n in _FOUND.names}
 
@@ -312,16 +348,16 @@ def _repeats(sent: DataFrame, window: int, states: int) -> DataFrame:
                 if key[a] != at:
                     at, shard = key[a], Shard(window, states)
                 if b < len(key) and document[a] == document[b - 1] and shard.document is None:
-                    continue_ = [n for n in range(a, b) if settled[n].is_valid]  # one document and no more: nothing to meet
+                    rows = [n for n in range(a, b) if settled[n] is not None]  # one document and no more: nothing to meet
                 else:
-                    continue_ = range(a, b)
-                for n in continue_:
+                    rows = range(a, b)
+                for n in rows:
                     i, h = int(document[n]), int(digest[n])
-                    if settled[n].is_valid:
-                        tell(i, h, settled[n].as_py())
+                    if settled[n] is not None:
+                        tell(i, h, settled[n])
                         continue
-                    own, first = hashes[n].as_py(), start[n].as_py()
-                    repeated, left = shard.feed(i, symbols[n].as_py(), own)
+                    own, first = hashes[n], start[n]
+                    repeated, left = shard.feed(i, symbols[n], own)
                     if repeated:
                         hits.setdefault((i, h), []).extend(first + x for x in repeated)
                     for x in left:
