@@ -87,6 +87,13 @@ def latencies(samples: DataFrame, value: str, *keys: str) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.coalesce(F.max(value), F.lit(0.0)).alias("slowest"))
 
 
+def rates(firings: DataFrame, at: str, ok: Column, every_micros: int) -> DataFrame:
+    """slot (number of the stretch of time), n, errors, per_second over firings with a time ``at`` in microseconds."""
+    slot = F.floor(F.col(at) / F.lit(every_micros)).cast("long")
+    out = firings.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~ok, 1)).alias("errors"))
+    return out.withColumn("per_second", F.col("n") / F.lit(every_micros / 1e6))
+
+
 def first_successes(firings: DataFrame, query: str, at: list[str], ok: Column) -> DataFrame:
     """The first successful firing of each query: the one that is scored."""
     order = Window.partitionBy(query).orderBy(*at)

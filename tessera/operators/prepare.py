@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, rendered, windows
+from tessera.sources.scratch import stored
 
 POLICIES = ("skip", "null", "error")
 
@@ -55,10 +56,25 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def numbered(points: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """place: the number of a row within its key, from 0.
+
+    Rows are put in order by ranges of (key, order), so a key that holds most rows is spread over as many tasks as it fills; what a
+    task has to know of the others is one count for each key and task.
+    """
+    names = points.columns
+    sorted_ = points.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("__m", F.monotonically_increasing_id())
+    rows = stored(sorted_.withColumns({"__task": F.shiftright("__m", 33), "__at": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    parts = rows.groupBy(F.col(key).alias("__k"), F.col("__task").alias("__t")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__k").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__before", before)
+    met = rows.join(parts, rows[key].eqNullSafe(parts["__k"]) & (rows["__task"] == parts["__t"]))
+    return met.select(*names, (F.col("__at") - F.col("__first") + F.col("__before")).alias("place"))
+
+
 def batches(points: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """batch: a number within the key, at most ``size`` rows to each, keys never mixed."""
-    place = Window.partitionBy(key).orderBy(*order)
-    return points.withColumn("batch", F.floor((F.row_number().over(place) - 1) / size))
+    return numbered(points, key, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def upserted(log: DataFrame, identifier: str, sequence: list[str]) -> DataFrame:
@@ -135,6 +151,14 @@ def padding(values: DataFrame, length: str, batch: Column) -> DataFrame:
     return per.agg(F.avg("e").alias("efficiency"), F.count(F.lit(1)).alias("batches"))
 
 
+def sampled_padding(values: DataFrame, length: str, key: str, size: int, batches: int, seed: int = 42) -> DataFrame:
+    """As ``padding`` over at most ``batches`` batches of about ``size`` rows, drawn by a hash of ``key`` and ``seed``: the same in every run."""
+    total = values.count()
+    groups = max(1, -(-total // size))
+    batch = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups))
+    return padding(values.filter(batch < batches), length, batch)
+
+
 def throughput(tflops: Column, parameters: Column, efficiency: Column, mean_tokens: Column) -> Column:
     """Texts a second of one pass."""
     return tflops * 1e12 / (2 * parameters) * efficiency / mean_tokens

@@ -317,6 +317,25 @@ def filtered_topk(queries: DataFrame, corpus: DataFrame, where: dict, metric: st
     return _result(_in_turn(blocks_of(queries), search), k)
 
 
+def wanted_rows(queries: DataFrame, corpus: DataFrame, where: dict) -> DataFrame:
+    """Rows that some query could want, by the ``must`` conditions that take values from the query: a superset, found without meeting
+    queries one by one. Values are sent as a distinct list, broadcast up to ``QUERY_ROWS`` of them; ranges as the widest bounds."""
+    rows = corpus
+    for c in where.get("must", []):
+        if "match_from_query" in c:
+            listed = queries.schema[c["match_from_query"]].dataType.typeName() == "array"
+            value = F.explode(c["match_from_query"]) if listed else F.col(c["match_from_query"])
+            values = queries.select(value.alias(c["field"])).distinct()
+            rows = rows.join(F.broadcast(values) if values.count() <= QUERY_ROWS else values, c["field"], "left_semi")
+        elif "range_from_query" in c:
+            for op, name in c["range_from_query"].items():
+                low = op in ("gt", "gte")
+                bound = queries.agg((F.min if low else F.max)(F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")))).first()[0]
+                x = F.col(c["field"]).cast("double")
+                rows = rows.filter(F.lit(False) if bound is None else x >= bound if low else x <= bound)
+    return rows
+
+
 def gathered(entries: DataFrame, identifier: str = "vec_id") -> DataFrame:
     """Entries (identifier, term, weight) to a row for each identifier: identifier, indices, values."""
     rows = entries.groupBy(identifier).agg(F.collect_list(F.struct("term", "weight")).alias("x"))

@@ -236,8 +236,7 @@ def threshold_kth(spark: SparkSession, d: str) -> DataFrame:
 
 @query("row_union_compaction", f"WITH {_C}, {_Q} SELECT vec_id FROM c WHERE label IN (SELECT q_label FROM q)")
 def row_union_compaction(spark: SparkSession, d: str) -> DataFrame:
-    wanted = _queries(spark, d).select("label").distinct()
-    return _table(spark, d, "embeddings").join(F.broadcast(wanted), "label", "left_semi").select("vec_id")
+    return search.wanted_rows(_queries(spark, d), _table(spark, d, "embeddings"), {"must": [{"field": "label", "match_from_query": "label"}]}).select("vec_id")
 
 
 @query(
@@ -320,8 +319,8 @@ def bucket_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dispatch_rate", "SELECT CAST(epoch_us(min(ts)) // 3600000000 AS BIGINT) AS hour, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) / 3600.0 AS per_second FROM events GROUP BY epoch_us(ts) // 3600000000")
 def dispatch_rate(spark: SparkSession, d: str) -> DataFrame:
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
-    return _table(spark, d, "events").groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), (F.count(F.lit(1)) / 3600.0).alias("per_second"))
+    rows = _table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return evaluate.rates(rows, "at", F.col("event_type") != "error", 3_600_000_000).withColumnRenamed("slot", "hour")
 
 
 # --- distribution of work -----------------------------------------------------------------------------------------

@@ -18,6 +18,14 @@ def by_rebuild_cost(settings: list[dict], slowest: str = "hnsw") -> list[dict]:
     return sorted(settings, key=lambda s: str(s.get(slowest)))
 
 
+def flattened(row: dict, prefix: str = "") -> dict:
+    """Nested settings as one level, with names joined by dots."""
+    out = {}
+    for name, value in row.items():
+        out |= flattened(value, f"{prefix}{name}.") if isinstance(value, dict) else {f"{prefix}{name}": value}
+    return out
+
+
 def segment(name: str) -> str:
     """A name fit for a path."""
     return re.sub(r"[^A-Za-z0-9._-]+", "-", name).strip("-")
@@ -39,6 +47,26 @@ def insert_action(exists: bool, always: bool = False, skip_existing: bool = Fals
     return "skip" if skip_existing else "abort"
 
 
+def expanded(text: str, environment: dict[str, str]) -> str:
+    """``${NAME}`` and ``${NAME:-default}`` by an environment; a name without a value is an error."""
+
+    def value(m: re.Match) -> str:
+        name, default = m.group(1), m.group(2)
+        if name not in environment and default is None:
+            raise ValueError(f"{name} is not set")
+        return environment.get(name, default)
+
+    return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", value, text)
+
+
+def human(size: float) -> str:
+    """A number of bytes to be read: 1536 is 1.5 KiB."""
+    for unit in ("B", "KiB", "MiB", "GiB", "TiB"):
+        if size < 1024 or unit == "TiB":
+            return f"{size:.0f} {unit}" if unit == "B" else f"{size:.1f} {unit}"
+        size /= 1024
+
+
 def report(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts; columns that a part lacks are null."""
     out = parts[0]

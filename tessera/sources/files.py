@@ -56,9 +56,9 @@ def arrow_path(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
-def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows with ``filename`` and ``file_row_number``."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*paths)
+def scan(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -> DataFrame:
+    """Rows with ``filename`` and ``file_row_number``. ``skip_corrupt`` goes on after a file that cannot be read."""
+    rows = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", skip_corrupt).option("pathGlobFilter", "*.parquet").parquet(*paths)
     return rows.select("*", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.row_index").alias("file_row_number"))
 
 

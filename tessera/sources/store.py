@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera.operators.prepare import not_loaded, upserted
 from tessera.operators.search import dense_topk
+from tessera.sources.scratch import stored
 
 
 class ParquetStore:
@@ -33,5 +34,31 @@ class ParquetStore:
         held = self.points()
         return points if held is None else not_loaded(points, held, self.identifier)
 
+    def exists(self, identifiers: DataFrame) -> DataFrame:
+        """Of a column of identifiers those that the store has."""
+        held = self.points()
+        wanted = identifiers.select(self.identifier)
+        return wanted.limit(0) if held is None else wanted.join(held.select(self.identifier), self.identifier, "left_semi")
+
+    def compact(self, write: int) -> None:
+        """All points as the one segment ``write``, higher than any other; the others go."""
+        held = self.points()
+        if held is None:
+            return
+        stored(held, "compact").write.mode("overwrite").parquet(f"{self.root}/write={write}")
+        fs, path = self._folder()
+        for s in fs.listStatus(path):
+            if s.getPath().getName().startswith("write=") and s.getPath().getName() != f"write={write}":
+                fs.delete(s.getPath(), True)
+
+    def drop(self) -> None:
+        """Delete the store."""
+        fs, path = self._folder()
+        fs.delete(path, True)
+
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def search(self, queries: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None) -> DataFrame:
         return dense_topk(queries, self.points(), metric, k, where)

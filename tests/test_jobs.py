@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import literal_micros, micros, spark_pattern
-from tessera.operators import embedding, evaluate, load, results, search, truth
+from tessera.operators import embedding, evaluate, load, prepare, results, search, truth
 from tessera.operators.embedding import Entry
 from tessera.operators.filters import checked_queries, chosen
 from tessera.operators.filters import evaluate as filtered
+from tessera.plans import grid
 from tessera.sources import files, vectors
+from tessera.sources.store import ParquetStore
 
 LONG = "query_id bigint, rank int, vec_id bigint, score double"
 
@@ -296,6 +298,46 @@ def test_the_writer_batches_paces_and_tries_again(spark, tmp_path):
     assert [load.backoff(n) for n in (0, 1, 10)] == [0.25, 0.5, 30.0]
 
 
+def test_rows_that_some_query_wants(spark):
+    corpus = spark.createDataFrame([(i, i % 5, float(i)) for i in range(20)], "vec_id bigint, label int, x double")
+    ask = spark.createDataFrame([(0, 1, [2], 3.0, 9.0), (1, 2, [2, 4], 5.0, 12.0), (2, None, None, None, None)], "query_id int, label int, labels array<int>, low double, high double")
+    some = lambda **c: {r["vec_id"] for r in search.wanted_rows(ask, corpus, {"must": [{"field": "label", **c}]}).collect()}
+    assert some(match_from_query="label") == {i for i in range(20) if i % 5 in (1, 2)}
+    assert some(match_from_query="labels") == {i for i in range(20) if i % 5 in (2, 4)}
+    kept = search.wanted_rows(ask, corpus, {"must": [{"field": "x", "range_from_query": {"gte": "low", "lt": "high"}}]})
+    assert {r["vec_id"] for r in kept.collect()} == set(range(3, 13))
+
+
+def test_store_and_settings(spark, tmp_path):
+    store = ParquetStore(spark, f"{tmp_path}/s")
+    rows = points(spark, [(i, [float(i)]) for i in range(6)])
+    assert store.exists(rows).count() == 0 and store.compact(1) is None
+    store.upsert(rows, 1)
+    store.upsert(points(spark, [(2, [9.0])]), 2)
+    store.compact(3)
+    assert store.points().count() == 6 and store.points().filter("vec_id = 2").first()["embedding"] == [9.0]
+    assert store.exists(points(spark, [(2, []), (77, [])])).count() == 1
+    store.drop()
+    assert store.points() is None
+    assert grid.flattened({"a": {"b": 1, "c": {"d": 2}}, "e": 3}) == {"a.b": 1, "a.c.d": 2, "e": 3}
+    assert grid.expanded("${A}/x/${B:-y}", {"A": "1"}) == "1/x/y" and grid.human(1536) == "1.5 KiB" and grid.human(7) == "7 B"
+    with pytest.raises(ValueError, match="not set"):
+        grid.expanded("${NONE}", {})
+
+
+def test_numbers_within_a_hot_key(spark):
+    rows = spark.range(5000).select((F.col("id") % 997).alias("v"), "id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "cold").alias("k"))
+    got = {}
+    for r in prepare.numbered(rows, "k", ["v", "id"]).collect():
+        got.setdefault(r["k"], []).append((r["place"], r["v"], r["id"]))
+    for held in got.values():
+        held.sort()
+        assert [p for p, _, _ in held] == list(range(len(held))) and [x[1:] for x in held] == sorted(x[1:] for x in held)
+    assert sum(map(len, got.values())) == 5000 and max(r["n"] for r in prepare.batches(rows, "k", ["v", "id"], 16).groupBy("k", "batch").agg(F.count("v").alias("n")).collect()) == 16
+    even = prepare.sampled_padding(rows, "v", "id", 50, 20).first()
+    assert even["batches"] == 20 and 0 < even["efficiency"] <= 1
+
+
 # --- embedding ------------------------------------------------------------------------------------------------------
 def test_entries_are_checked():
     text = lambda **x: Entry(**{"name": "a", "kind": "dense", "type": "hashing", "input_column": "t", **x})
