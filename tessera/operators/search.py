@@ -127,16 +127,28 @@ def _emit(found: list[tuple], names: pa.Array, query_type: pa.DataType) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(ids, query_type), names.take(pa.array(rows)), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
-def _product_pass(rows: DataFrame, sent: object, kernel: Callable, query_kind: str) -> DataFrame:
-    """``kernel(batch, sent)`` gives (query identifier, row numbers, scores) for the best of each batch."""
+def _product_pass(rows: DataFrame, sent: object, kernel: Callable, query_kind: str, k: int) -> DataFrame:
+    """``kernel(batch, sent)`` gives (query identifier, row numbers, scores) for the best of each batch.
+
+    Of these a task sends on only what reaches the k-th score that the query has in the task so far.
+    """
     ship(rows.sparkSession)
     payload = rows.sparkSession.sparkContext.broadcast(sent)
     query_type = pa.int64() if query_kind == "bigint" else pa.int32() if query_kind == "int" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, np.ndarray] = {}  # up to k scores of each query
         for batch in batches:
             with np.errstate(all="ignore"):  # infinities and NaN are data here
-                yield _emit(list(kernel(batch, payload.value)), batch.column(0), query_type)
+                found = []
+                for query, rows, scores in kernel(batch, payload.value):
+                    held = best.get(query, scores[:0])
+                    if len(held) == k:
+                        reach = ~(scores < held[0])
+                        rows, scores = rows[reach], scores[reach]
+                    best[query] = np.sort(np.r_[held, scores[~np.isnan(scores)]])[-k:]
+                    found.append((query, rows, scores))
+                yield _emit(found, batch.column(0), query_type)
 
     return rows.mapInArrow(run, f"query_id {query_kind}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double")
 
@@ -214,7 +226,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: in
             ids, vectors = by_width.setdefault(len(r["embedding"]), ([], []))
             ids.append(r["query_id"])
             vectors.append(r["embedding"])
-        return _product_pass(rows, {w: (ids, np.array(v, float).reshape(len(ids), w)) for w, (ids, v) in by_width.items()}, kernel, _kind(queries))
+        return _product_pass(rows, {w: (ids, np.array(v, float).reshape(len(ids), w)) for w, (ids, v) in by_width.items()}, kernel, _kind(queries), k)
 
     return _result(_in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search), k, nan)
 
@@ -225,12 +237,16 @@ def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict
     Filters are columns of truth values beside the vectors, so each row is read and each vector decoded once for all searches.
     """
     tests = {name: evaluate(corpus.schema, s.get("where"), dates=s.get("dates", ())) for name, s in specs.items()}
-    names = list(specs)
-    rows = corpus.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding", F.array(*[F.lit(True) if tests[n] is None else tests[n] for n in names]).alias("fits"))
+    # a filter that several searches have is one column
+    filters = list(dict.fromkeys(repr((s.get("where"), s.get("dates", ()))) for s in specs.values()))
+    column_of = {n: filters.index(repr((s.get("where"), s.get("dates", ())))) for n, s in specs.items()}
+    shared = {column_of[n]: F.lit(True) if t is None else t for n, t in tests.items()}
+    rows = corpus.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding", F.array(*[shared[c] for c in sorted(shared)]).alias("fits"))
     kept = rows.filter(F.exists("fits", lambda x: x))
     named = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
     width, n = named.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
     settings = [(n, s.get("metric", "dot"), s.get("k", 10)) for n, s in specs.items()]
+    columns = list(column_of.values())
 
     def kernel(batch: pa.RecordBatch, sent: list) -> Iterator[tuple]:
         starts, sizes = _flat(batch.column(1))
@@ -241,7 +257,7 @@ def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict
             here = np.flatnonzero(sizes == len(q))
             c = flat[starts[here][:, None] + np.arange(len(q))]
             for s, (spec, metric, k) in enumerate(settings):
-                mine = np.flatnonzero(fits[here, s])
+                mine = np.flatnonzero(fits[here, columns[s]])
                 if not len(mine):
                     continue
                 low, high = _block_bounds(metric, q[None, :], c[mine])
@@ -251,7 +267,7 @@ def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict
                 yield f"{spec}\x00{name}", here[near[best]], exact[best]
 
     def search(block: DataFrame) -> DataFrame:
-        return _product_pass(kept, [(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()], kernel, "string")  # at most QUERY_BYTES
+        return _product_pass(kept, [(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()], kernel, "string", max(k for _, _, k in settings))  # at most QUERY_BYTES
 
     found = _in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search)
     parts = F.split("query_id", "\x00")
@@ -412,7 +428,7 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
         offsets = np.searchsorted(term, np.arange(len(order) + 1))
         norms = np.maximum(np.sqrt(np.bincount(posted, weight * weight, len(held))), LEAST_NORM)
         sent = ([r["query_id"] for r in held], coded.dictionary.take(pa.array(order)), offsets, posted, weight, norms, bool((weight <= 0).any()))
-        return _product_pass(rows, sent, kernel, _kind(queries))
+        return _product_pass(rows, sent, kernel, _kind(queries), k)
 
     return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (64 * (longest or 1))), n), search), k)
 
@@ -459,7 +475,7 @@ def maxsim_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
 
     def search(block: DataFrame) -> DataFrame:
         sent = [(r["query_id"], np.array(r["tokens"], float)) for r in block.collect()]  # at most QUERY_BYTES
-        return _product_pass(rows, sent, kernel, _kind(queries))
+        return _product_pass(rows, sent, kernel, _kind(queries), k)
 
     return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (8 * (most or 1) * (width or 1))), n), search), k)
 
