@@ -39,7 +39,7 @@ def named(table: dict[str, str], value: str | None, default: str | None = None)
 
 # --- projections ----------------------------------------------------------------------------------------------------
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions for expressions of identifiers and payloads."""
+    """SQL functions for expressions of identifiers and payloads. Their names are fixed values: expressions of users have them."""
     words = ", ".join(f"'{w}'" for w in WORDS)
     for text in (
         "vf_uuid_from_hex(h STRING) RETURNS STRING RETURN regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5')",

@@ -62,10 +62,19 @@ def scan(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -> DataFr
     return rows.select("*", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.row_index").alias("file_row_number"))
 
 
-def json_lines(spark: SparkSession, *paths: str, schema: StructType | str, on_error: str = "skip") -> DataFrame:
-    """JSON lines, compressed or not; blank lines do not count; a bad line is skipped or an error."""
+def json_lines(spark: SparkSession, *paths: str, schema: StructType | str, on_error: str = "skip", ordinals: bool = False) -> DataFrame:
+    """JSON lines, compressed or not; blank lines do not count; a bad line is skipped or an error.
+
+    With ``ordinals`` also filename and record_ordinal, the number of the record among those of its file that are read, from 0.
+    """
     mode = {"skip": "DROPMALFORMED", "error": "FAILFAST"}[on_error]
-    return spark.read.schema(schema).option("mode", mode).json(list(paths))
+    rows = spark.read.schema(schema).option("mode", mode).json(list(paths))
+    if not ordinals:
+        return rows
+    from tessera.operators.prepare import numbered
+
+    places = rows.select("*", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    return numbered(places, "filename", ["__block", "__row"]).drop("__block", "__row").withColumnRenamed("place", "record_ordinal")
 
 
 def window_of(rows: DataFrame, offset: int, limit: int) -> DataFrame:

@@ -325,6 +325,16 @@ def test_store_and_settings(spark, tmp_path):
         grid.expanded("${NONE}", {})
 
 
+def test_ordinals_of_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"a": {n}}}\n' if n % 7 else "bad\n\n" for n in range(100)))
+    (tmp_path / "y.jsonl").write_text('{"a": 5}\n')
+    rows = files.json_lines(spark, str(tmp_path), schema="a int", ordinals=True).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["filename"][-7:], []).append((r["record_ordinal"], r["a"]))
+    assert sorted(by["x.jsonl"]) == list(enumerate(n for n in range(100) if n % 7)) and by["y.jsonl"] == [(0, 5)]
+
+
 def test_numbers_within_a_hot_key(spark):
     rows = spark.range(5000).select((F.col("id") % 997).alias("v"), "id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "cold").alias("k"))
     got = {}
