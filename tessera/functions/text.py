@@ -13,7 +13,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 def lowered(text: Column) -> Column:
     """Lower case letter by letter: a capital sigma or a dotted capital I does not depend on what stands around it."""
-    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+    odd = F.contains(text, F.lit("\u03a3")) | F.contains(text, F.lit("\u0130"))
+    return F.lower(F.when(odd, F.translate(text, "\u03a3\u0130", "\u03c3i")).otherwise(text))
 
 
 def tokens(text: Column) -> Column:

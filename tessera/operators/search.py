@@ -391,10 +391,28 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
         known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
         row, code, w = _summed(row[known], code.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64), w[known], max(1, len(vocabulary)))
         step = max(1, CELLS // max(1, len(ids)))
+        whole = len(vocabulary) * len(ids) <= CELLS and 16 * len(posted) > len(vocabulary) * len(ids)
+        if whole:  # few queries that share many indices: a table of indices by queries
+            table = np.zeros((len(vocabulary), len(ids)))
+            term = np.repeat(np.arange(len(vocabulary)), np.diff(offsets))
+            table[term, posted] = weight
+            there = np.zeros(table.shape, bool)
+            there[term, posted] = True
+            step = max(1, CELLS // max(1, len(ids) * max(1, int(np.bincount(row, minlength=1).max()))))
         for at in range(0, batch.num_rows, step):
             here = min(step, batch.num_rows - at)
             a, b = np.searchsorted(row, (at, at + here))
             scores, shared = np.zeros(here * len(ids)), np.zeros(here * len(ids), bool)
+            if whole and b > a:
+                begins = np.flatnonzero(np.r_[True, np.diff(row[a:b]) != 0])
+                filled = row[a:b][begins] - at
+                sums = np.add.reduceat(table[code[a:b]] * w[a:b, None], begins, axis=0)
+                scores.reshape(here, -1)[filled] = sums
+                if signed or w[a:b].min() <= 0:
+                    shared.reshape(here, -1)[filled] = np.logical_or.reduceat(there[code[a:b]], begins, axis=0)
+                else:
+                    shared.reshape(here, -1)[filled] = sums > 0
+                a = b
             for c in range(a, b, 1 << 15):  # entries against the queries that have their index
                 e = slice(c, min(b, c + (1 << 15)))
                 count = offsets[code[e] + 1] - offsets[code[e]]

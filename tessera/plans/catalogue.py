@@ -39,7 +39,8 @@ def _asked(name: str) -> Column:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return files.spread(rows) if name == "documents" else rows  # long texts
 
 
 def _corpus(spark: SparkSession, d: str, spec: dict) -> DataFrame:

@@ -62,6 +62,18 @@ def scan(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -> DataFr
     return rows.select("*", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.row_index").alias("file_row_number"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table too small to be read by as many tasks as there are cores, dealt evenly to that many; all others as they are read.
+
+    A small file is one task however many cores there are, which costs more than this shuffle where each row takes work.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    share = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * share else rows
+
+
 def json_lines(spark: SparkSession, *paths: str, schema: StructType | str, on_error: str = "skip", ordinals: bool = False) -> DataFrame:
     """JSON lines, compressed or not; blank lines do not count; a bad line is skipped or an error.
 

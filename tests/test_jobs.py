@@ -68,6 +68,9 @@ def test_ranked_queries_in_blocks_agree(spark, monkeypatch):
         if metric == "dot":
             assert [x[:3] for x in whole] == sorted(best)
         assert len(whole) == len(best)
+        monkeypatch.setattr(search, "CELLS", 40)
+        assert [x[:3] for x in sorted(map(tuple, search.sparse_topk(ask, rows, metric, 6).collect()))] == [x[:3] for x in whole]
+        monkeypatch.setattr(search, "CELLS", 1 << 22)
         monkeypatch.setattr(search, "QUERY_BYTES", 64 * 4 * 3)
         assert sorted(map(tuple, search.sparse_topk(ask, rows, metric, 6).collect())) == whole
         monkeypatch.undo()
