@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.files import spread
 from tessera.sources.scratch import scratch_path, stored
 from tessera.sources.shipping import ship
 
-__all__ = ["SLOTS", "WORD", "free", "maybe_in", "rows_of", "scratch_path", "ship", "shuffle_partitions", "stored", "table", "word_count"]
+__all__ = ["SLOTS", "WORD", "free", "maybe_in", "rows_of", "scratch_path", "ship", "spread", "shuffle_partitions", "stored", "table", "word_count"]
 
 #: A word is a maximal run of characters other than ASCII white space. Fixed by the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,7 +31,8 @@ def free(name: str, taken: list[str]) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 #: Bits of the filter in ``maybe_in``.
