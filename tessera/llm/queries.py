@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, fingerprints, langid, minhash, mixing, pii, substring, topk, warc
+from tessera.llm import bpe, chat, fingerprints, langid, minhash, mixing, pii, substring, tokenfiles, topk, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.query,
     "op9_langid": langid.query,
     "op10_warc": warc.query,
+    "op11_tokens": tokenfiles.query,
 }
 
 ORACLES = {
