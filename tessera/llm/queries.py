@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, fingerprints, langid, minhash, mixing, pii, substring, tokenfiles, topk, warc
+from tessera.llm import bpe, chat, collocations, fingerprints, langid, minhash, mixing, pii, substring, tokenfiles, topk, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_langid": langid.query,
     "op10_warc": warc.query,
     "op11_tokens": tokenfiles.query,
+    "op12_collocations": collocations.query,
 }
 
 ORACLES = {
     "op1_mix": mixing.SQL,
     "op6_topk": topk.SQL,
     "op10_warc": warc.SQL,
+    "op12_collocations": collocations.SQL,
 }
