@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, collocations, fingerprints, langid, minhash, mixing, pii, substring, tokenfiles, topk, warc
+from tessera.llm import bpe, chat, codes, collocations, fingerprints, langid, minhash, mixing, pii, substring, tokenfiles, topk, warc
 
 QUERIES = {
     "op1_mix": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.query,
     "op11_tokens": tokenfiles.query,
     "op12_collocations": collocations.query,
+    "op13_codes": codes.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_topk": topk.SQL,
     "op10_warc": warc.SQL,
     "op12_collocations": collocations.SQL,
+    "op13_codes": codes.SQL,
 }

@@ -34,8 +34,8 @@ SAMPLE = 4096
 EXACT = 2.0**52
 
 
-def whole_vectors(rows: DataFrame, identifier: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long), length, r (a number of the row): components floor(scale * x).
+def whole_vectors(rows: DataFrame, identifier: str, vector: str, scale: int = SCALE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array of long), length, r (a number of the row) and the columns in ``keep``: components floor(scale * x).
 
     Vectors that are null or hold null, NaN or infinite components, and rows without an identifier, are left out. Rows that repeat
     an identifier are rows each.
@@ -43,7 +43,7 @@ def whole_vectors(rows: DataFrame, identifier: str, vector: str, scale: int = SC
     x = F.col(vector)
     sound = x.isNotNull() & F.col(identifier).isNotNull() & F.forall(F.coalesce(x, F.array()), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != F.lit(float("inf"))))
     ints = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    good = rows.filter(sound).select(F.col(identifier).cast("long").alias("vec_id"), ints.alias("v"))
+    good = rows.filter(sound).select(F.col(identifier).cast("long").alias("vec_id"), ints.alias("v"), *keep)
     return good.withColumn("r", F.monotonically_increasing_id()).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
