@@ -35,8 +35,8 @@ from tessera.llm.substring import _filter_of, passing
 from tessera.operators.prepare import numbered
 
 LEAST, LONGEST, BEST = 100, 5, 2000
-#: Hashes that a task counts at once; phrases aimed at for a range; phrases drawn for each range.
-HASHES, RANGE_ROWS, DRAWN = 1 << 22, 50_000, 32
+#: Hashes that a task counts at once; bytes of text that it scans at once; phrases aimed at for a range; phrases drawn for each.
+HASHES, SCAN, RANGE_ROWS, DRAWN = 1 << 21, 4 << 20, 50_000, 32
 UNKNOWN = "und"
 #: Ends the language and each word in a key; words that hold it, or the escape itself, are escaped.
 STOP, _ESCAPES = b"\x00", ((b"\x01", b"\x01\x02"), (b"\x00", b"\x01\x01"))
@@ -98,35 +98,31 @@ class Words:
         return single, scrambled(single[:-1] * STEP + own[1:] + np.uint64(1))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 def _frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
     """a: hashes of words and of pairs of words that occur ``least`` times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held, n = np.empty(HASHES, np.uint64), 0
 
-        def told() -> pa.RecordBatch:
-            keys, counts = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["a", "n"])
+        def told(keys: np.ndarray) -> pa.RecordBatch:
+            keys.sort()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(keys)]))], ["a", "n"])
 
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, SCAN):
                 w = Words(rows)
                 single, double = w.hashes()
-                held.append(_summed(single, np.ones(len(single), np.int64)))
+                yield told(single)
                 double = double[w.joined[:-1]]
-                held.append((double, np.ones(len(double), np.int64)))
-                if sum(len(h[0]) for h in held) > HASHES:
-                    yield told()
-                    held = []
-        if held:
-            yield told()
+                while len(double):
+                    taken = double[: HASHES - n]
+                    held[n : n + len(taken)] = taken
+                    n, double = n + len(taken), double[len(taken) :]
+                    if n == HASHES:
+                        yield told(held)
+                        n = 0
+        yield told(held[:n])
 
     counts = docs.mapInArrow(run, "a bigint, n bigint")
     return counts.groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("a")
@@ -139,7 +135,7 @@ def _records(docs: DataFrame, bits: bytes, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, SCAN):
                 w = Words(rows)
                 if not w.n:
                     continue
