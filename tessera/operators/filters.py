@@ -65,9 +65,9 @@ def condition(schema: StructType, spec: dict, field: Column | None = None, query
         other, kind_there = query[value], query_schema[value].dataType
         listed = isinstance(kind_there, ArrayType)
         own = kind_there.elementType if listed else kind_there
-        if "real" in (_family(of), _family(own)):
+        if "real" in (family(of), family(own)):
             raise ValueError(f"{name!r} and query column {value!r}: fractions cannot be matched")
-        if _family(own) != _family(of) and "null" not in (_family(of), _family(own)):
+        if family(own) != family(of) and "null" not in (family(of), family(own)):
             raise ValueError(f"{name!r} and query column {value!r} differ in type")
         found = F.array_contains(other, column) if listed else column == other
     elif kind == "range_from_query":
@@ -113,21 +113,22 @@ def chosen(queries: DataFrame, column: str, values: list) -> DataFrame:
     return kept
 
 
-def _family(kind) -> str:
+def family(kind) -> str:
+    """What values of a type may be matched with."""
     if type(kind) in _WHOLE:
         return "whole"
-    for family, types in (("null", NullType), ("text", StringType), ("flag", BooleanType), ("real", (FloatType, DoubleType))):
+    for name, types in (("null", NullType), ("text", StringType), ("flag", BooleanType), ("real", (FloatType, DoubleType))):
         if isinstance(kind, types):
-            return family
+            return name
     raise ValueError(f"columns of type {kind.simpleString()} cannot be matched")
 
 
 def _match(of, column: Column, values: list, name: str) -> Column:
-    family = _family(of)
-    fits = {"text": lambda v: isinstance(v, str), "flag": lambda v: isinstance(v, bool)}.get(family, lambda v: isinstance(v, (int, float)) and not isinstance(v, bool))
+    kind = family(of)
+    fits = {"text": lambda v: isinstance(v, str), "flag": lambda v: isinstance(v, bool)}.get(kind, lambda v: isinstance(v, (int, float)) and not isinstance(v, bool))
     if not all(fits(v) for v in values):
         raise ValueError(f"values for {name!r} do not fit its type")
-    if family == "whole":  # a fraction, or a number out of range, equals no whole number
+    if kind == "whole":  # a fraction, or a number out of range, equals no whole number
         limit = 1 << _WHOLE[type(of)]
         values = [int(v) for v in values if math.isfinite(v) and v == int(v) and -limit <= v < limit]
     return column.isin(values) if values else F.lit(False)
@@ -144,7 +145,7 @@ def _range(of, column: Column, bounds: dict, name: str, date: str | None) -> Col
             raise ValueError(f"{name!r} is no date field")
         elif math.isnan(v):
             return F.lit(False)
-        elif _family(of) == "whole":
+        elif family(of) == "whole":
             tests.append(_whole_bound(column, op, v, 1 << _WHOLE[type(of)]))
         else:
             tests.append(_TESTS[op](column, F.lit(float(v))) & ~F.isnan(column))

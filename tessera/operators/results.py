@@ -6,13 +6,13 @@ import hashlib
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, ByteType, FloatType, IntegerType, LongType, ShortType
 
 from tessera.operators.search import ranked
 
-#: Columns of a result that a payload column may not be named like.
+#: Columns of a result that a payload column may not be named like. The names are a file format.
 RESERVED = ("query_id", "hit_ids", "hit_scores", "hit_tie", "applied_threshold", "nan_hits")
 
 
@@ -110,35 +110,95 @@ def check_runs(provenances: list[dict], forced: bool = False) -> dict:
     return {**{n: v for n, v in provenances[0].items() if n != "rank"}, **({"forced": True} if forced else {})}
 
 
-def partial_problems(partials: DataFrame, parts: int) -> DataFrame:
-    """query_id, problem: queries that some part lacks or has twice, and null or uneven lists. ``partials`` has a column part."""
+def _whole(kind) -> bool:
+    return isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+
+
+def rounded_down(score: Column) -> Column:
+    """A 32-bit number that is not above a 64-bit one, so that a bound stays a bound."""
+    return (score - F.abs(score) * F.lit(2.0**-23) - F.lit(2.0**-149)).cast("float")
+
+
+def partial_problems(partials: DataFrame, parts: int, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, problem: what keeps partial lists from being merged. ``partials`` has a column part.
+
+    Queries that some part lacks or has twice, or with ``queries`` (query_id) that all parts lack; null or uneven lists, nulls in
+    lists, lists longer than k; and queries whose parts together have fewer hits than their applied threshold vouches for.
+    """
     kind = partials.schema["hit_scores"].dataType
     if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, FloatType):
         raise ValueError("hit_scores has to be a list of 32-bit numbers")
-    odd = partials.filter(F.col("hit_ids").isNull() | F.col("hit_scores").isNull() | (F.size("hit_ids") != F.size("hit_scores"))).select("query_id", F.lit("null or uneven lists").alias("problem"))
-    times = partials.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("d")).filter((F.col("n") != parts) | (F.col("d") != parts))
-    return odd.unionByName(times.select("query_id", F.lit("not once in each part").alias("problem")))
-
-
-def merge_lists(partials: DataFrame, k: int, parts: int, tie: str = "vec_id") -> DataFrame:
-    """query_id, rank, vec_id, score: partial lists (part, query_id, hit_ids, hit_scores, and nan_hits if there is such a column)
-    to whole ones. The job fails where ``partial_problems`` finds any. Hits whose score was not a number took places in their part,
-    so a query's list is cut to k less the number of them."""
-    bad = partial_problems(partials, parts).agg(F.count(F.lit(1)).alias("bad"), F.min("query_id").alias("first"))
-    checked = bad.select(F.when(F.col("bad") > 0, F.raise_error(F.concat(F.lit("partial lists do not fit together, first at query "), F.col("first").cast("string")))).otherwise(F.lit(True)).alias("__fine"))
-    found = ranked(long_lists(partials.drop("nan_hits")).select("query_id", "vec_id", "score", *(["tie"] if "hit_tie" in partials.columns else [])), k, [F.col(tie)])
+    lists = [c for c in ("hit_ids", "hit_scores", "hit_tie") if c in partials.columns]
+    null = F.lit(False)
+    for c in lists:
+        null = null | F.col(c).isNull()
+    uneven, holes = F.lit(False), F.lit(False)
+    for c in lists:
+        uneven = uneven | (F.size(c) != F.size("hit_scores"))
+        holes = holes | F.exists(c, lambda x: x.isNull())
+    what = F.when(null, "null lists").when(uneven, "uneven lists").when(holes, "nulls in lists").when(F.size("hit_scores") > k, "more hits than k")
+    odd = partials.select("query_id", what.alias("problem")).filter("problem IS NOT NULL")
+    told = [F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("d")]
+    if "applied_threshold" in partials.columns:
+        nan = F.sum(F.coalesce("nan_hits", F.lit(0))) if "nan_hits" in partials.columns else F.lit(0)
+        told += [F.max("applied_threshold").alias("t"), (F.lit(k) - nan - F.sum(F.size("hit_ids"))).alias("missing"), nan.alias("slots")]
+    times = partials.groupBy("query_id").agg(*told)
+    found = odd.unionByName(times.filter((F.col("n") != parts) | (F.col("d") != parts)).select("query_id", F.lit("not once in each part").alias("problem")))
+    if "applied_threshold" in partials.columns:
+        found = found.unionByName(times.filter((F.col("t") > float("-inf")) & (F.col("missing") > 0) & (F.col("slots") < k)).select("query_id", F.lit("fewer hits than its threshold vouches for").alias("problem")))
+    if queries is not None:
+        lost = queries.select(F.col("query_id").cast("string").alias("query_id")).join(times.select("query_id"), "query_id", "left_anti")
+        found = found.unionByName(lost.select("query_id", F.lit("in no part").alias("problem")))
+    return found
+
+
+def merge_lists(partials: DataFrame, k: int, parts: int, tie: str | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: partial lists (part, query_id, hit_ids, hit_scores, and hit_tie, nan_hits, applied_threshold if
+    there are such columns) to whole ones.
+
+    The job fails where ``partial_problems`` finds any, and where a merged list does not reach a threshold that was applied to one
+    of its parts: then rows were left out that belong in it. Ties go by hit_tie if there is such a column, else by the text of the
+    identifier. Hits whose score was not a number took places in their part, so a query's list is cut to k less the number of them.
+    Scores of results have 32 bits: scores that differ beyond that are ties here.
+    """
+    tie = tie or ("tie" if "hit_tie" in partials.columns else "vec_id")
+    limited = "applied_threshold" in partials.columns
+    bad = partial_problems(partials, parts, k, queries).agg(F.count(F.lit(1)).alias("bad"), F.min(F.struct("query_id", "problem")).alias("first"))
+    message = F.concat(F.lit("partial lists do not fit together, first at query "), F.coalesce(F.col("first.query_id").cast("string"), F.lit("null")), F.lit(": "), F.col("first.problem"))
+    entries = long_lists(partials.drop("nan_hits"))
+    found = ranked(entries.select("query_id", "vec_id", "score", *(["tie"] if "hit_tie" in partials.columns else [])), k, [F.col(tie)])
+    told = []
     if "nan_hits" in partials.columns:
-        slots = partials.groupBy("query_id").agg(F.sum(F.coalesce("nan_hits", F.lit(0))).alias("__nan"))
-        found = found.join(slots, "query_id").filter(F.col("rank") <= F.lit(k) - F.col("__nan")).drop("__nan")
-    return found.crossJoin(F.broadcast(checked)).filter("__fine").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")  # one row
-
-
-def partial_lists(found: DataFrame, queries: DataFrame, part: int) -> DataFrame:
-    """Lists of one part, from a search with ``nan="keep"``: part, query_id, hit_ids, hit_scores and nan_hits, the number of hits
-    that took a place without a score and are left out."""
+        told.append(F.sum(F.coalesce("nan_hits", F.lit(0))).alias("__nan"))
+    if limited:
+        told.append(F.max("applied_threshold").alias("__applied"))
+    if told:
+        found = found.join(partials.groupBy("query_id").agg(*told), "query_id")
+    if "nan_hits" in partials.columns:
+        found = found.filter(F.col("rank") <= F.lit(k) - F.col("__nan"))
+    if limited:
+        least = F.min("score").over(Window.partitionBy("query_id"))
+        low = F.coalesce(least < F.col("__applied"), F.lit(False))
+        problem = F.raise_error(F.concat(F.lit("a part was trimmed by a threshold that the merged list does not reach, query "), F.col("query_id").cast("string")))
+        found = found.withColumn("__low", low).filter(F.when(F.col("__low"), problem).otherwise(F.lit(True)))
+    out = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # no row, or an error; beside the lists, so that it is looked at even where no list has an entry
+    fine = bad.filter(F.when(F.col("bad") > 0, F.raise_error(message)).otherwise(F.lit(False)))
+    return out.unionByName(fine.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema]))
+
+
+def partial_lists(found: DataFrame, queries: DataFrame, part: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Lists of one part, from a search with ``nan="keep"``: part, query_id, hit_ids, hit_scores, hit_tie where identifiers are whole
+    numbers, nan_hits, the number of hits that took a place without a score and are left out, and with ``bounds`` (query_id, bound),
+    those that the search began with, applied_threshold: the bound in 32 bits, rounded down."""
     nan = F.isnan("score")
     slots = found.groupBy("query_id").agg(F.count(F.when(nan, 1)).cast("int").alias("nan_hits"))
     real = found.filter(~nan).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    lists = result_lists(real, queries)
-    slots = slots.select(F.col("query_id").cast("string").alias("query_id"), "nan_hits")
-    return lists.join(slots, "query_id", "left").select(F.lit(part).alias("part"), "query_id", "hit_ids", "hit_scores", F.coalesce("nan_hits", F.lit(0)).alias("nan_hits"))
+    ties = "vec_id" if _whole(found.schema["vec_id"].dataType) else None
+    text = F.col("query_id").cast("string").alias("query_id")
+    out = result_lists(real, queries, tie=ties).join(slots.select(text, "nan_hits"), "query_id", "left")
+    last = []
+    if bounds is not None:
+        out = out.join(bounds.select(text, rounded_down(F.col("bound")).alias("applied_threshold")), "query_id", "left")
+        last = ["applied_threshold"]
+    return out.select(F.lit(part).alias("part"), "query_id", "hit_ids", "hit_scores", *(["hit_tie"] if ties else []), F.coalesce("nan_hits", F.lit(0)).alias("nan_hits"), *last)

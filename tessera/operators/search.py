@@ -1,9 +1,10 @@
 """Exact top-k similarity joins: dense, sparse and multivector, with static and per-query filters.
 
-Without per-query conditions the corpus passes once, as it is read, through products with a bounded block of queries. Each
-Arrow batch returns k candidates a query, so what is shuffled grows with batches and queries and never with pairs. Products of
-blocks round by position: what comes within the rounding error of the k-th is scored again, row by row, so equal vectors score
-alike in any partitioning. With per-query conditions a block of queries of checked size is broadcast to a join.
+The corpus passes once, as it is read, through products with a bounded block of queries; conditions with values from the query
+are masks beside the product (see ``masks``). Each Arrow batch returns k candidates a query at most, and only what reaches the
+k-th score that the query has in the task so far, so what is shuffled grows with tasks and queries and never with pairs. Products
+of blocks round by position: what comes within the rounding error of the k-th is scored again, row by row, so equal vectors score
+alike in any partitioning.
 
 A NaN score takes no place in a list, unless ``nan`` says so: with ``"slot"`` it sorts above infinity, takes one of the k places
 and is then left out, so the list is shorter; with ``"keep"`` it stays in the list, for partial lists that are merged later.
@@ -19,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tessera.functions.vectors import LEAST_NORM, doubles, score
+from tessera.functions.vectors import LEAST_NORM, doubles
 from tessera.operators.filters import evaluate
+from tessera.operators.masks import Masks, wanted
 from tessera.sources.scratch import stored
 from tessera.sources.shipping import ship
 
@@ -119,48 +122,68 @@ def _near_top(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(~sound | (high >= kth))
 
 
-def _emit(found: list[tuple], names: pa.Array, query_type: pa.DataType) -> pa.RecordBatch:
-    """found: (query identifier, row numbers, scores)."""
-    ids = [q for q, rows, _ in found for _ in range(len(rows))]
+def _emit(found: list[tuple], names: pa.Array, keys: list[pa.Field]) -> pa.RecordBatch:
+    """found: (key of a query, row numbers, scores)."""
+    owner = pa.array(np.repeat(np.arange(len(found)), [len(x[1]) for x in found]))
     rows = np.concatenate([np.empty(0, np.int64), *[x[1] for x in found]]).astype(np.int64)
     scores = np.concatenate([np.empty(0), *[x[2] for x in found]])
-    return pa.RecordBatch.from_arrays([pa.array(ids, query_type), names.take(pa.array(rows)), pa.array(scores)], ["query_id", "vec_id", "score"])
+    columns = [pa.array([x[0][i] for x in found], f.type).take(owner) for i, f in enumerate(keys)]
+    return pa.RecordBatch.from_arrays([*columns, names.take(pa.array(rows)), pa.array(scores)], [*[f.name for f in keys], "vec_id", "score"])
 
 
-def _product_pass(rows: DataFrame, sent: object, kernel: Callable, query_kind: str, k: int) -> DataFrame:
-    """``kernel(batch, sent)`` gives (query identifier, row numbers, scores) for the best of each batch.
+def _product_pass(rows: DataFrame, sent: object, kernel: Callable, keys: list[StructField], k: int) -> DataFrame:
+    """``kernel(batch, sent, floors)`` gives (key of a query, row numbers, scores) for the best of each batch.
 
-    Of these a task sends on only what reaches the k-th score that the query has in the task so far.
+    ``floors`` has for each key the k-th score that the query has in the task so far; what does not reach it is not sent on.
     """
     ship(rows.sparkSession)
     payload = rows.sparkSession.sparkContext.broadcast(sent)
-    query_type = pa.int64() if query_kind == "bigint" else pa.int32() if query_kind == "int" else pa.string()
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[object, np.ndarray] = {}  # up to k scores of each query
+        best: dict[tuple, np.ndarray] = {}  # up to k scores of each query
+        floors: dict[tuple, float] = {}
         for batch in batches:
             with np.errstate(all="ignore"):  # infinities and NaN are data here
                 found = []
-                for query, rows, scores in kernel(batch, payload.value):
-                    held = best.get(query, scores[:0])
-                    if len(held) == k:
-                        reach = ~(scores < held[0])
+                for key, rows, scores in kernel(batch, payload.value, floors):
+                    if key in floors:
+                        reach = ~(scores < floors[key])
                         rows, scores = rows[reach], scores[reach]
-                    best[query] = np.sort(np.r_[held, scores[~np.isnan(scores)]])[-k:]
-                    found.append((query, rows, scores))
-                yield _emit(found, batch.column(0), query_type)
+                    best[key] = np.sort(np.r_[best.get(key, scores[:0]), scores[~np.isnan(scores)]])[-k:]
+                    if len(best[key]) == k:
+                        floors[key] = float(best[key][0])
+                    if len(rows):
+                        found.append((key, rows, scores))
+                yield _emit(found, batch.column(0), fields)
 
-    return rows.mapInArrow(run, f"query_id {query_kind}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    return rows.mapInArrow(run, f"{schema}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double")
+
+
+def _key(queries: DataFrame) -> StructField:
+    return StructField("query_id", queries.schema["query_id"].dataType)
 
 
 def _identifiers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _tamed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose squares would leave the range of doubles, by a power of two that keeps them in; and these powers."""
+    most = np.abs(x).max(axis=1, initial=0)
+    power = np.where(np.isfinite(most) & (most > 1e150), np.frexp(most)[1], 0)
+    return (np.ldexp(x, -power[:, None]), power) if power.any() else (x, power)
+
+
 def _row_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Scores of one query against rows, the same for equal rows wherever they stand."""
     if metric == "euclidean":
-        return -np.sqrt(((c - q) ** 2).sum(axis=1))
+        d, power = _tamed(c - q)
+        return -np.ldexp(np.sqrt((d**2).sum(axis=1)), power)
+    if metric == "cosine":
+        c, _ = _tamed(c)
+        q = _tamed(q[None, :])[0][0]
     s = (c * q).sum(axis=1)
     if metric == "cosine":
         s = s / np.maximum(np.sqrt((c * c).sum(axis=1)), LEAST_NORM) / max(float(np.sqrt((q * q).sum())), LEAST_NORM)
@@ -170,13 +193,14 @@ def _row_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _block_bounds(metric: str, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of a rising function of the scores of queries (rows) against rows (columns): product and rounding error.
 
-    The error of a product of n numbers is at most n * eps times the product of the lengths; the bounds leave room for four times that.
+    The error of a product of n numbers is at most n * eps times the product of the lengths; the bounds leave room for four times
+    that. Where a length is no finite number, the bounds are none.
     """
     gamma = 4 * (q.shape[1] + 4) * _EPS
     s = q @ c.T
     length_q, length_c = np.sqrt((q * q).sum(axis=1))[:, None], np.sqrt((c * c).sum(axis=1))
     if metric == "cosine":
-        s, error = s / np.maximum(length_c, LEAST_NORM) / np.maximum(length_q, LEAST_NORM), gamma
+        s, error = s / np.maximum(length_c, LEAST_NORM) / np.maximum(length_q, LEAST_NORM), gamma + 0 * length_q * length_c
     elif metric == "euclidean":  # the negated square
         s, error = 2 * s - length_q**2 - length_c**2, gamma * (length_q + length_c) ** 2
     else:
@@ -184,6 +208,11 @@ def _block_bounds(metric: str, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray
     return s - error, s + error
 
 
+def _bound_of(metric: str, floors: np.ndarray) -> np.ndarray:
+    """Scores as what ``_block_bounds`` bounds, rounded down."""
+    return -(floors * floors) * (1 + 8 * _EPS) if metric == "euclidean" else floors
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the lists in ``lists.values``; a null list has no size."""
     offsets = lists.offsets.to_numpy()
@@ -191,42 +220,73 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1], np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0) if lists.null_count else sizes
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), nan: str = "drop") -> DataFrame:
+def dense_topk(
+    queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), nan: str = "drop", bounds: DataFrame | None = None, told: dict | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score: queries (query_id, embedding) against all rows of corpus (vec_id, embedding, payload).
 
     Null vectors, and vectors of another length than the query's, are no candidates. Ties go to the smaller vec_id. Fewer than k
-    candidates give shorter lists. ``where`` is a filter of payload columns; it reaches the scan.
+    candidates give shorter lists. ``where`` is a filter of payload columns; what of it has no value from the query reaches the
+    scan, and so do the values and bounds that all queries together allow.
+
+    ``bounds`` (query_id, bound) are scores that the k-th result of a query reaches in any case: rows below are not scored and
+    not returned. ``told`` gets accumulators: ``pairs`` of a query and a row that its filter lets through, and of these ``scored``
+    row by row. They count when the result is used, again each time it is.
     """
-    keep = evaluate(corpus.schema, where, dates=dates)
-    rows = (corpus if keep is None else corpus.filter(keep)).select("vec_id", "embedding").filter("embedding IS NOT NULL AND vec_id IS NOT NULL")
-    named = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    masks = Masks(corpus.schema, where, queries.schema, dates)
+    keep = wanted(queries, corpus.schema, where, dates)
+    rows = (corpus if keep is None else corpus.filter(keep)).select("vec_id", "embedding", *[c.alias(n) for n, c in masks.columns.items()]).filter("embedding IS NOT NULL AND vec_id IS NOT NULL")
+    named = queries.select("query_id", "embedding", *[c.alias(n) for n, c in masks.query_columns.items()]).filter("embedding IS NOT NULL")
+    if bounds is not None:
+        named = named.join(bounds.select("query_id", F.col("bound").cast("double").alias("__floor")), "query_id", "left")
     width, n = named.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    sc = corpus.sparkSession.sparkContext
+    counts = {name: sc.accumulator(0) for name in ("pairs", "scored")} if told is not None else {}
+    if told is not None:
+        told |= counts
 
-    def kernel(batch: pa.RecordBatch, sent: dict) -> Iterator[tuple]:
+    def kernel(batch: pa.RecordBatch, sent: dict, floors: dict) -> Iterator[tuple]:
         starts, sizes = _flat(batch.column(1))
         flat = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float)
         names = _identifiers(batch.column(0))
-        for width, (ids, q) in sent.items():
+        for width, (keys, q, given, tables) in sent.items():
             picked = np.flatnonzero(sizes == width)
             if not len(picked):
                 continue
-            c, own = flat[starts[picked][:, None] + np.arange(width)], names[picked]
+            values = masks.rows(batch.take(pa.array(picked)) if masks else batch, tables)
             step = max(1, CELLS // len(picked))
             for at in range(0, len(q), step):
-                low, high = _block_bounds(metric, q[at : at + step], c)
-                for row in range(len(low)):
-                    near = _near_top(low[row], high[row], k)
+                part = slice(at, at + step)
+                fits = np.broadcast_to(masks.fits(values, tables, at, min(len(q), at + step)), (len(keys[part]), len(picked)))
+                some = np.flatnonzero(fits.any(axis=0)) if masks else np.arange(len(picked))
+                if not len(some):
+                    continue
+                fits, here = fits[:, some], picked[some]
+                c, own = flat[starts[here][:, None] + np.arange(width)], names[here]
+                low, high = _block_bounds(metric, q[part], c)
+                floor = np.array([max(floors.get(key, -np.inf), g) for key, g in zip(keys[part], given[part], strict=True)])
+                reach = fits & ~(high < _bound_of(metric, floor)[:, None])
+                if counts:
+                    counts["pairs"].add(int(fits.sum()))
+                for row in np.flatnonzero(reach.any(axis=1)).tolist():
+                    near = np.flatnonzero(reach[row])
+                    near = near[_near_top(low[row][near], high[row][near], k)]
                     exact = _row_scores(metric, q[at + row], c[near])
-                    best = _best(exact, own[near], k, nan)
-                    yield ids[at + row], picked[near[best]], exact[best]
+                    if counts:
+                        counts["scored"].add(len(near))
+                    above = np.flatnonzero(~(exact < given[at + row]))
+                    best = above[_best(exact[above], own[near[above]], k, nan)]
+                    yield keys[at + row], here[near[best]], exact[best]
 
     def search(block: DataFrame) -> DataFrame:
-        by_width: dict[int, tuple[list, list]] = {}
+        by_width: dict[int, list] = {}
         for r in block.collect():  # at most QUERY_BYTES of vectors
-            ids, vectors = by_width.setdefault(len(r["embedding"]), ([], []))
-            ids.append(r["query_id"])
-            vectors.append(r["embedding"])
-        return _product_pass(rows, {w: (ids, np.array(v, float).reshape(len(ids), w)) for w, (ids, v) in by_width.items()}, kernel, _kind(queries), k)
+            by_width.setdefault(len(r["embedding"]), []).append(r)
+        sent = {}
+        for w, held in by_width.items():
+            given = np.array([-np.inf if bounds is None or r["__floor"] is None or not np.isfinite(r["__floor"]) else r["__floor"] for r in held], float)
+            sent[w] = ([(r["query_id"],) for r in held], np.array([r["embedding"] for r in held], float).reshape(len(held), w), given, masks.sent(held))
+        return _product_pass(rows, sent, kernel, [_key(queries)], k)
 
     return _result(_in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search), k, nan)
 
@@ -248,7 +308,7 @@ def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict
     settings = [(n, s.get("metric", "dot"), s.get("k", 10)) for n, s in specs.items()]
     columns = list(column_of.values())
 
-    def kernel(batch: pa.RecordBatch, sent: list) -> Iterator[tuple]:
+    def kernel(batch: pa.RecordBatch, sent: list, floors: dict) -> Iterator[tuple]:
         starts, sizes = _flat(batch.column(1))
         flat = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float)
         fits = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -264,16 +324,14 @@ def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict
                 near = mine[_near_top(low[0], high[0], k)]
                 exact = _row_scores(metric, q, c[near])
                 best = _best(exact, own[here[near]], k, "drop")
-                yield f"{spec}\x00{name}", here[near[best]], exact[best]
+                yield (spec, name), here[near[best]], exact[best]
 
     def search(block: DataFrame) -> DataFrame:
-        return _product_pass(kept, [(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()], kernel, "string", max(k for _, _, k in settings))  # at most QUERY_BYTES
+        return _product_pass(kept, [(r["query_id"], np.array(r["embedding"], float)) for r in block.collect()], kernel, [StructField("spec", StringType()), _key(queries)], max(k for _, _, k in settings))  # at most QUERY_BYTES
 
     found = _in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search)
-    parts = F.split("query_id", "\x00")
-    found = found.withColumns({"spec": F.get(parts, 0), "q": F.get(parts, 1)})
     lists = union([ranked(found.filter(F.col("spec") == name), k) for name, _, k in settings])
-    return lists.select("spec", F.col("q").cast(_kind(queries)).alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return lists.select("spec", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def dense_scores(queries: DataFrame, corpus: DataFrame, metrics: tuple[str, ...] = ("dot", "cosine", "euclidean")) -> DataFrame:
@@ -313,43 +371,28 @@ def _kind(queries: DataFrame) -> str:
 
 
 def filtered_topk(queries: DataFrame, corpus: DataFrame, where: dict, metric: str = "dot", k: int = 10, dates: tuple[str, ...] = ()) -> DataFrame:
-    """As ``dense_topk`` with a filter that may take values from the query row.
+    """As ``dense_topk``, whose filter may take values from the query row."""
+    return dense_topk(queries, corpus, metric, k, where, dates)
 
-    Queries are broadcast in blocks of ``QUERY_ROWS``; an equality in ``must`` makes it a hash join. The corpus is not shuffled.
-    """
-    kept = [c["field"] for part in where.values() for c in part]
-    rows = corpus.select("vec_id", doubles(F.col("embedding")).alias("v"), *dict.fromkeys(kept))
 
-    def search(block: DataFrame) -> DataFrame:
-        names = {n: f"__q_{n}" for n in block.columns}
-        asked = block.select(*[F.col(n).alias(m) for n, m in names.items()])
-        test = evaluate(corpus.schema, where, query={n: F.col(m) for n, m in names.items()}, query_schema=block.schema, dates=dates)
-        equal = [F.col(c["field"]) == F.col(names[c["match_from_query"]]) for c in where.get("must", []) if "match_from_query" in c and block.schema[c["match_from_query"]].dataType.typeName() != "array"]
-        for e in equal:
-            test = test & e
-        pairs = rows.join(F.broadcast(asked), test)
-        return pairs.select(F.col("__q_query_id").alias("query_id"), "vec_id", score(metric, doubles(F.col("__q_embedding")), F.col("v")).alias("score"))
-
-    return _result(_in_turn(blocks_of(queries), search), k)
-
-
-def wanted_rows(queries: DataFrame, corpus: DataFrame, where: dict) -> DataFrame:
-    """Rows that some query could want, by the ``must`` conditions that take values from the query: a superset, found without meeting
-    queries one by one. Values are sent as a distinct list, broadcast up to ``QUERY_ROWS`` of them; ranges as the widest bounds."""
-    rows = corpus
-    for c in where.get("must", []):
-        if "match_from_query" in c:
-            listed = queries.schema[c["match_from_query"]].dataType.typeName() == "array"
-            value = F.explode(c["match_from_query"]) if listed else F.col(c["match_from_query"])
-            values = queries.select(value.alias(c["field"])).distinct()
-            rows = rows.join(F.broadcast(values) if values.count() <= QUERY_ROWS else values, c["field"], "left_semi")
-        elif "range_from_query" in c:
-            for op, name in c["range_from_query"].items():
-                low = op in ("gt", "gte")
-                bound = queries.agg((F.min if low else F.max)(F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")))).first()[0]
-                x = F.col(c["field"]).cast("double")
-                rows = rows.filter(F.lit(False) if bound is None else x >= bound if low else x <= bound)
-    return rows
+def wanted_rows(queries: DataFrame, corpus: DataFrame, where: dict, dates: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that some query could want, found without meeting queries one by one: a superset, see ``masks.wanted``."""
+    keep = wanted(queries, corpus.schema, where, dates)
+    return corpus if keep is None else corpus.filter(keep)
+
+
+def sampled_bounds(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), share: int = 16) -> DataFrame:
+    """query_id, bound: the k-th score of each query in one of ``share`` parts of the corpus, by hash of vec_id. The k-th of the whole is
+    no less. Queries with fewer than k finite scores there have no bound."""
+    part = corpus.filter(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0)
+    found = dense_topk(queries, part, metric, k, where, dates).filter(F.col("rank") == k)
+    return found.filter(F.abs("score") < F.lit(float("inf"))).select("query_id", F.col("score").alias("bound"))
+
+
+def threshold_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), share: int = 16, told: dict | None = None) -> DataFrame:
+    """As ``dense_topk`` in two jobs: a part of the corpus gives bounds, which the pass over all of it begins with."""
+    bounds = stored(sampled_bounds(queries, corpus, metric, k, where, dates, share), "bounds")
+    return dense_topk(queries, corpus, metric, k, where, dates, bounds=bounds, told=told)
 
 
 def gathered(entries: DataFrame, identifier: str = "vec_id") -> DataFrame:
@@ -374,7 +417,7 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
     asked = queries.select("query_id", "indices", doubles(F.col("values")).alias("values")).filter("indices IS NOT NULL")
     longest, n = asked.agg(F.max(F.size("indices")), F.count(F.lit(1))).first()
 
-    def kernel(batch: pa.RecordBatch, sent: tuple) -> Iterator[tuple]:
+    def kernel(batch: pa.RecordBatch, sent: tuple, floors: dict) -> Iterator[tuple]:
         ids, vocabulary, offsets, posted, weight, norms, signed = sent
         indices, values = batch.column(1), batch.column(2)
         sizes = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
@@ -430,7 +473,7 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
                 rows = np.flatnonzero(shared[:, q])
                 s = scores[rows, q] / length[at + rows] / norms[q] if metric == "cosine" else scores[rows, q]
                 best = _best(s, names[at + rows], k, "drop")
-                yield name, at + rows[best], s[best]
+                yield (name,), at + rows[best], s[best]
 
     def search(block: DataFrame) -> DataFrame:
         held = [r for r in block.collect()]  # at most QUERY_BYTES
@@ -446,7 +489,7 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
         offsets = np.searchsorted(term, np.arange(len(order) + 1))
         norms = np.maximum(np.sqrt(np.bincount(posted, weight * weight, len(held))), LEAST_NORM)
         sent = ([r["query_id"] for r in held], coded.dictionary.take(pa.array(order)), offsets, posted, weight, norms, bool((weight <= 0).any()))
-        return _product_pass(rows, sent, kernel, _kind(queries), k)
+        return _product_pass(rows, sent, kernel, [_key(queries)], k)
 
     return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (64 * (longest or 1))), n), search), k)
 
@@ -465,7 +508,7 @@ def maxsim_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(axis=1)), LEAST_NORM)[:, None] if metric == "cosine" else x
 
-    def kernel(batch: pa.RecordBatch, sent: list) -> Iterator[tuple]:
+    def kernel(batch: pa.RecordBatch, sent: list, floors: dict) -> Iterator[tuple]:
         starts, sizes = _flat(batch.column(1))
         inner = batch.column(1).values
         begin, width_of = _flat(inner)
@@ -486,14 +529,15 @@ def maxsim_topk(queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: i
                     q = unit(q)
                     s = np.maximum.reduceat(q @ d.T, first[:-1], axis=1).sum(axis=0)
                     error = 4 * (width + len(q) + 4) * _EPS * np.sqrt((q * q).sum(axis=1)).sum() * longest
-                    near = _near_top(s - error, s + error, k)
+                    near = np.flatnonzero(~(s + error < floors.get((name,), -np.inf)))
+                    near = near[_near_top((s - error)[near], (s + error)[near], k)]
                     exact = np.array([(q[:, None, :] * d[None, first[x] : first[x + 1]]).sum(axis=2).max(axis=1).sum() for x in near])
                     best = _best(exact, names[here[near]], k, "drop")
-                    yield name, here[near[best]], exact[best]
+                    yield (name,), here[near[best]], exact[best]
 
     def search(block: DataFrame) -> DataFrame:
         sent = [(r["query_id"], np.array(r["tokens"], float)) for r in block.collect()]  # at most QUERY_BYTES
-        return _product_pass(rows, sent, kernel, _kind(queries), k)
+        return _product_pass(rows, sent, kernel, [_key(queries)], k)
 
     return _result(_in_turn(blocks_of(asked, max(1, QUERY_BYTES // (8 * (most or 1) * (width or 1))), n), search), k)
 

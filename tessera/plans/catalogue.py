@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import point_id, tokens
 from tessera.functions.vectors import doubles, pooled, tokens_of
-from tessera.operators import evaluate, filters, prepare, search
+from tessera.operators import evaluate, filters, joins, prepare, search
 from tessera.plans import grid
 from tessera.sources import files
 
@@ -142,6 +142,45 @@ _per_query(
 )
 
 
+#: Ranges of very different widths: a few characters, thousands, no upper bound, and none at all (an empty range).
+_WIDTHS = (3, 500, 20_000, None, -1)
+
+
+@query(
+    "range_join_wide",
+    "WITH q AS (SELECT doc_id, n_chars AS low, CASE doc_id // 100 % 5 WHEN 0 THEN n_chars + 3 WHEN 1 THEN n_chars + 500 WHEN 2 THEN n_chars + 20000 WHEN 3 THEN 1e18 ELSE n_chars - 1 END AS high FROM documents WHERE doc_id % 100 = 0) SELECT q.doc_id AS query_id, count(d.doc_id) AS matched, CAST(coalesce(sum(d.n_chars), 0) AS BIGINT) AS chars FROM q LEFT JOIN documents d ON d.n_chars >= low AND d.n_chars <= high GROUP BY q.doc_id",
+)
+def range_join_wide(spark: SparkSession, d: str) -> DataFrame:
+    """For every query the documents whose length lies in its range."""
+    rows = _table(spark, d, "documents").select("doc_id", "n_chars")
+    case = (F.floor(F.col("doc_id") / EACH) % 5).cast("int")
+    high = F.when(case == 3, F.lit(1e18))
+    for i, width in enumerate(_WIDTHS):
+        high = high if width is None else high.when(case == i, F.col("n_chars") + F.lit(width))
+    asked = rows.filter(_asked("doc_id")).select(F.col("doc_id").alias("query_id"), F.col("n_chars").alias("low"), high.alias("high"))
+    found = joins.range_join(rows, "n_chars", asked, "low", "high").groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("n_chars").alias("chars"))
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+@query(
+    "phrase_selectivity",
+    f"WITH t AS (SELECT doc_id, list_distinct({_TOKENS}) AS own, list_distinct(({_TOKENS})[1:3]) AS words FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, words FROM t WHERE doc_id % 100 = 0 AND len(words) > 0) SELECT a.doc_id AS query_id, count(m.doc_id) AS matched FROM documents a LEFT JOIN (SELECT q.doc_id AS query_id, t.doc_id FROM q JOIN t ON list_has_all(t.own, q.words)) m ON m.query_id = a.doc_id WHERE a.doc_id % 100 = 0 GROUP BY a.doc_id",
+)
+def phrase_selectivity(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold the first three words of each query's text."""
+    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    asked = rows.filter(_asked("vec_id")).select(F.col("vec_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("phrase"))
+    return joins.selectivity(rows, asked, {"field": "text", "match_text_from_query": "phrase"})
+
+
+@query("perquery_compacted", f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['cosine']} AS score FROM q, c WHERE coalesce(n_chars >= query_id AND n_chars < query_id + 1500, false) AND label = q_label AND coalesce(lang <> 'de', true)), {_RANK} {_OUT}")
+def perquery_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions with values from the query bound what is read; a static one is tested where it is read."""
+    spec = {"must": [{"field": "n_chars", "range_from_query": {"gte": "low", "lt": "high"}}, {"field": "label", "match_from_query": "label"}], "must_not": [{"field": "lang", "match": "de"}]}
+    asked = _queries(spark, d).withColumns({"low": F.col("query_id"), "high": F.col("query_id") + 1500})
+    return _rounded(search.filtered_topk(asked, _corpus(spark, d, spec), spec, "cosine", K))
+
+
 @query("rows_selector", f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['dot']} AS score FROM q, c WHERE CAST(q_label AS VARCHAR) IN ('1', '2', '5', '7', '0', '3')), {_RANK} {_OUT}")
 def rows_selector(spark: SparkSession, d: str) -> DataFrame:
     asked = filters.chosen(_queries(spark, d), "label", [1, 2, 5, 7, 0, 3])
@@ -176,11 +215,8 @@ query("sparse_cosine", f"WITH {_SPARSE}, s AS (SELECT query_id, p.vec_id, CAST(d
 @query("sparse_no_overlap", f"WITH {_SPARSE} SELECT query_id, count(*) AS candidates FROM p GROUP BY query_id")
 def sparse_no_overlap(spark: SparkSession, d: str) -> DataFrame:
     terms = _terms(spark, d)
-    counts = []
-    for block in search.blocks_of(terms.filter(_asked("vec_id")).select(F.col("vec_id").alias("query_id"), F.array_distinct("indices").alias("asked"))):
-        pairs = terms.select("vec_id", F.array_distinct("indices").alias("own")).join(F.broadcast(block), F.arrays_overlap("own", "asked"))
-        counts.append(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates")))
-    return search.union(counts)
+    asked = terms.filter(_asked("vec_id")).withColumnRenamed("vec_id", "query_id")
+    return joins.overlap_counts(terms, asked, F.col("indices"))
 
 
 _MAXSIM = """t AS (SELECT vec_id, i, CAST(embedding AS DOUBLE[])[i * 8 + 1 : i * 8 + 8] AS x FROM embeddings, range(8) r(i)),

@@ -11,6 +11,7 @@ from tessera.operators import embedding, load, prepare, results, search, truth
 from tessera.operators.embedding import Entry
 from tessera.plans.catalogue import _C, _OUT, _Q, _RANK, _SCORE, _TIED, _TOKENS, K, _parts, _queries, _rounded, _sql, _table, _terms, _tied, query
 from tessera.sources import files, vectors
+from tessera.sources.scratch import stored
 
 _RANKS = f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['dot']} AS score FROM q, c), {_RANK}"
 
@@ -25,24 +26,51 @@ def merge_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-@query("merge_bounds_hold", "SELECT count(*) - count(*) AS unreached FROM embeddings")
+@query(
+    "merge_bounds_hold",
+    f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['dot']} AS score FROM q, c), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id % 4 ORDER BY score DESC, vec_id) AS pr, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), b AS (SELECT query_id, score AS bound FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p WHERE pr <= 5) WHERE n = 10), m AS (SELECT query_id, score AS kth FROM p WHERE rank = 10) SELECT query_id, round(bound, 6) + 0.0 AS bound, round(kth, 6) + 0.0 AS kth, kth >= bound AS reached FROM b LEFT JOIN m USING (query_id)",
+)
 def merge_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
-    """Queries whose merged list falls short of the bound that trimmed it: none."""
-    parts = _parts(spark, d)
-    bounds = search.kth_bound(search.union(parts), K, len(parts))
-    merged = search.merge([search.trimmed(p, bounds) for p in parts], K)
-    return search.unreached(merged, bounds, K).agg(F.count(F.lit(1)).alias("unreached"))
+    """The bound that trimmed each query's lists, the k-th score of its merged list, and whether that reaches it."""
+    parts = [stored(p, "part") for p in _parts(spark, d)]
+    bounds = stored(search.kth_bound(search.union(parts), K, len(parts)), "bounds")
+    merged = stored(search.merge([search.trimmed(p, bounds) for p in parts], K), "merged")
+    short = search.unreached(merged, bounds, K).select("query_id", F.lit(True).alias("short"))
+    kth = merged.filter(F.col("rank") == K).select("query_id", F.col("score").alias("kth"))
+    told = bounds.join(kth, "query_id", "left").join(short, "query_id", "left")
+    return told.select("query_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("bound", "kth")], F.coalesce(~F.col("short"), F.lit(True)).alias("reached"))
 
 
 @query(
     "merge_validated",
-    f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, CAST({_SCORE['dot']} AS FLOAT) AS score FROM q, c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INTEGER) AS rank FROM s) SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(vec_id AS VARCHAR) AS vec_id FROM r WHERE rank <= 10",
+    f"WITH {_TIED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(vec_id AS VARCHAR) AS vec_id FROM r WHERE rank <= 10",
 )
 def merge_validated(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of four parts, checked against each other and merged."""
+    """Lists of four parts full of ties, checked against each other and merged: ties go by the number of the identifier."""
+    number = F.array(F.col("label").cast("double"), F.lit(1.0))
+    rows = _table(spark, d, "embeddings").select("vec_id", number.alias("embedding"))
+    asked = _queries(spark, d).select("query_id", number.alias("embedding"))
+    lists = [results.partial_lists(search.dense_topk(asked, rows.filter(F.col("vec_id") % 4 == i), "euclidean", K, nan="keep"), asked, i) for i in range(4)]
+    return results.merge_lists(search.union(lists), K, 4, queries=asked).select("query_id", "rank", "vec_id")
+
+
+@query(
+    "merge_thresholds",
+    f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['dot']} AS score FROM q, c), {_RANK} SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(vec_id AS VARCHAR) AS vec_id, round(CAST(CAST(score AS FLOAT) AS DOUBLE), 3) + 0.0 AS score FROM r WHERE rank <= 10",
+)
+def merge_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that began with the bounds of a sample and say so; the merge verifies that no list falls short of them."""
     rows, asked = _table(spark, d, "embeddings"), _queries(spark, d)
-    lists = [results.partial_lists(search.dense_topk(asked, rows.filter(F.col("vec_id") % 4 == i), "dot", K, nan="keep"), asked, i) for i in range(4)]
-    return results.merge_lists(search.union(lists), K, 4).select("query_id", "rank", "vec_id")
+    bounds = stored(search.sampled_bounds(asked, rows, "dot", K, share=4), "bounds")
+    lists = [results.partial_lists(search.dense_topk(asked, rows.filter(F.col("vec_id") % 4 == i), "dot", K, nan="keep", bounds=bounds), asked, i, bounds) for i in range(4)]
+    found = results.merge_lists(search.union(lists), K, 4, queries=asked)
+    return found.select("query_id", "rank", "vec_id", (F.round(F.col("score").cast("double"), 3) + F.lit(0.0)).alias("score"))
+
+
+@query("threshold_scan", _sql())
+def threshold_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A search in two jobs: a sixteenth of the corpus bounds the k-th score from below, so most rows are not scored in the second."""
+    return _rounded(search.threshold_topk(_queries(spark, d), _table(spark, d, "embeddings"), "dot", K))
 
 
 _NAN = "c.vec_id % 397 = 3"
