@@ -433,8 +433,4 @@ def inspect_schema(spark: SparkSession, d: str) -> DataFrame:
     return files.inspect(_table(spark, d, "embeddings"))
 
 
-# the searches by their earlier names, too
-for _name in [n for n, text in ORACLES.items() if f"vec_id % {EACH} = 0" in text]:
-    query(f"{_name}_all", ORACLES[_name])(QUERIES[_name])
-
 from tessera.plans import jobs  # noqa: E402, F401  more queries
