@@ -18,7 +18,7 @@ cut changes nothing in the repair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import rows_of, ship, shuffle_partitions, stored, table
+from tessera.operators.prepare import numbered
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing said yet, or the role of the last turn.
@@ -36,6 +37,8 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system", "instruction": "system"}
 MERGE, RELABEL, UNKNOWN, INSERT = 2, 3, 1, 4
 BLOCK = 128
+#: Matrices that a row holds at most.
+TOGETHER = 1024
 _N = len(STATES)
 _FAR = 1 << 40
 
@@ -104,12 +107,12 @@ def block_matrix(roles: list[str | None]) -> np.ndarray:
     return out
 
 
-def borders(matrices: list[np.ndarray]) -> list[int]:
-    """The states between the blocks of a conversation, from 0 (start) to its last: the cheapest way, ties as in ``repair``."""
-    forward = [np.where(np.arange(_N) == 0, 0, _FAR)]
+def borders(matrices: list[np.ndarray], begin: int = 0, end: int | None = None) -> list[int]:
+    """The states between stretches of a conversation, from ``begin`` to ``end``, or to its last: the cheapest way, ties as in ``repair``."""
+    forward = [np.where(np.arange(_N) == begin, 0, _FAR)]
     for m in matrices:
         forward.append((forward[-1][:, None] + m // _N).min(axis=0))
-    states = [int((forward[-1] + END_COST).argmin())]
+    states = [int((forward[-1] + END_COST).argmin()) if end is None else end]
     for n in range(len(matrices) - 1, -1, -1):
         states.append(int((forward[n] * _N + matrices[n][:, states[-1]]).argmin()))
     return states[::-1]
@@ -207,18 +210,7 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
 
     kind, at = turns.schema[conversation].dataType.simpleString(), "struct<b:bigint,b2:bigint>"
     matrices = blocks.select("conv", "at", F.col("turns.role").alias("roles")).mapInArrow(measure, f"conv {kind}, at {at}, m array<bigint>")
-    joined = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("parts"))
-
-    def pass_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for (parts,) in rows_of(batch, "parts"):
-                states = borders([np.array(p["m"], np.int64).reshape(_N, _N) for p in parts])
-                out.append([{"at": p["at"], "n": n, "begin": a, "end": b, "last": n + 1 == len(parts)} for n, (p, a, b) in enumerate(zip(parts, states[:-1], states[1:], strict=True))])
-            fields = pa.list_(pa.struct([("at", batch.schema.field("parts").type.value_type.field("at").type), ("n", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, fields)], ["conv", "cuts"])
-
-    cuts = joined.mapInArrow(pass_borders, f"conv {kind}, cuts array<struct<at:{at},n:int,begin:int,end:int,last:boolean>>").select(F.col("conv").alias("c2"), F.explode("cuts").alias("cut")).select("c2", "cut.*").withColumnRenamed("at", "at2")
+    cuts = _cuts(stored(matrices, "matrices")).withColumnRenamed("conv", "c2").withColumnRenamed("at", "at2")
     ready = blocks.join(cuts, blocks["conv"].eqNullSafe(cuts["c2"]) & (blocks["at"] == cuts["at2"])).select("conv", "n", "begin", "end", "last", "turns")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +237,63 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     return done.select(F.col("conv").alias(conversation), "block", "position", F.col("turn").alias(turn), "role_in", "role_out", "action", "cost", "rendered")
 
 
+def _cuts(matrices: DataFrame) -> DataFrame:
+    """conv, at, n, begin, end, last: the states between which each block is repaired, and its number in its conversation.
+
+    matrices (conv, at, m). Of a conversation of more than ``TOGETHER`` blocks as many are multiplied to one, and these again, so
+    that a row never holds more than ``TOGETHER`` matrices; states then pass from the top down.
+    """
+    many = stored(matrices.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TOGETHER).select(F.col("conv").alias("cm")), "many")
+    if many.isEmpty():
+        return _within(matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("parts")))
+    among = matrices["conv"].eqNullSafe(many["cm"])
+    few = _within(matrices.join(many, among, "left_anti").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("parts")))
+    placed = numbered(matrices.join(many, among, "left_semi").withColumns({"b": F.col("at.b"), "b2": F.col("at.b2")}), "conv", ["b", "b2"]).select("conv", "at", F.col("place").alias("no"), "m")
+    levels = [stored(placed.withColumn("up", F.floor(F.col("no") / TOGETHER)), "level")]
+    while levels[-1].agg(F.max("no")).first()[0] >= TOGETHER:
+        rows = levels[-1].groupBy("conv", "up").agg(F.sort_array(F.collect_list(F.struct("no", "m"))).alias("parts"))
+        above = rows.select("conv", F.col("up").alias("no"), "parts").mapInArrow(_multiplied, f"conv {matrices.schema['conv'].dataType.simpleString()}, no bigint, m array<bigint>")
+        levels.append(stored(above.withColumn("up", F.floor(F.col("no") / TOGETHER)), "level"))
+    told = None
+    for level in reversed(levels):
+        rows = level.groupBy("conv", "up").agg(F.sort_array(F.collect_list(F.struct("no", *(["at"] if "at" in level.columns else []), "m"))).alias("parts"))
+        if told is not None:
+            known = told.select(F.col("conv").alias("ck"), F.col("no").alias("nk"), "begin", "end", F.col("last").alias("whole"))
+            rows = rows.join(known, rows["conv"].eqNullSafe(known["ck"]) & (rows["up"] == known["nk"])).drop("ck", "nk")
+        told = stored(_within(rows), "states")
+    return few.unionByName(told.select(*few.columns))
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product of each row's matrices, in order."""
+    for batch in batches:
+        out = [reduce(product, (np.array(p["m"], np.int64).reshape(_N, _N) for p in parts)).ravel().tolist() for (parts,) in rows_of(batch, "parts")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["conv", "no", "m"])
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """conv, at (if parts have it), no or n, begin, end, last: states between the parts of a row (conv, parts; and begin, end, whole
+    where the row is a stretch of a conversation that goes on unless ``whole``)."""
+    part = rows.schema["parts"].dataType.elementType
+    named = "at" in part.names
+    stretch, number = "begin" in rows.columns, "no" in part.names
+    entry = [*([f"at:{part['at'].dataType.simpleString()}"] if named else []), "n:bigint", "begin:int", "end:int", "last:boolean"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            given = rows_of(batch, "begin", "end", "whole") if stretch else [(0, None, True)] * batch.num_rows
+            for (parts,), (begin, end, whole) in zip(rows_of(batch, "parts"), given, strict=True):
+                states = borders([np.array(p["m"], np.int64).reshape(_N, _N) for p in parts], begin, end)
+                out.append([{**({"at": p["at"]} if named else {}), "n": p["no"] if number else n, "begin": a, "end": b, "last": whole and n + 1 == len(parts)} for n, (p, a, b) in enumerate(zip(parts, states[:-1], states[1:], strict=True))])
+            kinds = [*([("at", batch.schema.field("parts").type.value_type.field("at").type)] if named else []), ("n", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct(kinds)))], ["conv", "cuts"])
+
+    kept = rows.select("conv", "parts", *(["begin", "end", "whole"] if stretch else []))
+    found = kept.mapInArrow(run, f"conv {rows.schema['conv'].dataType.simpleString()}, cuts array<struct<{','.join(entry)}>>").select("conv", F.explode("cuts").alias("cut"))
+    return found.select("conv", *(["cut.at"] if named else []), F.col("cut.n").cast("int").alias("n") if named else F.col("cut.n").alias("no"), "cut.begin", "cut.end", "cut.last")
+
+
 def texts(done: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """conversation, block, text: the repaired conversations of ``format_chats`` as texts, a row for each block. A conversation is its
     blocks in order, joined by nothing; a block has a bounded number of turns."""
