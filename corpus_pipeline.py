@@ -15,15 +15,23 @@ from tessera.llm import bpe, langid, minhash, mixing, pii
 from tessera.llm.common import free, stored, table
 
 
+#: Languages whose documents stay, or None for all that were learned.
+LANGUAGES: tuple[str, ...] | None = None
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null texts and texts without a letter go; all others stay as they are.
+    """Null texts and texts without a letter go, and with ``LANGUAGES`` texts that are predicted to be in another language; a document
+    without a ``lang`` gets the predicted one. All else stays as it is.
 
-    Learned from the labelled documents that are not held out. Labels never decide what stays: not what they say, nor whether
-    there are any to learn from. Repeated rows stay as often as they are there.
+    Learned from the labelled documents that are not held out. Where there is nothing to learn from, nothing is predicted, and no
+    document goes for its language. Repeated rows stay as often as they are there.
     """
     lettered, predicted, score = (free(n, docs.columns) for n in ("lettered", "lang_pred", "score"))
     found = langid.identify(docs, docs.filter(~langid.held_out(F.col("doc_id"))), lettered=lettered, predicted=predicted, score=score)
-    return found.filter(F.col(lettered)).select(*docs.columns)
+    known = F.col(predicted) != langid.UNDETERMINED
+    stays = F.col(lettered) if LANGUAGES is None else F.col(lettered) & (~known | F.col(predicted).isin(*LANGUAGES))
+    told = F.coalesce("lang", F.when(known, F.col(predicted)))
+    return found.filter(stays).withColumn("lang", told).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
