@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import pii
@@ -88,3 +89,22 @@ def test_pipeline_as_plain_steps(spark):
         want[i, tuple(library.encode(text, add_special_tokens=False).ids)] += 1
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, DIR).select("doc_id", "ids").collect())
     assert got == want and sum(want.values()) > 100
+
+
+def test_predictions_take_effect(spark, monkeypatch):
+    """A missing label is filled in, and documents of a language that is not wanted do not reach the next stage."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bare = docs.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    was = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identified(spark, bare, DIR).collect()}
+    filled = [i for i in got if i % 5 == 0]
+    assert len(filled) > 20 and sum(got[i] == was[i] for i in filled) >= 0.9 * len(filled)
+    assert all(got[i] == was[i] for i in got if i % 5)
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en", "fr"))
+    fewer = {r["doc_id"] for r in corpus_pipeline.identified(spark, bare, DIR).collect()}
+    assert fewer < set(got) and sum(was[i] in ("en", "fr") for i in fewer) >= 0.95 * len(fewer)
+    lost = [i for i in got if was[i] in ("en", "fr") and i not in fewer]
+    assert len(lost) <= 0.05 * len(got)
+    # nothing to learn from: nothing is rejected
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.identified(spark, blank, DIR).collect()} == set(got)
