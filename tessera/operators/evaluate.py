@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import discrete
+
 #: Scores count as tied within this, relative to 1 + |cutoff|.
 EPSILON = 5e-6
 
@@ -77,14 +82,22 @@ def rank_biased_overlap(found: DataFrame, truth: DataFrame, k: int, p: float | N
 def tie_stats(scored: DataFrame, truth: DataFrame, k: int, epsilon: float = EPSILON) -> DataFrame:
     """mean_ties, max_ties, tied_share, n over queries: how many candidates tie the k-th score."""
     cut = truth.filter(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
-    ties = scored.join(F.broadcast(cut), "query_id").groupBy("query_id").agg(F.count(F.when(tied(F.col("score"), F.col("cutoff"), epsilon), 1)).alias("ties"))
+    ties = scored.join(cut, "query_id").groupBy("query_id").agg(F.count(F.when(tied(F.col("score"), F.col("cutoff"), epsilon), 1)).alias("ties"))
     return ties.agg(F.avg("ties").alias("mean_ties"), F.max("ties").alias("max_ties"), F.avg((F.col("ties") > 1).cast("double")).alias("tied_share"), F.count(F.lit(1)).alias("n"))
 
 
 def latencies(samples: DataFrame, value: str, *keys: str) -> DataFrame:
     """keys, n, mean, p50, p95, p99 (nearest rank), slowest; zeros where a group has no value."""
-    rank = lambda q: F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)"), F.lit(0.0))
-    return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.coalesce(F.max(value), F.lit(0.0)).alias("slowest"))
+    sums = samples.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.max(value), F.lit(0.0)).alias("slowest"))
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = discrete(samples.select(*keys, F.col(value).alias("__value")), "__value", ranks, list(keys))
+    if keys:
+        found = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = reduce(and_, [sums[k].eqNullSafe(found[f"__{k}"]) for k in keys])
+        met = sums.join(found, same, "left")
+    else:
+        met = sums.crossJoin(F.broadcast(found))  # one row
+    return met.select(*keys, "n", "mean", *[F.coalesce(r, F.lit(0.0)).alias(r) for r in ranks], "slowest")
 
 
 def rates(firings: DataFrame, at: str, ok: Column, every_micros: int) -> DataFrame:

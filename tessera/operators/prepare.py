@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, rendered, windows
+from tessera.operators.quantiles import interpolated, running_counts
 from tessera.sources.scratch import stored
 
 POLICIES = ("skip", "null", "error")
@@ -112,11 +113,20 @@ def files_in_window(files: DataFrame, order: str, rows: str, offset: int, limit:
 
 
 def length_stats(values: DataFrame, length: str) -> DataFrame:
-    """n, mean, median, std (population), p95, p99 (interpolated), longest, and the log-normal fit mu, sigma of positive lengths."""
-    x = F.col(length)
-    log = F.when(x > 0, F.log(x.cast("double")))
-    part = lambda q: F.expr(f"percentile(`{length}`, {q})")
-    return values.agg(F.count(length).alias("n"), F.avg(x).alias("mean"), part(0.5).alias("median"), F.stddev_pop(x).alias("std"), part(0.95).alias("p95"), part(0.99).alias("p99"), F.max(x).alias("longest"), F.avg(log).alias("mu"), F.stddev_pop(log).alias("sigma"))
+    """n, mean, median, std (population), p95, p99 (interpolated), longest, and the log-normal fit mu, sigma of positive lengths.
+
+    Lengths are counted once; all else follows from one row for each different length.
+    """
+    counts = stored(running_counts(values.select(F.col(length).alias("length")), "length", []), "lengths")
+    length = "length"
+    x, log, n = F.col(length).cast("double"), F.when(F.col(length) > 0, F.log(F.col(length).cast("double"))), F.col("n")
+    logged = F.sum(F.when(log.isNotNull(), n))
+    means = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__n"), (F.sum(x * n) / F.sum(n)).alias("mean"), (F.sum(log * n) / logged).alias("mu"), F.max(length).alias("longest"))
+    about = counts.crossJoin(F.broadcast(means))  # one row
+    square = lambda d, of: F.sqrt(F.sum(d * d * n) / of)
+    spread = about.agg(square(x - F.col("mean"), F.sum(n)).alias("std"), square(log - F.col("mu"), logged).alias("sigma"))
+    parts = interpolated(counts, length, {"median": 0.5, "p95": 0.95, "p99": 0.99}, [])
+    return means.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(parts)).select(F.col("__n").alias("n"), "mean", "median", "std", "p95", "p99", "longest", "mu", "sigma")  # one row each
 
 
 def lognormal_gap(values: DataFrame, length: str) -> DataFrame:
