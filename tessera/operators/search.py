@@ -166,6 +166,9 @@ def _key(queries: DataFrame) -> StructField:
 
 
 def _identifiers(column: pa.Array) -> np.ndarray:
+    """Identifiers as values that arrays can be sorted by: texts by the order of their bytes, which is that of their code points."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array(column.to_pylist(), str)
     return column.to_numpy(zero_copy_only=False)
 
 

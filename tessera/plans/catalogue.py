@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import point_id, tokens
 from tessera.functions.vectors import doubles, pooled, tokens_of
-from tessera.operators import evaluate, filters, joins, prepare, search
+from tessera.operators import evaluate, filters, joins, positions, prepare, search
 from tessera.plans import grid
 from tessera.sources import files
 
@@ -243,10 +243,32 @@ def _tied(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TIED = f"{_Q}, s AS (SELECT query_id, vec_id, CAST(-abs(label - q_label) AS DOUBLE) AS score FROM q, embeddings)"
-for _name, _tie, _order in (("topk_tie_ordinal", F.col, "vec_id"), ("topk_tie_id", lambda c: F.col(c).cast("string"), "CAST(vec_id AS VARCHAR)")):
-    query(_name, f"WITH {_TIED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_order}) AS INTEGER) AS rank FROM s) {_OUT}")(
-        lambda spark, d, tie=_tie: search.ranked(_tied(spark, d), K, [tie("vec_id")]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+def _by_label(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """Queries and the vector of a row by label alone: full of ties."""
+    label = F.array(F.col("label").cast("double"))
+    return _queries(spark, d).select("query_id", label.alias("embedding")), label
+
+
+_TIES = "SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {}) AS INTEGER) AS rank FROM s{}) WHERE rank <= 10"
+
+
+@query("topk_tie_ordinal", f"WITH {_TIED}, o AS (SELECT vec_id, row_number() OVER () AS place FROM embeddings) " + _TIES.format("place", " JOIN o USING (vec_id)"))
+def topk_tie_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    """Equal scores in the order of files and rows; identifiers are read for the winners."""
+    asked, vector = _by_label(spark, d)
+    path = f"{d}/embeddings.parquet"
+    places = positions.layout(spark, path)
+    rows = positions.positioned(spark, places, path).select(F.col("place").alias("vec_id"), vector.alias("embedding"))
+    return positions.with_payload(spark, places, search.dense_topk(asked, rows, "euclidean", K), ["vec_id"]).select("query_id", "rank", "vec_id", (F.col("score") + F.lit(0.0)).alias("score"))
+
+
+@query("topk_tie_id", f"WITH {_TIED} " + _TIES.format("CAST(vec_id AS VARCHAR)", ""))
+def topk_tie_id(spark: SparkSession, d: str) -> DataFrame:
+    """Equal scores by the text of the identifier."""
+    asked, vector = _by_label(spark, d)
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), vector.alias("embedding"))
+    found = search.dense_topk(asked, rows, "euclidean", K)
+    return found.select("query_id", "rank", F.col("vec_id").cast("bigint").alias("vec_id"), (F.col("score") + F.lit(0.0)).alias("score"))
 
 
 def _parts(spark: SparkSession, d: str, n: int = 4) -> list[DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import micros
 from tessera.functions.vectors import doubles, tokens_of
-from tessera.operators import embedding, load, prepare, results, search, truth
+from tessera.operators import embedding, load, positions, prepare, results, search, truth
 from tessera.operators.embedding import Entry
 from tessera.plans.catalogue import _C, _OUT, _Q, _RANK, _SCORE, _TIED, _TOKENS, K, _parts, _queries, _rounded, _sql, _table, _terms, _tied, query
 from tessera.sources import files, vectors
@@ -110,6 +110,16 @@ def late_payload(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "label").join(found, "vec_id").select("query_id", "rank", "vec_id", "label")
 
 
+@query("late_fetch", f"WITH o AS (SELECT vec_id, row_number() OVER () AS place FROM embeddings), {_C}, {_Q}, s AS (SELECT query_id, c.vec_id, label, place, {_SCORE['cosine']} AS score FROM q, c JOIN o ON o.vec_id = c.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, label, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10")
+def late_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """The search sees places and vectors; identifiers and labels are read by file and row, for the winners alone."""
+    path = f"{d}/embeddings.parquet"
+    places = positions.layout(spark, path)
+    rows = positions.positioned(spark, places, path).select(F.col("place").alias("vec_id"), "embedding")
+    found = search.dense_topk(_queries(spark, d), rows, "cosine", K)
+    return _rounded(positions.with_payload(spark, places, found, ["vec_id", "label"]))
+
+
 _MANY = {"plain": {}, "cosine_en": {"metric": "cosine", "where": {"must": [{"field": "label", "match": [1, 2, 3]}]}}, "near": {"metric": "euclidean", "k": 5}}
 
 

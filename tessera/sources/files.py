@@ -89,25 +89,33 @@ def json_lines(spark: SparkSession, *paths: str, schema: StructType | str, on_er
     return numbered(places, "filename", ["__block", "__row"]).drop("__block", "__row").withColumnRenamed("place", "record_ordinal")
 
 
-def window_of(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Rows [offset, offset + limit) in file order. Files before and after the window are pruned by their counts, so nothing is sorted.
+def file_counts(spark: SparkSession, *paths: str) -> DataFrame:
+    """filename, rows: a row for each file that has any. No column is read, so the numbers come from the files' footers."""
+    return counted(scan(spark, *paths))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """filename, rows of a ``scan``; see ``file_counts``."""
+    return rows.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
 
-    ``rows`` is a ``scan``.
+
+def window_of(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows [offset, offset + limit) in file order. Files before and after the window are pruned by their footers' counts, so nothing
+    is sorted. ``rows`` is a ``scan``.
     """
-    counts = rows.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).orderBy("filename")
     start, bounds = 0, []
-    for r in counts.toLocalIterator():  # a row for each file
-        low, high = max(0, offset - start), min(r["n"], offset + limit - start)
+    for r in counted(rows).orderBy("filename").toLocalIterator():  # a row for each file
+        low, high = max(0, offset - start), min(r["rows"], offset + limit - start)
         if low < high:
             bounds.append((r["filename"], low, high))
-        start += r["n"]
+        start += r["rows"]
     kept = rows.sparkSession.createDataFrame(bounds, "filename string, low bigint, high bigint")
     return rows.join(F.broadcast(kept), "filename").filter("file_row_number >= low AND file_row_number < high").drop("low", "high")
 
 
 def inspect(rows: DataFrame) -> DataFrame:
-    """column, kind, dims (of number arrays, from the first row that has one), rows, files."""
-    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.col("_metadata.file_path")).alias("files"))
+    """column, kind, dims (of number arrays, from the first row that has one), rows, files. The counts come from footers."""
+    total = counted(rows.select(F.col("_metadata.file_path").alias("filename"))).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("files"))
     lists = [f.name for f in rows.schema if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, (FloatType, DoubleType))]
     sizes = {n: (r[0] if (r := rows.filter(F.col(n).isNotNull()).select(F.size(n)).first()) else None) for n in lists}
     described = rows.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), sizes.get(f.name)) for f in rows.schema], "column string, kind string, dims int")
