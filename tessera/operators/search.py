@@ -236,6 +236,13 @@ def dense_topk(
     not returned. ``told`` gets accumulators: ``pairs`` of a query and a row that its filter lets through, and of these ``scored``
     row by row. They count when the result is used, again each time it is.
     """
+    return _result(candidates(queries, corpus, metric, k, where, dates, nan, bounds, told), k, nan)
+
+
+def candidates(
+    queries: DataFrame, corpus: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None, dates: tuple[str, ...] = (), nan: str = "drop", bounds: DataFrame | None = None, told: dict | None = None
+) -> DataFrame:
+    """query_id, vec_id, score: of each batch of the corpus, which may be a stream, what can be among a query's k best; see ``dense_topk``."""
     masks = Masks(corpus.schema, where, queries.schema, dates)
     keep = wanted(queries, corpus.schema, where, dates)
     rows = (corpus if keep is None else corpus.filter(keep)).select("vec_id", "embedding", *[c.alias(n) for n, c in masks.columns.items()]).filter("embedding IS NOT NULL AND vec_id IS NOT NULL")
@@ -291,7 +298,8 @@ def dense_topk(
             sent[w] = ([(r["query_id"],) for r in held], np.array([r["embedding"] for r in held], float).reshape(len(held), w), given, masks.sent(held))
         return _product_pass(rows, sent, kernel, [_key(queries)], k)
 
-    return _result(_in_turn(blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n), search), k, nan)
+    blocks = blocks_of(named, max(1, QUERY_BYTES // (8 * (width or 1))), n)
+    return union([search(b) for b in blocks]) if rows.isStreaming else _in_turn(blocks, search)
 
 
 def dense_topk_many(queries: DataFrame, corpus: DataFrame, specs: dict[str, dict]) -> DataFrame:

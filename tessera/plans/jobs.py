@@ -11,7 +11,8 @@ from tessera.operators import embedding, load, positions, prepare, results, sear
 from tessera.operators.embedding import Entry
 from tessera.plans.catalogue import _C, _OUT, _Q, _RANK, _SCORE, _TIED, _TOKENS, K, _parts, _queries, _rounded, _sql, _table, _terms, _tied, query
 from tessera.sources import files, vectors
-from tessera.sources.scratch import stored
+from tessera.sources.scratch import scratch_path, stored
+from tessera.streaming import topk
 
 _RANKS = f"WITH {_C}, {_Q}, s AS (SELECT query_id, vec_id, {_SCORE['dot']} AS score FROM q, c), {_RANK}"
 
@@ -132,6 +133,15 @@ def many_specs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.dense_topk_many(_queries(spark, d), _table(spark, d, "embeddings"), _MANY))
 
 
+@query("streamed_topk", _sql())
+def streamed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the table as a stream, one micro-batch each; lists are kept as state."""
+    rows = spark.readStream.schema(_table(spark, d, "embeddings").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/embeddings.parquet*")  # a pattern, so that it may be a file or a folder
+    state = scratch_path(spark, "lists")
+    topk.running_topk(spark, rows, _queries(spark, d), state, scratch_path(spark, "stream"), "dot", K).awaitTermination()
+    return _rounded(topk.latest(spark, state))
+
+
 # --- ground truth ---------------------------------------------------------------------------------------------------
 @query("truth_problems", "SELECT vec_id AS query_id, CASE vec_id % 500 WHEN 100 THEN 'scores must be finite' WHEN 200 THEN 'scores are not sorted best first' WHEN 300 THEN 'ids and scores differ in length' END AS problem FROM embeddings WHERE vec_id % 100 = 0")
 def truth_problems(spark: SparkSession, d: str) -> DataFrame:
