@@ -11,9 +11,11 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank
@@ -197,11 +199,12 @@ def skipped(rows: DataFrame, entries: list[Entry]) -> DataFrame:
     return counts.select("seen", F.explode("x").alias("x")).select("x.entry", "seen", "x.skipped")
 
 
-def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = ()) -> DataFrame:
+def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = (), observation: Observation | None = None) -> DataFrame:
     """``rows`` without ``drop``, and a typed column for each entry, null where its input is empty.
 
     Entries of one group of ``passes`` share a pass. Texts are cut to ``max_length`` characters first. Pooled columns are the
-    multivectors' mean, max, first or last token.
+    multivectors' mean, max, first or last token. ``observation`` counts, in the pass itself, the rows ``seen`` and for each entry
+    those ``skipped_<name>`` because its input is empty.
     """
     check(entries, [c for c in rows.columns if c not in drop], drop)
     if missing := sorted({c for e in entries for c in e.parts.values()} - set(rows.columns)):
@@ -215,6 +218,13 @@ def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = ()) -> DataFr
     flags = {f"__empty_{n}": empty(c, m) for n, (m, c) in enumerate((m, c) for parts, _ in inputs for m, c in parts)}
     marked = rows.select(*kept, *[F.col(c).alias(f"__in_{c}") for c in columns], *[f.alias(n) for n, f in flags.items()])
     outputs = [x for group in plan for x in group]
+    if observation is not None:
+        gone, flag = {}, 0
+        for group in passes(entries):
+            own = [F.col(f"__empty_{flag + n}") for n in range(len(group[0].parts))]
+            flag += len(own)
+            gone |= {e.name: reduce(and_, own) for e in group}
+        marked = marked.observe(observation, F.count(F.lit(1)).alias("seen"), *[F.count(F.when(t, 1)).alias(f"skipped_{n}") for n, t in gone.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedders = [cls(**options) for cls, options in made]

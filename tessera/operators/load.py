@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.sources.files import arrow_path, key_of
 from tessera.sources.shipping import ship
@@ -206,22 +207,30 @@ class Pace:
         return max(0.0, -self.tokens / self.rate)
 
 
+_TOLD = "task int, batches bigint, points bigint, retries bigint, failed bigint, error string, lost string"
+
+
 def pour(batched: DataFrame, send: Callable[[list[dict]], None], key: str, size: int, per_second: float | None = None, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """task, batches, points, retries, failed: send all rows of ``batched``, at most ``size`` of one key at a time.
+    """task, batches, points, retries, failed, error, lost: send all rows of ``batched``, at most ``size`` of one key at a time.
 
     ``send`` writes a list of rows to a store by identifier, so that a task that runs again does no harm; an exception with
-    ``retry = False`` fails the batch at once, another is tried again after ``backoff``. The rate is that of one task. Rows are
-    sorted by key within tasks and no batch mixes keys; failed batches are counted, not lost silently.
+    ``retry = False`` fails the batch at once, another is tried again after ``backoff``. ``per_second`` is the rate of the whole job:
+    each of the tasks that run at once gets its share. Rows are sorted by key within tasks and no batch mixes keys. A row for each
+    task has its counters; and a row for each batch that failed has the error and the batch itself, as JSON, in ``lost``.
     """
-    ship(batched.sparkSession)
+    spark = batched.sparkSession
+    ship(spark)
+    share = per_second / max(1, min(spark.sparkContext.defaultParallelism, batched.rdd.getNumPartitions())) if per_second else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pace, held = Pace(per_second) if per_second else None, []
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        pace, held = Pace(share) if share else None, []
         told = {"batches": 0, "points": 0, "retries": 0, "failed": 0}
 
-        def flush() -> None:
+        def flush() -> tuple | None:
             if pace and (wait := pace.wait(len(held))):
                 sleep(wait)
             told["batches"] += 1
@@ -232,20 +241,78 @@ def pour(batched: DataFrame, send: Callable[[list[dict]], None], key: str, size:
                     break
                 except Exception as e:
                     if not getattr(e, "retry", True) or attempt + 1 == attempts:
-                        told["failed"] += 1
-                        break
+                        lost = (task, 0, 0, 0, 1, f"{type(e).__name__}: {e}", json.dumps(held, default=str))
+                        held.clear()
+                        return lost
                     told["retries"] += 1
                     sleep(backoff(attempt))
             held.clear()
+            return None
+
+        def row(values: tuple) -> pa.RecordBatch:
+            kinds = [pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _TOLD.split(", ")])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (len(held) == size or held[-1][key] != row[key]):
-                    flush()
-                held.append(row)
-        if held:
-            flush()
-        context = TaskContext.get()
-        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0], pa.int32()), *[pa.array([v], pa.int64()) for v in told.values()]], ["task", *told])
+            for r in batch.to_pylist():
+                if held and (len(held) == size or held[-1][key] != r[key]) and (lost := flush()):
+                    yield row(lost)
+                held.append(r)
+        if held and (lost := flush()):
+            yield row(lost)
+        yield row((task, *told.values(), None, None))
+
+    return batched.sortWithinPartitions(key).mapInArrow(run, _TOLD)
+
+
+def lost_rows(told: DataFrame, schema: StructType | str) -> DataFrame:
+    """The rows of failed batches, with their error; ``told`` is what ``pour`` returned, written to a table."""
+    rows = told.filter(F.col("lost").isNotNull()).select("task", "error", F.explode(F.from_json("lost", f"array<{schema if isinstance(schema, str) else schema.simpleString()}>")).alias("r"))
+    return rows.select("task", "error", "r.*")
+
+
+class FolderSender:
+    """Writes each batch of rows as a Parquet file in a folder, named by its content: sending a batch again changes nothing."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = arrow_path(folder)
 
-    return batched.sortWithinPartitions(key).mapInArrow(run, "task int, batches bigint, points bigint, retries bigint, failed bigint")
+    def __call__(self, rows: list[dict]) -> None:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs.create_dir(root, recursive=True)
+        name = hashlib.blake2b(json.dumps(rows, sort_keys=True, default=str).encode(), digest_size=16).hexdigest()
+        with fs.open_output_stream(f"{root}/{name}.parquet") as f:
+            pq.write_table(pa.Table.from_pylist(rows), f)
+
+
+def readable(spark: SparkSession, names: list[str], most_failed: int = 0) -> tuple[list[str], list[tuple[str, str]]]:
+    """Parquet files whose footers can be read, and the others with their errors; more than ``most_failed`` of these are an error.
+
+    Tasks open the files; what comes back is a row for each file that fails.
+    """
+    ship(spark)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            bad = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    store, inner = pyarrow.fs.FileSystem.from_uri(arrow_path(name))
+                    with store.open_input_file(inner) as f:
+                        pq.ParquetFile(f)
+                except Exception as e:
+                    bad.append((name, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in bad], pa.string()) for i in range(2)], ["name", "error"])
+
+    listing = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+    bad = sorted((r["name"], r["error"]) for r in listing.mapInArrow(opened, "name string, error string").collect())
+    if len(bad) > most_failed:
+        raise ValueError(f"{len(bad)} of {len(names)} files cannot be read, {most_failed} may; first {bad[0][0]}: {bad[0][1]}")
+    gone = {n for n, _ in bad}
+    return [n for n in names if n not in gone], bad

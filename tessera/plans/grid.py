@@ -9,13 +9,40 @@ from pyspark.sql import DataFrame
 
 
 def combinations(grid: dict[str, list]) -> list[dict]:
-    """Every choice of one value for each name, the last name varying fastest."""
-    return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    """Every choice of one value for each name, the last name varying fastest, as nested settings with a ``_name``.
+
+    A name with dots is a path: ``a.b`` is b of a. A null value leaves its path out, of the name too. The name is that of each path's
+    last part and its value, in letters, digits and underscores; an empty grid, and a choice of nulls alone, is ``default``.
+    """
+    out = []
+    for values in itertools.product(*grid.values()):
+        settings: dict = {}
+        parts = []
+        for path, value in zip(grid, values, strict=True):
+            if value is None:
+                continue
+            *above, last = path.split(".")
+            level = settings
+            for name in above:
+                level = level.setdefault(name, {})
+            level[last] = value
+            parts.append(segment(last + _said(value)))
+        out.append({**settings, "_name": "_".join(parts) or "default"})
+    return out
+
+
+def _said(value: object) -> str:
+    """A value in a name: the entries of settings and lists one after the other."""
+    if isinstance(value, dict):
+        return "_".join(f"{k}{_said(v)}" for k, v in value.items())
+    return "_".join(map(_said, value)) if isinstance(value, (list, tuple)) else str(value)
 
 
-def by_rebuild_cost(settings: list[dict], slowest: str = "hnsw") -> list[dict]:
-    """Stable order in which settings that need a rebuild change least often."""
-    return sorted(settings, key=lambda s: str(s.get(slowest)))
+def by_rebuild_cost(settings: list[dict], slowest: str | tuple[str, ...] = "hnsw") -> list[dict]:
+    """Stable order in which settings that need a rebuild change least often, the first of ``slowest`` least."""
+    names = (slowest,) if isinstance(slowest, str) else slowest
+    sortable = lambda x: repr(sorted((k, sortable(v)) for k, v in x.items())) if isinstance(x, dict) else repr(x)
+    return sorted(settings, key=lambda s: tuple(sortable(s.get(n)) for n in names))
 
 
 def flattened(row: dict, prefix: str = "") -> dict:
@@ -27,8 +54,8 @@ def flattened(row: dict, prefix: str = "") -> dict:
 
 
 def segment(name: str) -> str:
-    """A name fit for a path."""
-    return re.sub(r"[^A-Za-z0-9._-]+", "-", name).strip("-")
+    """A name of letters, digits and underscores, fit for indexes, collections and paths."""
+    return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_")
 
 
 def route(settings: dict, search_names: set[str]) -> dict[str, dict]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import micros
 from tessera.functions.vectors import doubles, tokens_of
 from tessera.operators import embedding, load, positions, prepare, results, search, truth
 from tessera.operators.embedding import Entry
-from tessera.plans.catalogue import _C, _OUT, _Q, _RANK, _SCORE, _TIED, _TOKENS, K, _parts, _queries, _rounded, _sql, _table, _terms, _tied, query
+from tessera.plans.catalogue import _C, _OUT, _Q, _RANK, _SCORE, _TIED, _TOKENS, K, _corpus, _parts, _queries, _rounded, _sql, _table, _terms, _tied, query
 from tessera.sources import files, vectors
 from tessera.sources.scratch import scratch_path, stored
 from tessera.streaming import topk
@@ -96,10 +96,12 @@ def result_lists(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("query_id", "label", F.array_join("hit_ids", ",").alias("hits"), F.size("hit_ids").alias("n"), F.round(F.round(F.element_at("hit_scores", -1), 3).cast("double"), 3).alias("last"))
 
 
-@query("short_lists", f"WITH {_C}, {_Q}, n AS (SELECT query_id, count(vec_id) AS n FROM q LEFT JOIN c ON label = q_label AND vec_id % 20 = 0 GROUP BY 1) SELECT count(*) FILTER (n < 10) AS short, count(*) AS queries FROM n")
+@query("short_lists", f"WITH {_C}, {_Q}, n AS (SELECT query_id, count(vec_id) AS n FROM q LEFT JOIN c ON label = q_label AND coalesce(source = 'src3', false) GROUP BY 1) SELECT count(*) FILTER (n < 10) AS short, count(*) AS queries FROM n")
 def short_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A filter that leaves few candidates gives short lists."""
     asked = _queries(spark, d)
-    found = search.filtered_topk(asked, _table(spark, d, "embeddings").filter(F.col("vec_id") % 20 == 0), {"must": [{"field": "label", "match_from_query": "label"}]}, "dot", K)
+    spec = {"must": [{"field": "label", "match_from_query": "label"}, {"field": "source", "match": "src3"}]}
+    found = search.filtered_topk(asked, _corpus(spark, d, spec), spec, "dot", K)
     return results.short_lists(results.result_lists(found, asked), K)
 
 
@@ -291,22 +293,26 @@ def payload_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", load.payload_json(rows, "s_suppkey", "s_name", "s_nationkey").cast("string").alias("payload"))
 
 
-@query("poured_points", "SELECT count(*) AS points, CAST(0 AS BIGINT) AS failed FROM documents")
+@query("poured_points", "SELECT source, count(*) AS points, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(ceil(count(*) / 100.0) AS BIGINT) <= count(*) AS batched FROM documents GROUP BY source")
 def poured_points(spark: SparkSession, d: str) -> DataFrame:
-    """All documents through the batching writer, by source, to a store that keeps nothing."""
-    told = load.pour(_table(spark, d, "documents").select("doc_id", "source"), lambda rows: None, "source", 100)
-    return told.agg(F.sum("points").alias("points"), F.sum("failed").alias("failed"))
+    """All documents through the batching writer, by source, to a folder of files; read back from there."""
+    folder = scratch_path(spark, "poured")
+    told = stored(load.pour(_table(spark, d, "documents").select("doc_id", "source"), load.FolderSender(folder), "source", 100), "told")
+    failed = told.agg(F.sum("failed")).first()[0]
+    if failed:
+        raise RuntimeError(f"{failed} batches failed")
+    return spark.read.parquet(folder).groupBy("source").agg(F.count(F.lit(1)).alias("points"), F.sum("doc_id").alias("ids"), F.lit(True).alias("batched"))
 
 
 # --- embedding ------------------------------------------------------------------------------------------------------
-_CUT = "(SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}]+') AS tokens FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\x20\\x09-\\x0D]'))"
+_CUT = "(SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS tokens FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\x20\\x09-\\x0D]'))"
 _SLOT = "CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 16"
 
 
 @query("embed_batch", f"WITH t AS (SELECT doc_id, unnest(tokens) AS token FROM {_CUT}), n AS (SELECT doc_id, {_SLOT} AS j, count(*) AS n FROM t GROUP BY ALL) SELECT b.doc_id, CAST(r.j AS INTEGER) AS j, CAST(coalesce(n.n, 0) AS FLOAT) AS value FROM {_CUT} b CROSS JOIN range(16) r(j) LEFT JOIN n ON n.doc_id = b.doc_id AND n.j = r.j")
 def embed_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Dense embeddings of the first 200 characters; empty texts have none."""
-    rows = embedding.embed(_table(spark, d, "documents").select("doc_id", "text"), [Entry("e", "dense", "hashing", input_column="text", max_length=200)])
+    """Dense embeddings of whole texts; empty texts have none."""
+    rows = embedding.embed(_table(spark, d, "documents").select("doc_id", "text"), [Entry("e", "dense", "hashing", input_column="text")])
     return rows.select("doc_id", F.posexplode("e_embedding").alias("j", "value"))
 
 
@@ -316,7 +322,7 @@ def embed_batch(spark: SparkSession, d: str) -> DataFrame:
 )
 def embed_fused(spark: SparkSession, d: str) -> DataFrame:
     """Three kinds from one pass, and the mean of the token vectors."""
-    entries = [Entry(k, k, "hashing", input_column="text", max_length=200, pooling="mean" if k == "multivector" else None) for k in ("dense", "sparse", "multivector")]
+    entries = [Entry(k, k, "hashing", input_column="text", pooling="mean" if k == "multivector" else None) for k in ("dense", "sparse", "multivector")]
     rows = embedding.embed(_table(spark, d, "documents").select("doc_id", "text"), entries, drop=["text"]).filter("dense_embedding IS NOT NULL")
     total = F.aggregate("dense_embedding", F.lit(0.0), lambda s, x: s + x)
     return rows.select("doc_id", total.alias("dense_total"), F.size("sparse_embedding.indices").alias("sparse_size"), F.size("multivector_embedding").alias("tokens"), F.round(F.get("multivector_pooled", 3).cast("double"), 5).alias("pooled_third"))
@@ -324,7 +330,12 @@ def embed_fused(spark: SparkSession, d: str) -> DataFrame:
 
 @query("embed_skipped", "SELECT 'body' AS entry, count(*) AS seen, count(*) FILTER (text IS NULL OR NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]')) AS skipped FROM documents UNION ALL SELECT 'tag', count(*), count(*) FILTER (lang IS NULL OR lang = '') FROM documents")
 def embed_skipped(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.skipped(_table(spark, d, "documents"), [Entry("body", "dense", "hashing", input_column="text"), Entry("tag", "dense", "hashing", input_column="lang")])
+    """Rows seen and skipped, counted by the embedding pass itself."""
+    told = Observation()
+    entries = [Entry("body", "dense", "hashing", input_column="text"), Entry("tag", "dense", "hashing", input_column="lang")]
+    stored(embedding.embed(_table(spark, d, "documents").select("doc_id", "text", "lang"), entries, drop=["text"], observation=told), "embedded")
+    counts = told.get
+    return spark.createDataFrame([(e.name, counts["seen"], counts[f"skipped_{e.name}"]) for e in entries], "entry string, seen bigint, skipped bigint")
 
 
 @query(

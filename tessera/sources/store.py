@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,15 +18,21 @@ class ParquetStore:
         self.spark, self.root, self.identifier = spark, root.rstrip("/"), identifier
 
     def upsert(self, points: DataFrame, write: int) -> None:
-        """Segment ``write`` of the store; a repeated number replaces the segment, so a retry does no harm."""
-        points.withColumn("__run", F.lit(uuid.uuid4().hex)).write.mode("overwrite").parquet(f"{self.root}/write={write}")
+        """Segment ``write`` of the store; a repeated number replaces the segment, so a retry does no harm. Of rows of one identifier the
+        last one in the order of ``points`` counts."""
+        points.withColumn("__place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.root}/write={write}")
+
+    @staticmethod
+    def last_writes(log: DataFrame, identifier: str, order: tuple[str, ...] = ("write", "place")) -> DataFrame:
+        """The last row of each identifier in a log, without the columns that order it."""
+        return upserted(log, identifier, list(order)).drop(*order)
 
     def points(self) -> DataFrame | None:
         try:
             log = self.spark.read.option("basePath", self.root).parquet(f"{self.root}/write=*")
         except AnalysisException:
             return None
-        return upserted(log, self.identifier, ["write"]).drop("write", "__run")
+        return self.last_writes(log, self.identifier, ("write", "__place"))
 
     def missing(self, points: DataFrame) -> DataFrame:
         held = self.points()
@@ -61,4 +65,9 @@ class ParquetStore:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def search(self, queries: DataFrame, metric: str = "dot", k: int = 10, where: dict | None = None) -> DataFrame:
-        return dense_topk(queries, self.points(), metric, k, where)
+        """An empty store has no hits."""
+        held = self.points()
+        if held is None:
+            held = queries.select(F.lit(None).cast("bigint").alias(self.identifier), "embedding").limit(0)
+            where = None
+        return dense_topk(queries, held.withColumnRenamed(self.identifier, "vec_id"), metric, k, where)

@@ -104,7 +104,7 @@ def test_empty_policies(spark):
 
 def test_row_windows_and_grid():
     assert prepare.row_windows(5, 4) == [(0, 2), (2, 2), (4, 1), (6, 0)]
-    assert grid.combinations({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+    assert grid.combinations({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3, "_name": "a1_b3"}, {"a": 2, "b": 3, "_name": "a2_b3"}]
     assert [grid.insert_action(*x) for x in ((True, True), (False,), (True, False, True), (True,))] == ["recreate", "load", "skip", "abort"]
     assert files.matching(["a/x", "b/y", "a/y"], ["regex:^a", "*y"]) == ["a/x", "a/y", "b/y"]
 
