@@ -296,7 +296,8 @@ def _within(rows: DataFrame) -> DataFrame:
 
 def texts(done: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """conversation, block, text: the repaired conversations of ``format_chats`` as texts, a row for each block. A conversation is its
-    blocks in order, joined by nothing; a block has a bounded number of turns."""
+    blocks in order, joined by nothing; a block has a bounded number of turns. The null conversation is one like any other, null
+    texts are empty pieces, and an empty table gives an empty table."""
     parts = done.groupBy(conversation, "block").agg(F.sort_array(F.collect_list(F.struct("position", "rendered"))).alias("x"))
     return parts.select(conversation, "block", F.array_join("x.rendered", "").alias("text"))
 

@@ -172,7 +172,9 @@ def _sent(found: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``compare_with_next``, with group_id as in ``exact_groups``.
 
-    Only texts whose digest several rows have are grouped by their bytes. Where different bytes share a digest, all are.
+    Only texts whose digest several rows have are grouped by their bytes. Where different bytes share a digest, all are. Null and
+    empty texts are one group; rows that repeat an identifier and a text are in one group; a null identifier names a group only
+    where all its rows lack one. An empty table gives an empty table.
     """
     compared = compare_with_next(docs, identifier, text)
     several = stored(fingerprints(docs, identifier, text).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "several")

@@ -124,7 +124,8 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     their columns.
 
     The one document of a source in which the budget ends gives its first words up to that point in its last epoch; ``n_chars``
-    follows where there is such a column. Texts are otherwise unchanged.
+    follows where there is such a column. Texts are otherwise unchanged. Null texts and texts without words are in no mix, a null
+    source is a source of its own, repeated rows are documents each, and an empty table gives an empty table.
     """
     names = {c: f"{_S}own_{n}" for n, c in enumerate(docs.columns)}
     own = docs.select(*[docs[c].alias(n) for c, n in names.items()])

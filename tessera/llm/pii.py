@@ -322,7 +322,8 @@ def spans(docs: DataFrame, weights: dict[str, np.ndarray] | None = None, identif
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, spans in ``text`` replaced by their kind; ``n_chars`` follows where it is a column.
 
-    Null texts stay null, empty ones empty; an empty table gives an empty table.
+    Null texts stay null, empty ones empty; an empty table gives an empty table. Texts of any length are read and rewritten whole, a
+    row at a time; repeated rows stay and are changed alike; columns keep their names, whatever these are.
     """
     ship(docs.sparkSession)
     weights = learn(docs, text)

@@ -197,7 +197,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Digest and length of responses are computed from the blocks, chunk by chunk; ``whole`` says that they and every chunk's own
     digest agree with the headers. Blocks end by the header's length, so payloads may hold breaks. target_uri is what the
-    header says: null as the empty text, control characters percent-encoded.
+    header says: null as the empty text, control characters percent-encoded. A page_id that was null is null again; archives of an
+    empty table give no rows.
     """
     ship(spark)
     lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("value").cast("binary").alias("line"))
