@@ -79,10 +79,13 @@ def rank_biased_overlap(found: DataFrame, truth: DataFrame, k: int, p: float | N
     return sums.select("query_id", "depth", F.col("overlap").cast("long").alias("overlap"), rbo.alias("rbo"), F.least(F.lit(1.0), rbo / (1 - whole)).alias("rbo_norm"), least.alias("rbo_min"), residual.alias("rbo_res"), extended.alias("rbo_ext"))
 
 
-def tie_stats(scored: DataFrame, truth: DataFrame, k: int, epsilon: float = EPSILON) -> DataFrame:
-    """mean_ties, max_ties, tied_share, n over queries: how many candidates tie the k-th score."""
+def tie_stats(scored: DataFrame, truth: DataFrame, k: int, epsilon: float = EPSILON, weight: str | None = None) -> DataFrame:
+    """mean_ties, max_ties, tied_share, n over queries: how many candidates tie the k-th score. With ``weight`` a row of ``scored`` stands
+    for as many candidates of one score."""
     cut = truth.filter(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
-    ties = scored.join(cut, "query_id").groupBy("query_id").agg(F.count(F.when(tied(F.col("score"), F.col("cutoff"), epsilon), 1)).alias("ties"))
+    near = tied(F.col("score"), F.col("cutoff"), epsilon)
+    times = F.count(F.when(near, 1)) if weight is None else F.coalesce(F.sum(F.when(near, F.col(weight))), F.lit(0))
+    ties = scored.join(cut, "query_id").groupBy("query_id").agg(times.alias("ties"))
     return ties.agg(F.avg("ties").alias("mean_ties"), F.max("ties").alias("max_ties"), F.avg((F.col("ties") > 1).cast("double")).alias("tied_share"), F.count(F.lit(1)).alias("n"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, FloatType, IntegerType, LongType, ShortType
 
 from tessera.operators.search import ranked
+from tessera.sources.shipping import sound_unions
 
 #: Columns of a result that a payload column may not be named like. The names are a file format.
 RESERVED = ("query_id", "hit_ids", "hit_scores", "hit_tie", "applied_threshold", "nan_hits")
@@ -125,6 +126,7 @@ def partial_problems(partials: DataFrame, parts: int, k: int, queries: DataFrame
     Queries that some part lacks or has twice, or with ``queries`` (query_id) that all parts lack; null or uneven lists, nulls in
     lists, lists longer than k; and queries whose parts together have fewer hits than their applied threshold vouches for.
     """
+    sound_unions(partials.sparkSession)
     kind = partials.schema["hit_scores"].dataType
     if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, FloatType):
         raise ValueError("hit_scores has to be a list of 32-bit numbers")

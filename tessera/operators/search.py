@@ -27,7 +27,7 @@ from tessera.functions.vectors import LEAST_NORM, doubles
 from tessera.operators.filters import evaluate
 from tessera.operators.masks import Masks, wanted
 from tessera.sources.scratch import stored
-from tessera.sources.shipping import ship
+from tessera.sources.shipping import ship, sound_unions
 
 #: Bytes of query vectors that are held in each task at once; more queries take more passes.
 QUERY_BYTES = 64 << 20
@@ -76,6 +76,7 @@ def merge(partials: list[DataFrame], k: int, tie: list[Column] | None = None, na
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
+    sound_unions(parts[0].sparkSession)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluate import EPSILON, default_persistence, tied
+from tessera.sources.shipping import sound_unions
 
 #: Ties beyond the cutoff that are kept for one query; of more, none is.
 MOST_TIES = 100_000
@@ -113,6 +114,7 @@ def overlap_tolerant(found: DataFrame, truth: DataFrame, k: int, p: float | None
     An id counts from the depth at which both lists hold it. The j-th returned id of a run of ties takes the run's j-th place,
     and ids that tie the k-th place from beyond the cutoff take places of its run. A repeated id counts at its first place.
     """
+    sound_unions(truth.sparkSession)
     p = default_persistence(k) if p is None else p
     inside = ranks(truth, k)
     depth = inside.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("depth"))

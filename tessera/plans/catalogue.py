@@ -16,6 +16,7 @@ from tessera.functions.vectors import doubles, pooled, tokens_of
 from tessera.operators import evaluate, filters, joins, positions, prepare, search
 from tessera.plans import grid
 from tessera.sources import files
+from tessera.sources.shipping import sound_unions
 
 K = 10
 #: Queries are the rows whose number this divides.
@@ -39,6 +40,7 @@ def _asked(name: str) -> Column:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    sound_unions(spark)
     rows = spark.read.parquet(f"{d}/{name}.parquet")
     return files.spread(rows) if name == "documents" else rows  # long texts
 
@@ -237,11 +239,6 @@ query("maxsim_cosine", f"WITH {_MAXSIM.format(score='list_dot_product(a.x, b.x)
 
 
 # --- ties, merging, bounds, fusion --------------------------------------------------------------------------------
-def _tied(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.broadcast(_queries(spark, d).select("query_id", F.col("label").alias("q_label")))
-    return _table(spark, d, "embeddings").select("vec_id", "label").crossJoin(asked).select("query_id", "vec_id", (-F.abs(F.col("label") - F.col("q_label"))).cast("double").alias("score"))
-
-
 _TIED = f"{_Q}, s AS (SELECT query_id, vec_id, CAST(-abs(label - q_label) AS DOUBLE) AS score FROM q, embeddings)"
 def _by_label(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     """Queries and the vector of a row by label alone: full of ties."""
@@ -265,9 +262,14 @@ def topk_tie_ordinal(spark: SparkSession, d: str) -> DataFrame:
 @query("topk_tie_id", f"WITH {_TIED} " + _TIES.format("CAST(vec_id AS VARCHAR)", ""))
 def topk_tie_id(spark: SparkSession, d: str) -> DataFrame:
     """Equal scores by the text of the identifier."""
+    return _tied(spark, d, K, "string")
+
+
+def _tied(spark: SparkSession, d: str, k: int, order: str = "bigint") -> DataFrame:
+    """The k nearest by label, ties by the identifier as a number or as text."""
     asked, vector = _by_label(spark, d)
-    rows = _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), vector.alias("embedding"))
-    found = search.dense_topk(asked, rows, "euclidean", K)
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").cast(order).alias("vec_id"), vector.alias("embedding"))
+    found = search.dense_topk(asked, rows, "euclidean", k)
     return found.select("query_id", "rank", F.col("vec_id").cast("bigint").alias("vec_id"), (F.col("score") + F.lit(0.0)).alias("score"))
 
 
@@ -357,8 +359,12 @@ def rbo(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tie_stats", f"WITH {_TIED}, {_RANK}, t AS (SELECT query_id, count(*) AS ties FROM s JOIN (SELECT query_id, score AS cutoff FROM r WHERE rank = 10) USING (query_id) WHERE score = cutoff GROUP BY 1) SELECT round(avg(ties), 6) AS mean_ties, max(ties) AS max_ties, avg(CAST(ties > 1 AS INTEGER)) AS tied_share, count(*) AS n FROM t")
 def tie_stats(spark: SparkSession, d: str) -> DataFrame:
-    scored = _tied(spark, d)
-    return evaluate.tie_stats(scored, search.ranked(scored, K), K).withColumn("mean_ties", F.round("mean_ties", 6))
+    """Candidates are counted by label before they meet the queries, a row for each different label."""
+    counts = _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    asked = _queries(spark, d).select("query_id", F.col("label").alias("q_label"))
+    scored = joins.range_join(counts, "label", asked.withColumns({"low": F.lit(float("-inf"))}), "low")
+    scored = scored.select("query_id", (-F.abs(F.col("label") - F.col("q_label"))).cast("double").alias("score"), "n")
+    return evaluate.tie_stats(scored, _tied(spark, d, K), K, weight="n").withColumn("mean_ties", F.round("mean_ties", 6))
 
 
 @query("latency_percentiles", "SELECT event_type, count(value) AS n, round(coalesce(avg(value), 0), 6) AS mean, coalesce(quantile_disc(value, 0.5), 0) AS p50, coalesce(quantile_disc(value, 0.95), 0) AS p95, coalesce(quantile_disc(value, 0.99), 0) AS p99, coalesce(max(value), 0) AS slowest FROM events GROUP BY event_type")

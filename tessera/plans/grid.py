@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from tessera.sources.shipping import sound_unions
+
 
 def combinations(grid: dict[str, list]) -> list[dict]:
     """Every choice of one value for each name, the last name varying fastest, as nested settings with a ``_name``.
@@ -96,6 +98,7 @@ def human(size: float) -> str:
 
 def report(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts; columns that a part lacks are null."""
+    sound_unions(parts[0].sparkSession)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -183,7 +183,7 @@ _TRUTH = f"{_TIED}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def _tied_truth(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(_tied(spark, d), _DEEP)
+    return _tied(spark, d, _DEEP)
 
 
 @query("tied_ranks", f"WITH {_TRUTH} SELECT query_id, vec_id, place, tied_place FROM inside")
@@ -206,7 +206,7 @@ def cutoff_ties(spark: SparkSession, d: str) -> DataFrame:
 )
 def rbo_tied(spark: SparkSession, d: str) -> DataFrame:
     """An engine that orders ties by the text of the identifier, against a truth that orders them by number."""
-    found = search.ranked(_tied(spark, d), K, [F.col("vec_id").cast("string")])
+    found = _tied(spark, d, K, "string")
     got = truth.overlap_tolerant(found, _tied_truth(spark, d), K)
     return got.select("query_id", "depth", "overlap", F.round("rbo", 6).alias("rbo"), F.round("rbo_tolerant", 6).alias("rbo_tolerant"))
 

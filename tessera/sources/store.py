@@ -29,7 +29,7 @@ class ParquetStore:
 
     def points(self) -> DataFrame | None:
         try:
-            log = self.spark.read.option("basePath", self.root).parquet(f"{self.root}/write=*")
+            log = self.spark.read.option("basePath", self.root).option("mergeSchema", True).parquet(f"{self.root}/write=*")
         except AnalysisException:
             return None
         return self.last_writes(log, self.identifier, ("write", "__place"))
@@ -49,7 +49,7 @@ class ParquetStore:
         held = self.points()
         if held is None:
             return
-        stored(held, "compact").write.mode("overwrite").parquet(f"{self.root}/write={write}")
+        self.upsert(stored(held, "compact"), write)
         fs, path = self._folder()
         for s in fs.listStatus(path):
             if s.getPath().getName().startswith("write=") and s.getPath().getName() != f"write={write}":
