@@ -31,8 +31,8 @@ SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 OWNED = 1 << 16
 #: Differences that are held at once.
 CELLS = 1 << 20
-#: Components have to stay below this, so that squared distances of up to 2,048 components fit in 64 bits.
-MOST = 1 << 26
+#: Components below the first leave room for squared distances in 64 bits; all have to stay below the second, so that sums of them fit.
+NEAR, MOST = 1 << 26, 1 << 45
 
 #: Entries of each position: PARTS arrays of (entries, width).
 Codebooks = list[np.ndarray]
@@ -42,13 +42,31 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Of each part the nearest entry, the first of equal ones, and its squared distance, in whole numbers."""
     which, far = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
     step = max(1, CELLS // max(1, entries.size))
+    small = max(np.abs(parts).max(initial=0), np.abs(entries).max(initial=0)) < NEAR
     for at in range(0, len(parts), step):
-        d = ((parts[at : at + step, None, :] - entries[None]) ** 2).sum(axis=2)
-        which[at : at + step] = d.argmin(axis=1)
-        far[at : at + step] = d.min(axis=1)
+        some = slice(at, at + step)
+        which[some], far[some] = _least(parts[some, None, :] - entries[None], small)
     return which, far
 
 
+def _least(difference: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    d = (difference**2).sum(axis=2)
+    if not small:
+        about = (difference.astype(float) ** 2).sum(axis=2)
+        wide = about > 2.0**62
+        d[wide] = np.iinfo(np.int64).max  # farther than any distance that fits
+        rows = np.flatnonzero(wide.all(axis=1))
+        if len(rows):
+            whole = (difference[rows].astype(object) ** 2).sum(axis=2)
+            which, least = d.argmin(axis=1), d.min(axis=1)
+            which[rows] = [min(range(len(r)), key=r.__getitem__) for r in whole]
+            if max(r.min() for r in whole) > np.iinfo(np.int64).max:
+                raise ValueError("a squared distance does not fit in 64 bits")
+            least[rows] = [int(r.min()) for r in whole]
+            return which, least
+    return d.argmin(axis=1), d.min(axis=1)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 

@@ -79,6 +79,16 @@ def test_few_none_and_odd_vectors(spark):
     for none in ([], [(1, None, 1)]):
         got = codes.compressed(spark.createDataFrame([(*r, 1, 2, "x") for r in none], SCHEMA))
         assert got.count() == 0 and got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
-    for odd in ([(1, [0.0] * 8, 1), (2, [0.0] * 16, 1)], [(1, [0.0] * 9, 1)], [(1, [], 1)], [(1, [1e9] * 8, 1)]):
+    for odd in ([(1, [0.0] * 8, 1), (2, [0.0] * 16, 1)], [(1, [0.0] * 9, 1)], [(1, [], 1)], [(1, [1e12] * 8, 1)]):
         with pytest.raises(ValueError):
             codes.compressed(table(spark, odd))
+
+
+def test_components_of_any_size(spark):
+    """Distances that do not fit in 64 bits are those to entries that are not nearest, or an error."""
+    random.seed(14)
+    rows = [(i, [random.choice([1e5, -3e7, 5e8, 8e9, 0.25]) + random.random() for _ in range(16)], 1) for i in range(60)]
+    wide = [(i, v, label) for i, v, label in rows if i < 16] + [(100 + i, [x + random.choice([0, 2.0, 1e5]) for x in v], label) for i, v, label in rows if i < 16]
+    assert sorted(map(tuple, codes.compressed(table(spark, wide), rounds=2).collect())) == plain(wide, rounds=2)
+    a, b = codes.nearest(codes.np.array([[1 << 44, 0]]), codes.np.array([[-(1 << 44), 0], [(1 << 44) - 5, 3]]))
+    assert (a.tolist(), b.tolist()) == ([1], [34])
