@@ -20,6 +20,13 @@ def _least_neighbour(both: DataFrame) -> DataFrame:
     return both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether all links lead from a node to the smallest of its component: each node has one, and none leads to a node that has one."""
+    if not pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return False
+    return pairs.select(F.col("b").alias("a")).distinct().join(pairs, "a", "left_semi").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """links (a, b) of identifiers that can be ordered -> (id, component_id), a row for each identifier that has a link to another.
 
@@ -27,19 +34,17 @@ def connected(links: DataFrame) -> DataFrame:
     """
     pairs = links.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "links")
-    before = None
     for _ in range(MAX_ROUNDS):
+        if _settled(pairs):
+            break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour moves to the smallest of the neighbourhood
-        large = both.join(_least_neighbour(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(_least_neighbour(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself move to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         pairs = stored(small.filter("a != b").distinct(), "links")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if not _settled(pairs):
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
