@@ -203,7 +203,7 @@ def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = (), observati
     """``rows`` without ``drop``, and a typed column for each entry, null where its input is empty.
 
     Entries of one group of ``passes`` share a pass. Texts are cut to ``max_length`` characters first. Pooled columns are the
-    multivectors' mean, max, first or last token. ``observation`` counts, in the pass itself, the rows ``seen`` and for each entry
+    multivectors' mean, max, first or last token, as doubles. ``observation`` counts, in the pass itself, the rows ``seen`` and for each entry
     those ``skipped_<name>`` because its input is empty.
     """
     check(entries, [c for c in rows.columns if c not in drop], drop)
@@ -262,7 +262,7 @@ def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = (), observati
     out = marked.mapInArrow(run, schema)
     for e in entries:
         if e.pooled_column:
-            out = out.withColumn(e.pooled_column, pooled(F.col(e.column).cast("array<array<double>>"), e.pooling, e.normalize).cast("array<float>"))
+            out = out.withColumn(e.pooled_column, pooled(F.col(e.column).cast("array<array<double>>"), e.pooling, e.normalize))
     return out
 
 
