@@ -1,7 +1,8 @@
 """Embedding columns: entries and their checks, passes shared between entries, batch inference with empty inputs left out.
 
-An embedder is a class with ``embed(values) -> {kind: [embedding for each value]}``, registered by a type name. It runs in
-mapInArrow over the rows where they lie; embeddings are null where the input is empty.
+An embedder is a class with ``embed(values) -> {kind: [embedding for each value]}`` (a list or an Arrow array), registered by a
+type name. It runs in mapInArrow over the rows where they lie, a slice of each batch at a time; embeddings are null where the input
+is empty.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from tessera.operators.load import KINDS
 from tessera.operators.prepare import split_texts
 from tessera.sources.shipping import ship
 
+#: Characters (or bytes) of input, over all columns, whose embeddings a task holds at once; a longer input is held alone.
+SLICE = 1 << 18
 PARTS = ("text", "image")
 POOLINGS = ("mean", "max", "cls", "last")
 EMBEDDERS: dict[str, type] = {}
@@ -165,7 +170,11 @@ class HashingEmbedder:
         if "sparse" in kinds:
             out["sparse"] = [{"indices": sorted(c), "values": [float(c[j]) for j in sorted(c)]} for c in map(Counter, found)]
         if "multivector" in kinds:
-            out["multivector"] = [[[float(j == s) for j in range(self.dims)] for s in slots] for slots in found]
+            # 32-bit numbers from the start: a text of n tokens has n * dims of them
+            unit = np.eye(self.dims, dtype=np.float32)
+            flat = unit[np.array([s for slots in found for s in slots], np.int64)].ravel()
+            tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, self.dims), pa.int32()), pa.array(flat))
+            out["multivector"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), tokens)
         return out
 
 
@@ -199,6 +208,22 @@ def skipped(rows: DataFrame, entries: list[Entry]) -> DataFrame:
     return counts.select("seen", F.explode("x").alias("x")).select("x.entry", "seen", "x.skipped")
 
 
+def sliced(batch: pa.RecordBatch, columns: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of consecutive rows whose values of ``columns`` have up to ``most`` bytes in all; a row of more is a slice."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for values in (batch.column(batch.schema.get_field_index(c)) for c in columns):
+        if pa.types.is_primitive(values.type):
+            sizes += 8
+        else:
+            sizes += pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = (), observation: Observation | None = None) -> DataFrame:
     """``rows`` without ``drop``, and a typed column for each entry, null where its input is empty.
 
@@ -228,35 +253,37 @@ def embed(rows: DataFrame, entries: list[Entry], drop: list[str] = (), observati
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedders = [cls(**options) for cls, options in made]
-        for batch in batches:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            told: dict[str, pa.Array] = {}
-            flag = 0
-            for embedder, group, (parts, cut) in zip(embedders, plan, inputs, strict=True):
-                gone = [batch.column(at[f"__empty_{flag + n}"]).to_pylist() for n in range(len(parts))]
-                values = [batch.column(at[f"__in_{c}"]).to_pylist() for _, c in parts]
-                flag += len(parts)
-                cutter = lambda m, v, cut=cut: v[:cut] if m == "text" and cut else v
-                items, place = [], []
-                for row in range(batch.num_rows):
-                    there = {m: cutter(m, values[n][row]) for n, (m, _) in enumerate(parts) if not gone[n][row]}
-                    if there:
-                        items.append(there if len(parts) > 1 else next(iter(there.values())))
-                        place.append(row)
-                kinds = tuple(kind for _, kind in group)
-                results: dict[str, list] = {k: [] for k in kinds}
-                for start in range(0, len(items), embedder.batch_size):
-                    some = items[start : start + embedder.batch_size]
-                    for k, v in embedder.embed(some, kinds).items():
-                        if len(v) != len(some):
-                            raise RuntimeError(f"an embedder gave {len(v)} embeddings for {len(some)} inputs")
-                        results[k] += v
-                for column, kind in group:
-                    whole = [None] * batch.num_rows
-                    for row, v in zip(place, results[kind], strict=True):
-                        whole[row] = v
-                    told[column] = pa.array(whole, _TYPES[kind])
-            yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in kept], *told.values()], [*kept, *told])
+        for whole in batches:
+            for batch in sliced(whole, [f"__in_{c}" for c in columns], SLICE):
+                yield embedded(batch, embedders)
+
+    def embedded(batch: pa.RecordBatch, embedders: list) -> pa.RecordBatch:
+        at = {n: i for i, n in enumerate(batch.schema.names)}
+        told: dict[str, pa.Array] = {}
+        flag = 0
+        for embedder, group, (parts, cut) in zip(embedders, plan, inputs, strict=True):
+            gone = [batch.column(at[f"__empty_{flag + n}"]).to_pylist() for n in range(len(parts))]
+            values = [batch.column(at[f"__in_{c}"]).to_pylist() for _, c in parts]
+            flag += len(parts)
+            cutter = lambda m, v, cut=cut: v[:cut] if m == "text" and cut else v
+            items, place = [], np.full(batch.num_rows, -1)
+            for row in range(batch.num_rows):
+                there = {m: cutter(m, values[n][row]) for n, (m, _) in enumerate(parts) if not gone[n][row]}
+                if there:
+                    place[row] = len(items)
+                    items.append(there if len(parts) > 1 else next(iter(there.values())))
+            kinds = tuple(kind for _, kind in group)
+            results: dict[str, list] = {k: [] for k in kinds}
+            for start in range(0, len(items), embedder.batch_size):
+                some = items[start : start + embedder.batch_size]
+                for k, v in embedder.embed(some, kinds).items():
+                    if len(v) != len(some):
+                        raise RuntimeError(f"an embedder gave {len(v)} embeddings for {len(some)} inputs")
+                    results[k].append(v if isinstance(v, pa.Array) else pa.array(v, _TYPES[k]))
+            for column, kind in group:
+                found = pa.concat_arrays([x.cast(_TYPES[kind]) for x in results[kind]] or [pa.array([], _TYPES[kind])])
+                told[column] = found if len(items) == batch.num_rows else found.take(pa.array(place, pa.int64(), mask=place < 0))
+        return pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in kept], *told.values()], [*kept, *told])
 
     schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept], *[f"`{c}` {KINDS[kind]}" for c, kind in outputs]])
     out = marked.mapInArrow(run, schema)
