@@ -42,7 +42,7 @@ def layout(spark: SparkSession, *paths: str) -> Layout:
 
 def positioned(spark: SparkSession, places: Layout, *paths: str) -> DataFrame:
     """The rows of the files with a column ``place``."""
-    rows = scan(spark, *paths).join(places.frame(spark), "filename")
+    rows = scan(spark, *paths).join(F.broadcast(places.frame(spark)), "filename")
     return rows.withColumn("place", F.col("__first") + F.col("file_row_number")).drop("__first", "filename", "file_row_number")
 
 

@@ -45,3 +45,23 @@ def test_counts_read_no_column(spark, corpus):
     assert {(r["column"], r["dims"], r["rows"], r["files"]) for r in told} == {("vec_id", None, 700, 7), ("embedding", 2, 700, 7), ("label", None, 700, 7)}
     window = files.window_of(files.scan(spark, corpus), 150, 100)
     assert sorted(r["label"] for r in window.collect()) == list(range(300, 500, 2))
+
+
+def test_points_of_a_table_of_several_files(spark, tmp_path):
+    """Identifiers by the place in the table: row numbers of files repeat, and so did the identifiers made of them."""
+    import hashlib
+
+    from tessera.plans.catalogue import QUERIES
+
+    for i in range(3):
+        spark.range(i * 50, i * 50 + 50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet/{i}")
+    got = {r["__id"].replace("-", ""): r["n"] for r in QUERIES["load_points"](spark, str(tmp_path)).collect()}
+    assert got == {hashlib.md5(f"documents.parquet:{i}".encode()).hexdigest(): i + 1 for i in range(150)}
+
+
+def test_a_folder_named_as_a_file_is_one(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/t")
+    spark.range(0).write.parquet(f"{tmp_path}/none.parquet")
+    told = lambda name: [(r["rows"], r["files"]) for r in files.inspect(spark.read.parquet(f"{tmp_path}/{name}")).collect()]
+    assert told("t.parquet") == [(30, 1)] and told("t") == [(30, 3)] and told("none.parquet") == [(0, 0)]
