@@ -62,3 +62,19 @@ def test_grids():
     order = grid.by_rebuild_cost(grid.combinations({"ef": [1, 2], "hnsw.m": [8, 16], "x": [0]}))
     assert [(s["hnsw"]["m"], s["ef"]) for s in order] == [(16, 1), (16, 2), (8, 1), (8, 2)]
     assert [s["q"] for s in grid.by_rebuild_cost([{"q": 2, "a": 1}, {"q": 1, "a": 1}, {"q": 3, "a": 0}], ("a", "q"))] == [3, 1, 2]
+
+
+def test_bounds_of_a_block_stay_small():
+    """What a task holds for a block of scores does not grow with queries or rows: ``CELLS`` scores and a few arrays of that size."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.operators import search
+
+    q, c = np.ones((search.CELLS // 1024, 8)), np.ones((1024, 8))
+    tracemalloc.start()
+    search._block_bounds("euclidean", q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
