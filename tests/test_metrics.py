@@ -78,3 +78,33 @@ def test_bounds_of_a_block_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80 << 20
+
+
+def test_scores_of_a_block_stay_small(spark, monkeypatch):
+    """The kernel of a dense search gives blocks of a quarter of ``CELLS`` scores to the bounds, whose arrays then fit."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import search
+
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(500)], "query_id bigint, embedding array<double>")
+    corpus = spark.createDataFrame([(i, [float(i % 7), 2.0]) for i in range(2000)], "vec_id bigint, embedding array<double>")
+    cells, kernels, bounds = [], [], search._block_bounds
+    monkeypatch.setattr(search, "_block_bounds", lambda metric, q, c: cells.append(len(q) * len(c)) or bounds(metric, q, c))
+    monkeypatch.setattr(search, "_product_pass", lambda rows, sent, kernel, keys, k: kernels.append((kernel, sent)) or rows)
+    search.candidates(asked, corpus, "euclidean", 3)
+    (kernel, sent), = kernels
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([[float(i % 7), 2.0] for i in range(2000)])], ["vec_id", "embedding"])
+    got = list(kernel(batch, sent, {}))
+    assert len(got) == 500 and sum(cells) == 500 * 2000 and max(cells) <= search.CELLS // 4
+    assert np.array_equal(got[3][1], [3, 10, 17])
+
+
+def test_a_slice_of_queries_without_tokens():
+    import numpy as np
+
+    from tessera.operators import masks
+
+    none, row, code = np.empty(0, np.int64), np.array([0, 1]), np.array([4, 4])
+    assert not masks._all_tokens(none, none, 3, row, code, 2).any()
+    assert masks._all_tokens(np.array([1]), np.array([4]), 3, row, code, 2).tolist() == [[False, False], [True, True], [False, False]]
