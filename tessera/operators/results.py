@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, FloatType, IntegerType, LongType, ShortType
 
 from tessera.operators.search import ranked
+from tessera.sources.scratch import stored
 from tessera.sources.shipping import sound_unions
 
 #: Columns of a result that a payload column may not be named like. The names are a file format.
@@ -165,6 +166,7 @@ def merge_lists(partials: DataFrame, k: int, parts: int, tie: str | None = None,
     """
     tie = tie or ("tie" if "hit_tie" in partials.columns else "vec_id")
     limited = "applied_threshold" in partials.columns
+    partials = stored(partials, "partials")  # read several times below
     bad = partial_problems(partials, parts, k, queries).agg(F.count(F.lit(1)).alias("bad"), F.min(F.struct("query_id", "problem")).alias("first"))
     message = F.concat(F.lit("partial lists do not fit together, first at query "), F.coalesce(F.col("first.query_id").cast("string"), F.lit("null")), F.lit(": "), F.col("first.problem"))
     entries = long_lists(partials.drop("nan_hits"))
@@ -193,6 +195,7 @@ def partial_lists(found: DataFrame, queries: DataFrame, part: int, bounds: DataF
     """Lists of one part, from a search with ``nan="keep"``: part, query_id, hit_ids, hit_scores, hit_tie where identifiers are whole
     numbers, nan_hits, the number of hits that took a place without a score and are left out, and with ``bounds`` (query_id, bound),
     those that the search began with, applied_threshold: the bound in 32 bits, rounded down."""
+    found = stored(found, "part")  # read twice below
     nan = F.isnan("score")
     slots = found.groupBy("query_id").agg(F.count(F.when(nan, 1)).cast("int").alias("nan_hits"))
     real = found.filter(~nan).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))

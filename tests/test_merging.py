@@ -24,6 +24,16 @@ def test_integer_ties_merge_by_number(spark):
     assert [r["vec_id"] for r in got] == ["2", "7", "9", "10"] == [str(r["vec_id"]) for r in search.dense_topk(asked, rows, "dot", 4).orderBy("rank").collect()]
 
 
+def test_a_checked_merge_searches_each_part_once(spark):
+    rows = spark.createDataFrame([(i, [float(i % 9)]) for i in range(200)], "vec_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(5, [1.0]), (6, [-1.0])], "query_id bigint, embedding array<double>")
+    told = [{}, {}]
+    parts = [results.partial_lists(search.dense_topk(asked, rows.filter(F.col("vec_id") % 2 == i), "dot", 4, nan="keep", told=told[i]), asked, i) for i in range(2)]
+    got = results.merge_lists(search.union(parts), 4, 2, queries=asked).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got)[:4] == [("5", 1, "8"), ("5", 2, "17"), ("5", 3, "26"), ("5", 4, "35")] and len(got) == 8
+    assert [t["pairs"].value for t in told] == [200, 200]
+
+
 GOOD = [(0, "1", ["a", "b"], [3.0, 1.0], [1, 2], 0, None), (1, "1", ["c"], [2.0], [3], 0, None)]
 
 
