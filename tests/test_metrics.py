@@ -108,3 +108,26 @@ def test_a_slice_of_queries_without_tokens():
     none, row, code = np.empty(0, np.int64), np.array([0, 1]), np.array([4, 4])
     assert not masks._all_tokens(none, none, 3, row, code, 2).any()
     assert masks._all_tokens(np.array([1]), np.array([4]), 3, row, code, 2).tolist() == [[False, False], [True, True], [False, False]]
+
+
+def test_candidates_are_sent_in_slices(spark, monkeypatch):
+    """A batch sends its candidates as they come, so what is held does not grow with queries times k; and blocks count the k scores."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField
+
+    from tessera.operators import search
+
+    class Rows:
+        sparkSession, schema = spark, spark.range(0).withColumnRenamed("id", "vec_id").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    kernel = lambda batch, sent, floors: (((q,), np.arange(10), np.full(10, 1.0 + q)) for q in range(100))
+    monkeypatch.setattr(search, "FOUND", 64)
+    run = search._product_pass(Rows(), None, kernel, [StructField("query_id", LongType())], 10)
+    sent = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(10))], ["vec_id"])])))
+    assert sum(b.num_rows for b in sent) == 1000 and max(b.num_rows for b in sent) < 64 + 10
+    assert sorted(x for b in sent for x in b.column(0).to_pylist()) == sorted(list(range(100)) * 10)
+    assert search._block_rows(1, 100) * 8 * 101 <= search.QUERY_BYTES and search._block_rows(None, 10) > 1
