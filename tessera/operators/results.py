@@ -15,19 +15,22 @@ from tessera.sources.scratch import stored
 from tessera.sources.shipping import sound_unions
 
 #: Columns of a result that a payload column may not be named like. The names are a file format.
-RESERVED = ("query_id", "hit_ids", "hit_scores", "hit_tie", "applied_threshold", "nan_hits")
+RESERVED = ("query_id", "hit_ids", "hit_scores", "hit_exact", "hit_tie", "applied_threshold", "nan_hits")
+#: Columns with a list of the hits' values.
+HITS = ("hit_ids", "hit_scores", "hit_exact", "hit_tie")
 
 
 # --- lists ----------------------------------------------------------------------------------------------------------
-def result_lists(found: DataFrame, queries: DataFrame, payload: Iterable[str] = (), tie: str | None = None) -> DataFrame:
+def result_lists(found: DataFrame, queries: DataFrame, payload: Iterable[str] = (), tie: str | None = None, exact: bool = False) -> DataFrame:
     """query_id (text), payload columns of the query, hit_ids (texts), hit_scores (32-bit), best first; a row for each query, with
-    empty lists where nothing was found. With ``tie``, a column of whole numbers in ``found``, also hit_tie."""
+    empty lists where nothing was found. With ``exact`` also hit_exact, the scores in 64 bits; with ``tie``, a column of whole numbers
+    in ``found``, also hit_tie."""
     payload = list(payload)
     if clash := sorted(set(payload) & set(RESERVED)):
         raise ValueError(f"payload columns {clash} are named like columns of the result")
     if missing := sorted(set(payload) - set(queries.columns)):
         raise ValueError(f"no query columns {missing}")
-    kinds = {"hit_ids": ("vec_id", "string"), "hit_scores": ("score", "float"), **({"hit_tie": (tie, "bigint")} if tie else {})}
+    kinds = {"hit_ids": ("vec_id", "string"), "hit_scores": ("score", "float"), **({"hit_exact": ("score", "double")} if exact else {}), **({"hit_tie": (tie, "bigint")} if tie else {})}
     lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *[F.col(c).cast(kind).alias(n) for n, (c, kind) in kinds.items()]))).alias("x"))
     lists = lists.select(F.col("query_id").alias("__q"), *[F.col(f"x.{n}").alias(n) for n in kinds])
     rows = queries.select("query_id", *payload).join(lists, F.col("query_id") == F.col("__q"), "left")
@@ -40,12 +43,12 @@ def short_lists(lists: DataFrame, k: int) -> DataFrame:
 
 
 def long_lists(lists: DataFrame) -> DataFrame:
-    """Lists as rows: the columns of ``lists`` that are no lists, rank, vec_id, score."""
-    others = [c for c in lists.columns if c not in ("hit_ids", "hit_scores", "hit_tie")]
-    hits = F.arrays_zip(*[c for c in ("hit_ids", "hit_scores", "hit_tie") if c in lists.columns])
+    """Lists as rows: the columns of ``lists`` that are no lists, rank, vec_id, score, and exact and tie if there are such lists."""
+    others = [c for c in lists.columns if c not in HITS]
+    hits = F.arrays_zip(*[c for c in HITS if c in lists.columns])
     rows = lists.select(*others, F.posexplode(hits).alias("p", "x"))
-    tie = [F.col("x.hit_tie").alias("tie")] if "hit_tie" in lists.columns else []
-    return rows.select(*others, (F.col("p") + 1).alias("rank"), F.col("x.hit_ids").alias("vec_id"), F.col("x.hit_scores").alias("score"), *tie)
+    more = [F.col(f"x.hit_{n}").alias(n) for n in ("exact", "tie") if f"hit_{n}" in lists.columns]
+    return rows.select(*others, (F.col("p") + 1).alias("rank"), F.col("x.hit_ids").alias("vec_id"), F.col("x.hit_scores").alias("score"), *more)
 
 
 # --- provenance -----------------------------------------------------------------------------------------------------
@@ -125,13 +128,14 @@ def partial_problems(partials: DataFrame, parts: int, k: int, queries: DataFrame
     """query_id, problem: what keeps partial lists from being merged. ``partials`` has a column part.
 
     Queries that some part lacks or has twice, or with ``queries`` (query_id) that all parts lack; null or uneven lists, nulls in
-    lists, lists longer than k; and queries whose parts together have fewer hits than their applied threshold vouches for.
+    lists, lists longer than k, 64-bit scores that are others than the 32-bit ones; and queries whose parts together have fewer hits
+    than their applied threshold vouches for.
     """
     sound_unions(partials.sparkSession)
     kind = partials.schema["hit_scores"].dataType
     if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, FloatType):
         raise ValueError("hit_scores has to be a list of 32-bit numbers")
-    lists = [c for c in ("hit_ids", "hit_scores", "hit_tie") if c in partials.columns]
+    lists = [c for c in HITS if c in partials.columns]
     null = F.lit(False)
     for c in lists:
         null = null | F.col(c).isNull()
@@ -140,6 +144,8 @@ def partial_problems(partials: DataFrame, parts: int, k: int, queries: DataFrame
         uneven = uneven | (F.size(c) != F.size("hit_scores"))
         holes = holes | F.exists(c, lambda x: x.isNull())
     what = F.when(null, "null lists").when(uneven, "uneven lists").when(holes, "nulls in lists").when(F.size("hit_scores") > k, "more hits than k")
+    if "hit_exact" in partials.columns:
+        what = what.when(~F.transform("hit_exact", lambda x: x.cast("float")).eqNullSafe(F.col("hit_scores")), "scores differ")
     odd = partials.select("query_id", what.alias("problem")).filter("problem IS NOT NULL")
     told = [F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("d")]
     if "applied_threshold" in partials.columns:
@@ -156,13 +162,13 @@ def partial_problems(partials: DataFrame, parts: int, k: int, queries: DataFrame
 
 
 def merge_lists(partials: DataFrame, k: int, parts: int, tie: str | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: partial lists (part, query_id, hit_ids, hit_scores, and hit_tie, nan_hits, applied_threshold if
-    there are such columns) to whole ones.
+    """query_id, rank, vec_id, score: partial lists (part, query_id, hit_ids, hit_scores, and hit_exact, hit_tie, nan_hits, applied_threshold
+    if there are such columns) to whole ones.
 
     The job fails where ``partial_problems`` finds any, and where a merged list does not reach a threshold that was applied to one
     of its parts: then rows were left out that belong in it. Ties go by hit_tie if there is such a column, else by the text of the
     identifier. Hits whose score was not a number took places in their part, so a query's list is cut to k less the number of them.
-    Scores of results have 32 bits: scores that differ beyond that are ties here.
+    Scores of results have 32 bits; lists with hit_exact merge by that, of others scores that differ beyond 32 bits are ties here.
     """
     tie = tie or ("tie" if "hit_tie" in partials.columns else "vec_id")
     limited = "applied_threshold" in partials.columns
@@ -170,7 +176,8 @@ def merge_lists(partials: DataFrame, k: int, parts: int, tie: str | None = None,
     bad = partial_problems(partials, parts, k, queries).agg(F.count(F.lit(1)).alias("bad"), F.min(F.struct("query_id", "problem")).alias("first"))
     message = F.concat(F.lit("partial lists do not fit together, first at query "), F.coalesce(F.col("first.query_id").cast("string"), F.lit("null")), F.lit(": "), F.col("first.problem"))
     entries = long_lists(partials.drop("nan_hits"))
-    found = ranked(entries.select("query_id", "vec_id", "score", *(["tie"] if "hit_tie" in partials.columns else [])), k, [F.col(tie)])
+    score = "exact" if "hit_exact" in partials.columns else "score"
+    found = ranked(entries.select("query_id", "vec_id", F.col(score).alias("score"), *(["tie"] if "hit_tie" in partials.columns else [])), k, [F.col(tie)])
     told = []
     if "nan_hits" in partials.columns:
         told.append(F.sum(F.coalesce("nan_hits", F.lit(0))).alias("__nan"))
@@ -185,15 +192,15 @@ def merge_lists(partials: DataFrame, k: int, parts: int, tie: str | None = None,
         low = F.coalesce(least < F.col("__applied"), F.lit(False))
         problem = F.raise_error(F.concat(F.lit("a part was trimmed by a threshold that the merged list does not reach, query "), F.col("query_id").cast("string")))
         found = found.withColumn("__low", low).filter(F.when(F.col("__low"), problem).otherwise(F.lit(True)))
-    out = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("float").alias("score"))
     # no row, or an error; beside the lists, so that it is looked at even where no list has an entry
     fine = bad.filter(F.when(F.col("bad") > 0, F.raise_error(message)).otherwise(F.lit(False)))
     return out.unionByName(fine.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema]))
 
 
 def partial_lists(found: DataFrame, queries: DataFrame, part: int, bounds: DataFrame | None = None) -> DataFrame:
-    """Lists of one part, from a search with ``nan="keep"``: part, query_id, hit_ids, hit_scores, hit_tie where identifiers are whole
-    numbers, nan_hits, the number of hits that took a place without a score and are left out, and with ``bounds`` (query_id, bound),
+    """Lists of one part, from a search with ``nan="keep"``: part, query_id, hit_ids, hit_scores, hit_exact, hit_tie where identifiers are
+    whole numbers, nan_hits, the number of hits that took a place without a score and are left out, and with ``bounds`` (query_id, bound),
     those that the search began with, applied_threshold: the bound in 32 bits, rounded down."""
     found = stored(found, "part")  # read twice below
     nan = F.isnan("score")
@@ -201,9 +208,9 @@ def partial_lists(found: DataFrame, queries: DataFrame, part: int, bounds: DataF
     real = found.filter(~nan).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     ties = "vec_id" if _whole(found.schema["vec_id"].dataType) else None
     text = F.col("query_id").cast("string").alias("query_id")
-    out = result_lists(real, queries, tie=ties).join(slots.select(text, "nan_hits"), "query_id", "left")
+    out = result_lists(real, queries, tie=ties, exact=True).join(slots.select(text, "nan_hits"), "query_id", "left")
     last = []
     if bounds is not None:
         out = out.join(bounds.select(text, rounded_down(F.col("bound")).alias("applied_threshold")), "query_id", "left")
         last = ["applied_threshold"]
-    return out.select(F.lit(part).alias("part"), "query_id", "hit_ids", "hit_scores", *(["hit_tie"] if ties else []), F.coalesce("nan_hits", F.lit(0)).alias("nan_hits"), *last)
+    return out.select(F.lit(part).alias("part"), "query_id", "hit_ids", "hit_scores", "hit_exact", *(["hit_tie"] if ties else []), F.coalesce("nan_hits", F.lit(0)).alias("nan_hits"), *last)
