@@ -3,12 +3,14 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import search
+from tessera.plans.catalogue import ORACLES, QUERIES
 
 KIND = pa.schema([("vec_id", pa.int64()), ("indices", pa.list_(pa.string())), ("values", pa.list_(pa.float64()))])
 
@@ -114,3 +116,22 @@ def test_repeated_words_make_no_further_pass(spark, monkeypatch):
     assert "found" not in passes and whole[:2] == [(0, 1, 0, 250001.0), (0, 2, 1, 250000.0)] and len(whole) == 80
     monkeypatch.setattr(search, "QUERY_BYTES", 300)
     assert sorted(map(tuple, search.sparse_topk(asked, rows, "dot", 2).collect())) == whole and passes.count("found") > 1
+
+
+def test_hybrid_search_splits_the_texts_once(spark, tmp_path, monkeypatch):
+    passes = []
+    keep = search.stored
+    monkeypatch.setattr(search, "stored", lambda df, name: passes.append(name) or keep(df, name))
+    monkeypatch.setattr(search, "QUERY_BYTES", 6000)  # 20 queries of two numbers, or of some ten different words
+    rows = spark.range(2000)
+    word = F.transform(F.sequence(F.lit(0), F.col("id") * 31 % 700), lambda i: F.concat(F.lit("w"), (i * i + F.col("id")) % (F.col("id") % 13 + 1)))
+    rows.select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    numbers = F.array(F.col("id") % 17, F.col("id") % 23).cast("array<float>")
+    rows.select(F.col("id").alias("vec_id"), numbers.alias("embedding"), F.lit(1).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect()))
+    assert "found" not in passes
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    db.sql("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, value DOUBLE)")
+    assert got == sorted(db.sql(ORACLES["hybrid_rrf"]).fetchall()) and len(got) == 200
