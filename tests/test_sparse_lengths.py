@@ -118,6 +118,15 @@ def test_repeated_words_make_no_further_pass(spark, monkeypatch):
     assert sorted(map(tuple, search.sparse_topk(asked, rows, "dot", 2).collect())) == whole and passes.count("found") > 1
 
 
+def test_no_queries_and_no_words(spark):
+    rows = spark.createDataFrame([(1, ["a"], [1.0]), (2, [], []), (3, [None], [2.0]), (4, ["a", None], [1.0, 1.0])], "vec_id bigint, indices array<string>, values array<double>")
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    assert search.sparse_topk(asked.filter("query_id > 9"), rows, "dot", 2).count() == search.sparse_topk(asked.filter("query_id IN (2, 3)"), rows, "cosine", 2).count() == 0
+    assert search.sparse_topk(asked, rows.filter("vec_id = 2"), "dot", 2).count() == 0
+    got = search.sparse_topk(asked.filter("query_id = 4"), rows, "cosine", 3).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 9)) for r in got] == [(1, round(0.5**0.5, 9)), (4, 0.5)]
+
+
 def test_hybrid_search_splits_the_texts_once(spark, tmp_path, monkeypatch):
     passes = []
     keep = search.stored
